@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import spans
+from lectern.llm import boilerplate, cutting, spans, terms
 from lectern.sources.tables import table
 
 
@@ -23,5 +23,75 @@ def p1_pages(spark: SparkSession, d: str) -> DataFrame:
     return spans.page_report(papers, "paper_id", "page_spans", spans.shared_spans(papers, "paper_id", "body"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    marked = terms.marked_terms(table(spark, d, "bm25_rows"), "chunk_row", "term_frequencies")
+    return marked.where(F.col("mark").isNotNull()).select("term", "mark")
+
+
+def p2_terms(spark: SparkSession, d: str) -> DataFrame:
+    return terms.marked_terms(table(spark, d, "bm25_rows"), "chunk_row", "term_frequencies")
+
+
+def _oversized(spark: SparkSession, d: str, with_text: bool, only_oversized: bool) -> tuple[DataFrame, DataFrame]:
+    pages, views = table(spark, d, "doc_pages"), table(spark, d, "source_views")
+    page_key = F.concat_ws(":", "document_id", F.col("page_number").cast("string"))
+    pages = pages.where(F.col("document_id").isNotNull() & F.col("page_number").isNotNull()).select(F.lit("page").alias("kind"), page_key.alias("item_key"), "page_number", F.col("page_text").alias("text"))
+    views = views.where(F.col("view_id").isNotNull()).select(F.lit("passage").alias("kind"), F.col("view_id").cast("string").alias("item_key"), "page_number", F.col("passage").alias("text"))
+    if with_text:
+        pages, views = (x.dropDuplicates(["item_key"]) for x in (pages, views))
+    return tuple(cutting.cut_items(x, ["kind", "item_key", "page_number"], "text", with_text=with_text, only_oversized=only_oversized) for x in (pages, views))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    pages, views = _oversized(spark, d, with_text=False, only_oversized=True)
+    return pages.unionByName(views).where("piece_no = 2").select("kind", "item_key").distinct()
+
+
+def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
+    pages, views = _oversized(spark, d, with_text=True, only_oversized=True)
+    number = F.concat(F.lit("page-"), F.coalesce(F.col("page_number").cast("string"), F.lit("")), F.lit("-chunk-"), F.col("piece_no").cast("string"))
+    return pages.unionByName(views).withColumn("chunk_id", number)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.boilerplate_lines(table(spark, d, "doc_pages"), table(spark, d, "doc_records"))
+
+
+def p6_clean(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "doc_pages")
+    return boilerplate.without_lines(pages, boilerplate.boilerplate_lines(pages, table(spark, d, "doc_records")))
+
+
+def p6_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Lines as they count over distinct clusters and at least two publication dates."""
+    return boilerplate.frequent_lines(table(spark, d, "doc_pages"), table(spark, d, "doc_records"), unit="clusters", least_dates=2)
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("p") and name[1:2].isdigit() and callable(f)}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p2_found": """
+        WITH once AS (SELECT chunk_row, any_value(term_frequencies) AS tf FROM bm25_rows WHERE term_frequencies IS NOT NULL AND chunk_row IS NOT NULL GROUP BY chunk_row),
+        held AS (SELECT unnest(map_keys(tf)) AS term FROM once),
+        df AS (SELECT term, count(*) AS n FROM held GROUP BY term)
+        SELECT term, CASE WHEN n = 1 THEN 'rare' ELSE 'common' END AS mark
+        FROM df WHERE n = 1 OR n * 100 > 30 * (SELECT count(*) FROM once)""",
+    "p2_terms": """
+        WITH once AS (SELECT chunk_row, any_value(term_frequencies) AS tf FROM bm25_rows WHERE term_frequencies IS NOT NULL AND chunk_row IS NOT NULL GROUP BY chunk_row),
+        held AS (SELECT unnest(map_keys(tf)) AS term, unnest(map_values(tf)) AS n FROM once),
+        df AS (SELECT term, CAST(sum(coalesce(n, 0)) AS BIGINT) AS total, count(*) AS rows FROM held GROUP BY term)
+        SELECT term, total, rows, CASE WHEN rows = 1 THEN 'rare' WHEN rows * 100 > 30 * (SELECT count(*) FROM once) THEN 'common' END AS mark FROM df""",
+    "p5_found": """
+        SELECT DISTINCT 'page' AS kind, document_id || ':' || page_number AS item_key FROM doc_pages WHERE length(page_text) > 1000
+        UNION SELECT DISTINCT 'passage', CAST(view_id AS VARCHAR) FROM source_views WHERE length(passage) > 1000""",
+    "p6_found": r"""
+        WITH pub AS (SELECT document_id, min(publisher) AS publisher FROM doc_records WHERE publisher IS NOT NULL GROUP BY document_id),
+        pages AS (SELECT DISTINCT document_id, page_number, page_text FROM doc_pages),
+        parts AS (SELECT document_id, page_number, string_split(page_text, chr(10)) AS parts FROM pages WHERE page_text IS NOT NULL),
+        lines AS (SELECT document_id, page_number, unnest(range(1, len(parts) + 1)) AS line_no, unnest(parts) AS raw FROM parts),
+        norm AS (SELECT document_id, page_number, CAST(line_no AS INTEGER) AS line_no, regexp_replace(lower(regexp_replace(regexp_replace(raw, '^\s+|\s+$', '', 'g'), '[ \t]+', ' ', 'g')), '[0-9]+', '#', 'g') AS line FROM lines),
+        held AS (SELECT publisher, norm.* FROM norm JOIN pub USING (document_id) WHERE line <> ''),
+        totals AS (SELECT publisher, count(DISTINCT document_id) AS n FROM doc_pages JOIN pub USING (document_id) GROUP BY publisher),
+        counts AS (SELECT publisher, line, count(DISTINCT document_id) AS n FROM held GROUP BY ALL)
+        SELECT DISTINCT document_id, page_number, line_no FROM held JOIN counts USING (publisher, line) JOIN totals USING (publisher)
+        WHERE counts.n >= 5 AND counts.n * 100 >= 30 * totals.n""",
+}
