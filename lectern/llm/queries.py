@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import boilerplate, cutting, spans, terms
+from lectern.llm import boilerplate, cutting, leakage, packing, spans, terms
 from lectern.sources.tables import table
 
 
@@ -67,6 +67,26 @@ def p6_clusters(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.frequent_lines(table(spark, d, "doc_pages"), table(spark, d, "doc_records"), unit="clusters", least_dates=2)
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_containers(table(spark, d, "documents"), "doc_id", "text").where("piece_no = 2").select("doc_id").distinct()
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_containers(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p8_fill(spark, d), "doc_id")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).where("run >= 12").select("doc_id", "item_id")
+
+
+def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("p") and name[1:2].isdigit() and callable(f)}
 SQL: dict[str, str] = {
     "p2_found": """
@@ -94,4 +114,11 @@ SQL: dict[str, str] = {
         counts AS (SELECT publisher, line, count(DISTINCT document_id) AS n FROM held GROUP BY ALL)
         SELECT DISTINCT document_id, page_number, line_no FROM held JOIN counts USING (publisher, line) JOIN totals USING (publisher)
         WHERE counts.n >= 5 AND counts.n * 100 >= 30 * totals.n""",
+    "p8_found": "SELECT doc_id FROM documents WHERE len(regexp_extract_all(text, '[A-Za-z0-9]+(?:[./-][A-Za-z0-9]+)*')) > 2048",
+    "p9_found": """
+        WITH texts AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents),
+        grams AS (SELECT doc_id, unnest([array_to_string(w[i:i + 11], ' ') FOR i IN range(1, len(w) - 10)]) AS g FROM texts WHERE len(w) >= 12),
+        items AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM eval_items),
+        asked AS (SELECT item_id, unnest([array_to_string(w[i:i + 11], ' ') FOR i IN range(1, len(w) - 10)]) AS g FROM items WHERE len(w) >= 12)
+        SELECT DISTINCT doc_id, item_id FROM grams JOIN asked USING (g)""",
 }
