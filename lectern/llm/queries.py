@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import boilerplate, cutting, leakage, packing, spans, terms
+from lectern.llm import boilerplate, cutting, leakage, near, neighbours, packing, spans, terms
 from lectern.sources.tables import table
 
 
@@ -87,6 +87,32 @@ def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def _near(spark: SparkSession, d: str) -> dict[str, near.NearDuplicates]:
+    return {
+        "paper": near.NearDuplicates(table(spark, d, "papers"), "paper_id", "body", width=3, threshold=0.6),
+        "view": near.NearDuplicates(table(spark, d, "source_views"), "view_id", "passage", width=3, threshold=0.6),
+    }
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    parts = [x.pairs().select(F.lit(kind).alias("kind"), "id_a", "id_b") for kind, x in _near(spark, d).items()]
+    return parts[0].unionByName(parts[1])
+
+
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    parts = [x.groups().select(F.lit(kind).alias("kind"), "record", "group_id", "links") for kind, x in _near(spark, d).items()]
+    return parts[0].unionByName(parts[1])
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    near_ones = neighbours.nearest(table(spark, d, "chunk_vectors"), "vec_id", "embedding")
+    return near_ones.select(F.least("vec_id", "neighbour").alias("vec_id_a"), F.greatest("vec_id", "neighbour").alias("vec_id_b")).distinct()
+
+
+def p7_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.nearest(table(spark, d, "chunk_vectors"), "vec_id", "embedding")
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("p") and name[1:2].isdigit() and callable(f)}
 SQL: dict[str, str] = {
     "p2_found": """
@@ -121,4 +147,11 @@ SQL: dict[str, str] = {
         items AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM eval_items),
         asked AS (SELECT item_id, unnest([array_to_string(w[i:i + 11], ' ') FOR i IN range(1, len(w) - 10)]) AS g FROM items WHERE len(w) >= 12)
         SELECT DISTINCT doc_id, item_id FROM grams JOIN asked USING (g)""",
+    "p3_found": r"""
+        WITH texts AS (SELECT 'paper' AS kind, paper_id AS id, any_value(body) AS t FROM papers GROUP BY paper_id UNION ALL SELECT 'view', view_id, any_value(passage) FROM source_views GROUP BY view_id),
+        words AS (SELECT kind, id, regexp_extract_all(lower(t), '[a-z0-9]+') AS w FROM texts WHERE t IS NOT NULL),
+        grams AS (SELECT DISTINCT kind, id, unnest([array_to_string(w[i:i + 2], ' ') FOR i IN range(1, len(w) - 1)]) AS g FROM words WHERE len(w) >= 3),
+        sizes AS (SELECT kind, id, count(*) AS n FROM grams GROUP BY ALL),
+        both_ AS (SELECT a.kind, a.id AS id_a, b.id AS id_b, count(*) AS c FROM grams a JOIN grams b ON a.kind = b.kind AND a.g = b.g AND a.id < b.id GROUP BY ALL)
+        SELECT kind, id_a, id_b FROM both_ JOIN sizes x USING (kind) JOIN sizes y USING (kind) WHERE x.id = id_a AND y.id = id_b AND c * 10 >= 6 * (x.n + y.n - c)""",
 }
