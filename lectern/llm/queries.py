@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import boilerplate, cutting, leakage, near, neighbours, packing, spans, terms
+from lectern.llm import boilerplate, cutting, leakage, near, neighbours, packing, spans, subjects, terms
 from lectern.sources.tables import table
 
 
@@ -113,6 +113,23 @@ def p7_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.nearest(table(spark, d, "chunk_vectors"), "vec_id", "embedding")
 
 
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    model = subjects.train(documents, table(spark, d, "subject_areas"), table(spark, d, "subject_labels"))
+    return subjects.subjects(documents, model)
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _subjects(spark, d).select("doc_id", "subject").distinct()
+
+
+def p10_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and characters by subject and source, with totals (a document of two subjects counts in both)."""
+    sizes = table(spark, d, "documents").select("doc_id", "source", F.length("text").alias("chars"))
+    found = _subjects(spark, d).select("doc_id", "subject").distinct().join(sizes, "doc_id")
+    return found.cube("subject", "source").agg(F.count(F.lit(1)).alias("documents"), F.sum("chars").alias("chars"))
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("p") and name[1:2].isdigit() and callable(f)}
 SQL: dict[str, str] = {
     "p2_found": """
