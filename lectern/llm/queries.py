@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import boilerplate, cutting, leakage, near, neighbours, packing, spans, subjects, terms
+from lectern.llm import boilerplate, cutting, leakage, near, neighbours, packing, scans, spans, subjects, terms
 from lectern.sources.tables import table
 
 
@@ -130,6 +130,14 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
     return found.cube("subject", "source").agg(F.count(F.lit(1)).alias("documents"), F.sum("chars").alias("chars"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.Scans(table(spark, d, "doc_pages"), table(spark, d, "doc_records")).damage()
+
+
+def p4_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scans.Scans(table(spark, d, "doc_pages"), table(spark, d, "doc_records")).repaired()
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("p") and name[1:2].isdigit() and callable(f)}
 SQL: dict[str, str] = {
     "p2_found": """
