@@ -17,9 +17,14 @@ BLANKS = "[ \\t]+"
 
 
 def normal_line(line: Column) -> Column:
-    """Stripped (of any carriage return too), spaces and tabs collapsed, lower case, digit runs as `#`."""
-    trimmed = F.regexp_replace(F.regexp_replace(line, "^\\s+|\\s+$", ""), BLANKS, " ")
-    return F.regexp_replace(F.lower(trimmed), "[0-9]+", "#")
+    """Stripped (of any carriage return too), spaces and tabs collapsed, lower case, digit runs as `#`.
+
+    Patterns run only on lines that need them; most lines have neither doubled blanks nor digits.
+    """
+    bare = F.btrim(line, F.lit(" \t\n\r\f\u000b"))
+    single = F.when(bare.contains("  ") | bare.contains("\t"), F.regexp_replace(bare, BLANKS, " ")).otherwise(bare)
+    low = F.lower(single)
+    return F.when(low.rlike("[0-9]"), F.regexp_replace(low, "[0-9]+", "#")).otherwise(low)
 
 
 def page_lines(pages: DataFrame, doc: str, page: str, text: str) -> DataFrame:
