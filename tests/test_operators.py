@@ -1,0 +1,163 @@
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from lectern.functions import bibliography
+from lectern.operators import comparison, corpus, coverage, evidence, integrity, reports, retrieval, summary, timeline
+
+CHUNK = "document_id string, chunk_id string, source_filename string, page_number int, chunk_ord int, extraction_method string, text string"
+
+
+def chunk(doc, n, text):
+    return (doc, f"page-1-chunk-{n}", f"{doc}.pdf", 1, n, "Native text", text)
+
+
+def test_bm25_prefers_the_exact_term_and_keeps_corpus_statistics(spark):
+    df = spark.createDataFrame([chunk("a", 1, "Directive 17-B applies"), chunk("b", 1, "general words"), chunk("b", 2, "directive directive"), chunk("c", 1, None)], CHUNK)
+    q = spark.createDataFrame([(1, "Directive 17-B"), (2, "absent")], "query_id int, query string")
+    terms = retrieval.chunk_terms(df)
+    got = {(r.query_id, r.document_id, r.chunk_id): r.keyword_score for r in retrieval.keyword_scores(terms, q).collect()}
+    assert set(got) == {(1, "a", "page-1-chunk-1"), (1, "b", "page-1-chunk-2")}
+    assert got[1, "a", "page-1-chunk-1"] > got[1, "b", "page-1-chunk-2"]
+    scoped = {(r.document_id): r.keyword_score for r in retrieval.keyword_scores(terms, q, scope=F.col("document_id") == "b").collect()}
+    assert scoped == {"b": got[1, "b", "page-1-chunk-2"]}
+
+
+def test_fusion_marks_sources(spark):
+    sem = spark.createDataFrame([(1, "a", "1", 0.9, 1), (1, "b", "1", 0.1, 2)], "query_id int, document_id string, chunk_id string, similarity double, semantic_rank int")
+    key = spark.createDataFrame([(1, "a", "1", 3.0, 1), (1, "c", "1", 2.0, 2)], "query_id int, document_id string, chunk_id string, keyword_score double, keyword_rank int")
+    got = {r.document_id: r for r in retrieval.fused(sem, key).collect()}
+    assert {k: r.retrieval_source for k, r in got.items()} == {"a": "Both", "b": "Semantic", "c": "Keyword"}
+    assert abs(got["a"].hybrid_score - 1) < 1e-12 and got["c"].semantic_similarity is None and got["c"].similarity == 0.0
+    pool = retrieval.pooled(retrieval.fused(sem, key).withColumn("rank", F.lit(1)))
+    assert {r.document_id for r in pool.collect()} == {"a", "c"}
+
+
+def test_confidence_levels(spark):
+    q = spark.createDataFrame([(n, "harbour licence", 4, True) for n in (1, 2, 3, 4)], "query_id int, query string, selected_count int, sufficient boolean")
+    shape = "query_id int, evidence_id string, document_id string, text string, semantic_similarity double, similarity double, keyword_score double, retrieval_source string"
+    strong = [(1, f"E{n}", f"d{n % 2}", "the harbour licence", 0.7, 0.7, 2.0, "Both") for n in range(3)]
+    weak = [(2, "E1", "d", "other words", 0.3, 0.3, None, "Semantic")]
+    clash = [(4, "E1", "d1", "harbour entry is permitted", 0.7, 0.7, 1.0, "Both"), (4, "E2", "d2", "harbour entry is prohibited", 0.7, 0.7, 1.0, "Both")]
+    got = {r.query_id: (r.level, r.conflict) for r in evidence.confidence(q, spark.createDataFrame(strong + weak + clash, shape)).collect()}
+    assert got == {1: ("HIGH", False), 2: ("LOW", False), 3: ("INSUFFICIENT", False), 4: ("LOW", True)}
+
+
+def test_first_uploads_keep_rows_without_id(spark, rows):
+    df = spark.createDataFrame([("x", 2, "b"), ("x", 1, "a"), (None, 1, "n"), (None, 2, "m"), ("", 3, "e")], "document_id string, t int, filename string")
+    first, repeats = corpus.first_uploads(df, ["t"])
+    assert rows(first, "filename") == {("a",), ("n",), ("m",), ("e",)} and rows(repeats, "filename") == {("b",)}
+
+
+def test_preview_stops_inside_a_page(spark, rows):
+    df = spark.createDataFrame([("d", 1, "abcd"), ("d", 2, None), ("d", 3, "efgh"), ("d", 4, "ijkl")], "document_id string, page_number int, page_text string")
+    assert rows(corpus.preview(df, 6)) == {("d", 1, "abcd"), ("d", 3, "ef")}
+
+
+def test_page_policy(spark, rows):
+    df = spark.createDataFrame([(1, "x" * 40, "y"), (2, "x", "read"), (3, "x", None), (4, None, " ")], "n int, native_text string, ocr_text string")
+    assert rows(corpus.page_policy(df), "n", "extraction_method") == {(1, "Native text"), (2, "OCR"), (3, "Native text"), (4, "Failed")}
+
+
+def test_source_view_falls_back_to_the_only_chunk(spark):
+    records = spark.createDataFrame([("d", "d.pdf", "Processed", dt.datetime(2024, 1, 1))], "document_id string, filename string, status string, uploaded_at timestamp")
+    pages = spark.createDataFrame([("d", 1, "text", "OCR", "d.pdf")], "document_id string, page_number int, page_text string, extraction_method string, source_filename string")
+    chunks = spark.createDataFrame([chunk("d", 1, "only")], CHUNK)
+    asked = spark.createDataFrame([(1, "E1", "d", 1, "nope", None), (2, "E2", "d", 1, "nope", "given"), (3, "E3", "d", 9, None, None), (4, "E4", "gone", 1, None, None)], "view_id bigint, evidence_id string, document_id string, page_number int, chunk_id string, passage string")
+    got = {r.view_id: (r.chunk_id, r.passage) for r in corpus.source_views(asked, records, pages, chunks).collect()}
+    assert got == {1: ("page-1-chunk-1", "only"), 2: ("nope", "given")}
+
+
+def test_timeline_order_and_repeats(spark):
+    rows_ = [chunk("a", 1, "Due within 30 days. Issued 5 March 2024."), chunk("a", 2, "Issued 5 March 2024. From April 2023 on."), chunk("a", 3, "Bad 2024-13-40 date"), chunk("b", 1, "FY 2019-20 opened.")]
+    got = timeline.timeline(spark.createDataFrame(rows_, CHUNK)).orderBy(F.expr("cast(substring(evidence_id, 2) as int)")).collect()
+    assert [(r.evidence_id, r.date) for r in got] == [("T1", "FY 2019-20"), ("T2", "April 2023"), ("T3", "5 March 2024"), ("T4", "2024-13-40"), ("T5", "within 30 days")]
+    per = {r.document_id: (r.events, r.earliest, r.latest) for r in timeline.timeline_summary(timeline.events(spark.createDataFrame(rows_, CHUNK))).collect()}
+    assert per["b"] == (1, "FY 2019-20", "FY 2019-20")
+
+
+def test_findings_need_both_sides(spark):
+    shape = "finding_id int, topic string, document_a_statement string, document_b_statement string, relationship string, document_a_evidence_ids array<string>, document_b_evidence_ids array<string>, allowed_a array<string>, allowed_b array<string>"
+    df = spark.createDataFrame([(1, " ", "x", "y", "CONSISTENT", ["a1"], ["B1"], ["A1"], ["B1"]), (2, "t", "x", "y", "CONSISTENT", ["A1"], ["B99"], ["A1"], ["B1"]), (3, "t", "x", "y", "CONSISTENT", ["A9"], [], ["A1"], ["B1"])], shape)
+    got = {r.finding_id: (r.topic, r.relationship, r.document_b_statement) for r in comparison.validated_findings(df).collect()}
+    assert got == {1: ("Unspecified topic", "CONSISTENT", "y"), 2: ("t", "INSUFFICIENT EVIDENCE", comparison.NOT_STATED)}
+
+
+def test_points_keep_their_side(spark):
+    shape = "point_id int, section string, text string, evidence_ids array<string>, comparison_status string, not_stated_for string, allowed array<string>"
+    allowed = ["A1", "B1"]
+    df = spark.createDataFrame([(1, "document_a", "x", ["A1"], "stated", None, allowed), (2, "document_a", "x", ["A1", "B1"], "stated", None, allowed), (3, "differences", "x", ["A1"], "stated", None, allowed), (4, "unique_a", "x", ["A1"], "stated", None, allowed), (5, "dates", " ", ["A1"], "stated", None, allowed)], shape)
+    got = {r.point_id: r.text for r in comparison.validated_points(df).collect()}
+    assert got == {1: "x", 4: "Document B: Not stated in retrieved evidence. x"}
+
+
+def test_exact_runs_and_union(spark, rows):
+    shared = "one two three four five six seven eight"
+    docs = spark.createDataFrame([(1, f"start {shared} middle {shared} end"), (2, "nothing shared here"), (3, None)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, f"x {shared.upper()} y"), (8, None)], "item_id bigint, text string")
+    got = rows(integrity.exact_runs(docs, items))
+    assert got == {(1, 7, 1, 9, 1, 9), (1, 7, 10, 18, 1, 9)}
+    totals = docs.select("doc_id", F.lit(20).cast("bigint").alias("words"))
+    assert {r.doc_id: r.overlapping_words for r in integrity.overlap_report(integrity.exact_runs(docs, items), totals, "doc_id").collect()} == {1: 16, 2: 0, 3: 0}
+
+
+def test_near_exact_counts_equal_words(spark):
+    base = [f"w{n}" for n in range(12)]
+    other = base[:6] + ["changed"] + base[7:]
+    docs = spark.createDataFrame([(1, " ".join(base))], "doc_id bigint, text string")
+    items = spark.createDataFrame([(2, " ".join(other)), (3, " ".join(base))], "item_id bigint, text string")
+    got = [(r.item_id, r.equal_words, r.similarity) for r in integrity.near_exact(docs, items).collect()]
+    assert got == [(2, 11, round(11 / 12, 4))]
+
+
+def test_citations_match_once_twice_never(spark):
+    papers = spark.createDataFrame([(1, "See [1], [2] and [9]; (Smith, 2020)."), (2, None)], "paper_id bigint, body string")
+    refs = spark.createDataFrame([(1, "R1", 1, "smith", "2020", None), (1, "R2", 2, None, None, None), (1, "R3", 2, None, None, None)], "paper_id bigint, reference_id string, label bigint, surname string, year string, doi string")
+    found = integrity.matched_citations(integrity.markers(papers), refs)
+    assert {r.marker: (r.reference_ids, r.status) for r in found.collect()} == {"[1]": (["R1"], integrity.MATCHED), "[2]": (["R2", "R3"], integrity.AMBIGUOUS), "[9]": ([], integrity.MISSING), "Smith, 2020)": (["R1"], integrity.MATCHED)}
+    used = {r.reference_id: (r.cited, r.ambiguous_citation) for r in integrity.reference_use(found, refs).collect()}
+    assert used == {"R1": (True, False), "R2": (False, True), "R3": (False, True)}
+
+
+def test_bibliography_entries():
+    text = ["Body text.", "References", "[1] Smith, J. (2020). A study of ports. Journal.", "continued line", "[2] something unreadable", "Conclusion", "back in the body"]
+    inside = bibliography.layout(text)
+    assert [x for x, i in zip(text, inside, strict=True) if i] == text[2:5]
+    got = bibliography.entries(text[2:5])
+    assert [(e["label"], e["surname"], e["year"], e["title"], e["parsed"]) for e in got] == [(1, "smith", "2020", "A study of ports", True), (2, "", "", "", False)]
+    assert bibliography.section(["a", "b"]) == (None, False)
+
+
+def test_windows_never_cut_words():
+    text = "alpha beta gammadelta eps"
+    spans = [(0, 5), (6, 10), (11, 16), (16, 21), (22, 25)]
+    assert coverage.split_windows(text, spans, 3) == [(0, 10, 2, ""), (11, 25, 3, "")]
+    assert coverage.split_windows("abcdef x", [(0, 2), (2, 4), (4, 6), (7, 8)], 2) == [(0, 6, 0, "word exceeds the window"), (7, 8, 1, "")]
+
+
+def test_coverage_is_null_when_nothing_was_judged(spark):
+    texts = spark.createDataFrame([(1, "a b c d"), (2, "e f"), (3, None)], "id bigint, text string")
+    spans = spark.createDataFrame([(1, 0, 3, True), (1, 2, 7, False)], "id bigint, start int, end int, flag boolean")
+    got = {r.id: (r.words, r.judged, r.flagged, r.flagged_percentage) for r in coverage.word_coverage(texts, spans, "id", "text", F.col("flag")).collect()}
+    assert got == {1: (4, 4, 2, 50.0), 2: (2, 0, 0, None)}
+    passages = spark.createDataFrame([(1, "b c", True), (1, "zz", False), (1, "", True), (2, "e f", None)], "id bigint, passage string, flag boolean")
+    assert {(r.passage, r.start) for r in coverage.aligned(texts, passages, "id", "text").collect()} == {("b c", 2), ("zz", None), ("", None), ("e f", 0)}
+
+
+def test_summary_groups_and_sentences(spark):
+    rows_ = [chunk("a", n, "word " * 400) for n in range(1, 8)] + [chunk("b", 1, "é" * 6000), chunk("b", 2, " ... ")]
+    bounded = summary.bounded(spark.createDataFrame(rows_, CHUNK))
+    ids = {r.chunk_id for r in bounded.where("document_id = 'b'").collect()}
+    assert ids == {"page-1-chunk-1:0", "page-1-chunk-1:2475", "page-1-chunk-1:4950"}
+    groups = summary.grouped(bounded, ["page_number", "chunk_ord", "chunk_id", "offset"])
+    cost = {(r.document_id, r.group_no): r.s for r in groups.groupBy("document_id", "group_no").agg(F.sum("cost").alias("s")).collect()}
+    assert max(cost.values()) <= 10_000 and len([k for k in cost if k[0] == "a"]) == 2
+    got = summary.extractive(spark.createDataFrame([chunk("a", 1, "Ports need careful planning today. Short. Ports need careful planning today. Rivers carry heavy sediment always.")], CHUNK), ["document_id"], ["chunk_ord"]).orderBy("position").collect()
+    assert [r.sentence for r in got] == ["Ports need careful planning today.", "Rivers carry heavy sediment always."]
+
+
+def test_report_is_one_text(spark):
+    rows_ = spark.createDataFrame([("a|b", 1), ("c", 2)], "name string, n int")
+    lines = reports.table_lines(rows_, ["name", "n"], ["n"])
+    text = reports.rendered("T", ["note"], [("Part", lines, ["n"])])
+    assert text == "# T\nnote\n\n## Part\n| a\\|b | 1 |\n| c | 2 |\n"
