@@ -35,8 +35,10 @@ def hilbert_keys(points: np.ndarray, bits: int) -> np.ndarray:
         p = q - 1
         for i in range(n):
             high = (x[i] & q) != 0
-            swap = (x[0] ^ x[i]) & p
-            x[0], x[i] = np.where(high, x[0] ^ p, x[0] ^ swap), np.where(high, x[i], x[i] ^ swap)
+            swap = np.where(high, 0, (x[0] ^ x[i]) & p)
+            x[0] = np.where(high, x[0] ^ p, x[0] ^ swap)
+            if i:
+                x[i] = x[i] ^ swap
         q >>= 1
     for i in range(1, n):  # Gray code
         x[i] = x[i] ^ x[i - 1]
