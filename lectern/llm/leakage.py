@@ -62,7 +62,7 @@ class Items:
         return np.array([get(w, -1) for w in words], np.int64)
 
     def seeds(self, rows_with: dict[int, int]) -> dict[int, list[int]]:
-        """n-gram -> items: for every window of every item the n-gram found in the fewest passages."""
+        """n-gram -> items: for every window of every item, of its n-grams found at all, the one in fewest passages."""
         out: dict[int, set[int]] = defaultdict(set)
         wide = self.run - self.seed + 1
         for item, grams in self.grams.items():
@@ -70,7 +70,9 @@ class Items:
                 continue
             rows = [(rows_with.get(g, 0), g) for g in grams.tolist()]
             for a in range(max(1, len(rows) - wide + 1)):
-                out[min(rows[a : a + wide])[1]].add(item)
+                met = [x for x in rows[a : a + wide] if x[0]]  # what no passage holds seeds nothing
+                if met:
+                    out[min(met)[1]].add(item)
         return {g: sorted(x) for g, x in out.items()}
 
 
