@@ -82,7 +82,7 @@ def test_chunks_keep_the_limit_and_the_text():
     text = "para one.\n\n" + "word " * 500 + "\n\n" + "x" * 2500
     chunks = splitting.recursive_chunks(text, 1000, 200)
     assert all(0 < len(c) <= 1000 for c in chunks)
-    assert set("".join(chunks).split()) >= {"para", "one.", "word"}
+    assert set(" ".join(chunks).split()) >= {"para", "one.", "word"}
     assert splitting.recursive_chunks("short") == ["short"]
     assert splitting.recursive_chunks("  \n ") == []
 
