@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.grams import array_hashes, word_hashes
 from lectern.functions.matching import matches
 from lectern.functions.text import half_even
 
@@ -71,10 +72,7 @@ def numbered_words(texts: DataFrame, id_col: str, text_col: str, most: int | Non
 def word_grams(texts: DataFrame, id_col: str, text_col: str, width: int, most: int | None = None) -> DataFrame:
     """(id, position, gram): a hash of `width` words in a row at every position."""
     rows = texts.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, text_col).dropDuplicates([id_col])
-    found = F.transform(matches("words", F.col(text_col)), lambda x: x["word"])
-    listed = rows.select(id_col, (found if most is None else F.slice(found, 1, most)).alias("w")).where(F.size("w") >= width)
-    grams = F.transform(F.sequence(F.lit(1), F.size("w") - width + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, width), "\1")))
-    return listed.select(id_col, F.posexplode(grams).alias("position", "gram"))
+    return rows.select(id_col, F.posexplode(word_hashes(F.col(text_col), width, most)).alias("position", "gram"))
 
 
 def exact_runs(submitted: DataFrame, sources: DataFrame, *, sid: str = "doc_id", stext: str = "text", rid: str = "item_id", rtext: str = "text", width: int = SEED_WORDS, most_seeds: int = 20) -> DataFrame:
@@ -135,8 +133,7 @@ def near_exact(submitted: DataFrame, sources: DataFrame, *, sid: str = "doc_id",
     """
 
     def seeded(df, key):
-        grams = F.transform(F.sequence(F.lit(1), F.size("words") - seed + 1), lambda i: F.xxhash64(F.array_join(F.slice("words", i, seed), "\1")))
-        return df.select(key, "window", F.explode(F.array_distinct(grams)).alias("gram"))
+        return df.select(key, "window", F.explode(array_hashes(F.col("words"), seed)).alias("gram"))
 
     mine, theirs = windows(submitted, sid, stext), windows(sources, rid, rtext)
     met = seeded(mine, sid).join(seeded(theirs, rid).withColumnRenamed("window", "source_window"), "gram").select(sid, "window", rid, "source_window").distinct()

