@@ -26,8 +26,12 @@ def postings(terms: DataFrame) -> DataFrame:
 
 
 def document_frequencies(post: DataFrame) -> DataFrame:
-    """A1: (term, df), a chunk counted once for each of its terms."""
-    return post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    """A1: (term, df), a chunk counted once for each of its terms.
+
+    Every posting has tf > 0; asking for it keeps `tf` in this branch of a plan too, so that its exchange is the
+    same as that of the postings themselves and is computed once.
+    """
+    return post.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
 
 
 def index_totals(terms: DataFrame) -> DataFrame:
@@ -70,7 +74,7 @@ def indexed_scores(index: DataFrame, queries: DataFrame, k1: float = K1, b: floa
     post = rows.select("chunk_row", "document_length", F.explode("term_frequencies").alias("term", "tf")).join(asked.select("term").distinct(), "term", "left_semi")
     weight = term_weight(totals["n"], F.col("df"))
     part = F.col("times") * weight * (F.col("tf") * F.lit(k1 + 1.0)) / (F.col("tf") + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("document_length") / totals["average"]))
-    return post.join(document_frequencies(post), "term").join(asked, "term").groupBy("query_id", "chunk_row").agg(F.sum(part).alias("keyword_score"))
+    return post.join(post.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term").join(asked, "term").groupBy("query_id", "chunk_row").agg(F.sum(part).alias("keyword_score"))
 
 
 def usable_vectors(vectors: DataFrame, dims: int = 64) -> DataFrame:
