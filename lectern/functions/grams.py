@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lectern.functions.matching import words
+from lectern.functions.matching import plain_words
 
 
 def rolled(ids: np.ndarray, width: int) -> np.ndarray:
@@ -46,7 +46,7 @@ def word_hashes(text: Column, width: int, most: int | None = None) -> Column:
     @F.pandas_udf("array<bigint>")
     def hashed(texts: pd.Series) -> pd.Series:
         ids = Ids()
-        return texts.map(lambda t: rolled(ids([w for w, _, _ in words(t)][:most]), width) if t else [])
+        return texts.map(lambda t: rolled(ids(list(plain_words(t))[:most]), width) if t else [])
 
     return hashed(text)
 

@@ -119,7 +119,7 @@ def exact_runs(submitted: DataFrame, sources: DataFrame, *, sid: str = "doc_id",
 def windows(texts: DataFrame, id_col: str, text_col: str, width: int = WINDOW_WORDS, least: int = LEAST_WINDOW, most: int = 1000) -> DataFrame:
     """(id, window, words, word_start): tumbling windows of `width` words, the last one if long enough."""
     rows = texts.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, text_col).dropDuplicates([id_col])
-    listed = rows.select(id_col, F.transform(matches("words", F.col(text_col)), lambda x: x["word"]).alias("w")).where(F.size("w") >= least)
+    listed = rows.select(id_col, matches("plain_words", F.col(text_col)).alias("w")).where(F.size("w") >= least)
     cut = F.transform(F.sequence(F.lit(0), F.least(F.lit(most - 1), F.floor((F.size("w") - 1) / width).cast("int"))), lambda i: F.slice("w", i * width + 1, width))
     return listed.select(id_col, F.posexplode(cut).alias("window", "words")).where(F.size("words") >= least).withColumn("word_start", F.col("window") * width)
 

@@ -185,7 +185,7 @@ def s8_resolved_references(spark, d):
 
 @query("t3_words", f"WITH {PAPERS} SELECT paper_id, len(regexp_extract_all(body, '[\\p{{L}}\\p{{N}}_]+(?:[''’\\-][\\p{{L}}\\p{{N}}_]+)*')) AS words FROM pp WHERE body IS NOT NULL")
 def t3_words(spark, d):
-    return papers(spark, d).where("body is not null").select("paper_id", F.size(matches("words", F.col("body"))).cast("bigint").alias("words"))
+    return papers(spark, d).where("body is not null").select("paper_id", F.size(matches("plain_words", F.col("body"))).cast("bigint").alias("words"))
 
 
 @query("q13_exact_runs")
@@ -204,7 +204,7 @@ def j8_seed_pairs(spark, d):
 @query("a16_overlap")
 def a16_overlap(spark, d):
     documents = table(spark, d, "documents")
-    totals = documents.select("doc_id", F.size(matches("words", F.col("text"))).cast("bigint").alias("words"))
+    totals = documents.select("doc_id", F.size(matches("plain_words", F.col("text"))).cast("bigint").alias("words"))
     return integrity.overlap_report(integrity.exact_runs(documents, table(spark, d, "eval_items")), totals, "doc_id")
 
 
