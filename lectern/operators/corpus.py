@@ -10,9 +10,11 @@ from lectern.functions.text import document_hash, half_even
 
 def first_uploads(records: DataFrame, order: list[str], key: str = "document_id") -> tuple[DataFrame, DataFrame]:
     """(first rows, repeated rows) by content id in the given order; rows without an id are never repeats."""
-    ranked = records.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-    nameless = F.col(key).isNull() | (F.col(key) == "")
-    return ranked.where((F.col("_n") == 1) | nameless).drop("_n"), ranked.where((F.col("_n") > 1) & ~nameless).drop("_n")
+    nameless = F.coalesce(F.col(key), F.lit("")) == ""
+    # Rows without an id would all meet in one window; they need none.
+    ranked = records.where(~nameless).withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    first = ranked.where(F.col("_n") == 1).drop("_n").unionByName(records.where(nameless))
+    return first, ranked.where(F.col("_n") > 1).drop("_n")
 
 
 def distinct_documents(records: DataFrame) -> DataFrame:
@@ -59,9 +61,11 @@ def page_policy(pages: DataFrame, native: str = "native_text", ocr: str = "ocr_t
 
 def preview(pages: DataFrame, limit: int = 150_000) -> DataFrame:
     """of each document the first `limit` characters, over its pages in order."""
-    so_far = F.coalesce(F.sum(F.length("page_text")).over(Window.partitionBy("document_id").orderBy("page_number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = pages.where(F.col("page_text").isNotNull()).withColumn("_room", F.greatest(F.lit(0), F.lit(limit) - so_far))
-    return rows.where("_room > 0").select("document_id", "page_number", F.substring(F.col("page_text"), F.lit(1), F.col("_room").cast("int")).alias("preview"))
+    rows = pages.where(F.col("page_text").isNotNull())
+    so_far = F.coalesce(F.sum("_n").over(Window.partitionBy("document_id").orderBy("page_number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # Only lengths go through the window; texts join the few pages with room left.
+    room = rows.select("document_id", "page_number", F.length("page_text").alias("_n")).withColumn("_room", F.greatest(F.lit(0), F.lit(limit) - so_far)).where("_room > 0").select("document_id", "page_number", "_room")
+    return rows.join(room, ["document_id", "page_number"]).select("document_id", "page_number", F.substring(F.col("page_text"), F.lit(1), F.col("_room").cast("int")).alias("preview"))
 
 
 def method_totals(pages: DataFrame, by: list[str]) -> DataFrame:
@@ -81,14 +85,18 @@ def paged(rows: DataFrame, order: list[Column | str], page: int, size: int = 20,
     return rows.withColumn("position", n).where((F.col("position") > (page - 1) * size) & (F.col("position") <= page * size))
 
 
-def fingerprints(chunks: DataFrame, order: list[str]) -> DataFrame:
-    """SHA-256 of a document's chunk texts in order, each ended by a NUL.
+def fingerprints(chunks: DataFrame, order: list[str], by: str = "page_number") -> DataFrame:
+    """SHA-256 over a document's chunk texts in order, in two levels.
 
-    One document's chunks are gathered in one row, as the digest runs over all of them; a document is bounded by
-    what the upload limits allow.
+    The chunks of each `by` (a page) are joined, every text ended by a NUL, and hashed; the document's fingerprint is
+    the hash of those hashes in order. A row never holds more text than one page, or 64 characters for each page.
     """
+    if by not in chunks.columns:
+        chunks = chunks.withColumn(by, F.lit(1))
     texts = F.transform(F.array_sort(F.collect_list(F.struct(*order, "text"))), lambda x: F.concat(F.coalesce(x["text"], F.lit("")), F.lit("\0")))
-    return chunks.groupBy("document_id").agg(F.sha2(F.array_join(texts, ""), 256).alias("fingerprint"), F.count(F.lit(1)).alias("chunks"))
+    pages = chunks.groupBy("document_id", by).agg(F.sha2(F.array_join(texts, ""), 256).alias("_h"), F.count(F.lit(1)).alias("_n"))
+    hashes = F.transform(F.array_sort(F.collect_list(F.struct(by, "_h"))), lambda x: x["_h"])
+    return pages.groupBy("document_id").agg(F.sha2(F.array_join(hashes, ""), 256).alias("fingerprint"), F.sum("_n").alias("chunks"))
 
 
 def valid_cache_rows(rows: DataFrame, version: int = 1) -> DataFrame:

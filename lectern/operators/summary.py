@@ -62,7 +62,7 @@ def extractive(chunks: DataFrame, by: list[str], order: list[str], most: int = 8
     scored = words.join(totals, [*by, "word"], "left").groupBy(*key).agg(F.coalesce(F.sum("f"), F.lit(0)).alias("weight")).withColumn("score", F.col("weight") / F.greatest(F.lit(1), F.length("sentence")))
     tie = ["page_number", *order, "chunk_id", "n"]
     page = Window.partitionBy(*by, "page_number").orderBy(F.desc("score"), *tie)
-    turn = scored.withColumn("turn", F.row_number().over(page)).where(F.col("turn") <= 64)
+    turn = scored.withColumn("turn", F.row_number().over(page))
     first = F.max("score").over(Window.partitionBy(*by, "page_number"))
     seen = Window.partitionBy(*by, "sentence").orderBy("turn", F.desc("page_best"), "page_number")
     unique = turn.withColumn("page_best", first).withColumn("_seen", F.row_number().over(seen)).where("_seen = 1")

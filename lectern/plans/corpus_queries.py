@@ -78,9 +78,9 @@ def w19_listing_page(spark, d):
     return corpus.paged(chunks(spark, d), ["page_number", "chunk_ord", "chunk_id"], 2, by=["document_id"]).select("document_id", "chunk_id", "position")
 
 
-@query("a22_fingerprints", f"WITH {CHUNKS} SELECT document_id, sha256(string_agg(coalesce(text, '') || chr(0), '' ORDER BY page_number, chunk_ord, chunk_id)) AS fingerprint, count(*) AS chunks FROM c GROUP BY document_id")
+@query("a22_fingerprints", f"WITH {CHUNKS}, h AS (SELECT document_id, page_number, sha256(string_agg(coalesce(text, '') || chr(0), '' ORDER BY chunk_ord, chunk_id)) AS h, count(*) AS n FROM c GROUP BY ALL) SELECT document_id, sha256(string_agg(h, '' ORDER BY page_number)) AS fingerprint, CAST(sum(n) AS BIGINT) AS chunks FROM h GROUP BY document_id")
 def a22_fingerprints(spark, d):
-    return corpus.fingerprints(chunks(spark, d), ["page_number", "chunk_ord", "chunk_id"])
+    return corpus.fingerprints(chunks(spark, d), ["chunk_ord", "chunk_id"])
 
 
 @query("f9_valid_records", "SELECT document_id, filename FROM doc_records WHERE regexp_matches(document_id, '^[0-9a-f]{64}$') AND status IN ('Processed', 'Failed') AND filename IS NOT NULL")
