@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.hashing import WORD, WordIds, mix, shingles
@@ -157,11 +157,13 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     mark = None
     for _ in range(most_rounds):
         both = edges.union(edges.select("v", "u"))
-        lowest = Window.partitionBy("u")
-        large = both.withColumn("m", F.least(F.min("v").over(lowest), F.col("u"))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v")
-        small = down.withColumn("m", F.min("v").over(lowest))
-        edges = cut(small.select("v", "m").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).distinct())
+        # Aggregates and joins, not windows: the neighbours of one node may be a third of all nodes.
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        down = cut(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct())
+        least = down.groupBy("u").agg(F.min("v").alias("m"))
+        small = down.join(least, "u")
+        edges = cut(small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct())
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == mark:
             break
