@@ -26,6 +26,26 @@ def q7_timeline(spark, d):
     return rows.select("evidence_id", "date", "date_precision", "event_type", "event", "source_filename", "document_id", "page_number", "chunk_id")
 
 
+def _dates(spark, d, precision, pattern):
+    rows = timeline.events(chunks(spark, d)).where(F.col("date_precision") == precision)
+    return rows.where(F.col("date").rlike(pattern)).select("document_id", F.lower("date").alias("date")).distinct()
+
+
+@query("t6_iso_dates", f"WITH {CHUNKS} SELECT DISTINCT document_id, unnest(regexp_extract_all(text, '\\b(?:19|20)\\d{{2}}[-/]\\d{{1,2}}[-/]\\d{{1,2}}\\b')) AS date FROM c")
+def t6_iso_dates(spark, d):
+    return _dates(spark, d, "exact", "^(?:19|20)\\d{2}[-/]")
+
+
+@query("t6_fiscal_dates", f"WITH {CHUNKS} SELECT DISTINCT document_id, lower(unnest(regexp_extract_all(text, '(?i)\\b(?:FY|Fiscal Year)\\s*(?:19|20)\\d{{2}}(?:\\s*[-–/]\\s*\\d{{2,4}})?\\b'))) AS date FROM c")
+def t6_fiscal_dates(spark, d):
+    return _dates(spark, d, "fiscal", ".")
+
+
+@query("t6_relative_dates", f"WITH {CHUNKS} SELECT DISTINCT document_id, lower(unnest(regexp_extract_all(text, '(?i)\\b(?:within|no later than|not later than)\\s+\\d+\\s+(?:calendar\\s+|business\\s+|working\\s+)?(?:day|days|week|weeks|month|months|year|years)\\b'))) AS date FROM c")
+def t6_relative_dates(spark, d):
+    return _dates(spark, d, "relative", ".")
+
+
 @query("a12_timeline_summary")
 def a12_timeline_summary(spark, d):
     return timeline.timeline_summary(timeline.events(chunks(spark, d)))
@@ -69,6 +89,28 @@ def a7_percentages(spark, d):
     return entities.merged(entities.references(chunks(spark, d))).where("category = 'Percentages'").select("canonical", "documents")
 
 
+def _entities_sql(tail):
+    phrase = "[A-Z][A-Za-z0-9&''’.-]*(?:\\s+(?:[A-Z][A-Za-z0-9&''’.-]*|of|the|and|for|to|in)){0,8}"
+    return f"""WITH {CHUNKS}, x AS (SELECT document_id, unnest(regexp_extract_all(text, '\\b{phrase}\\s+{tail}\\b')) AS raw FROM c),
+    y AS (SELECT document_id, regexp_replace(regexp_replace(regexp_replace(raw, '\\s+', ' ', 'g'), '^[ ,.;:()\\[\\]]+|[ ,.;:()\\[\\]]+$', '', 'g'), '^The\\s+', '') AS e FROM x)
+    SELECT trim(regexp_replace(lower(e), '[^a-z0-9]+', ' ', 'g')) AS canonical, count(DISTINCT document_id) AS documents FROM y WHERE length(e) BETWEEN 1 AND 180 GROUP BY canonical"""
+
+
+@query("q8_acts", _entities_sql("Act(?:,?\\s+(?:19|20)\\d{2})?"))
+def q8_acts(spark, d):
+    return entities.merged(entities.references(chunks(spark, d))).where("category = 'Acts'").select("canonical", "documents")
+
+
+@query("q8_policies", _entities_sql("(?:Policy|Directive|Doctrine|Strategy)"))
+def q8_policies(spark, d):
+    return entities.merged(entities.references(chunks(spark, d))).where("category = 'Policies'").select("canonical", "documents")
+
+
+@query("q8_rules", _entities_sql("(?:Rules?|Regulations?)(?:,?\\s+(?:19|20)\\d{2})?"))
+def q8_rules(spark, d):
+    return entities.merged(entities.references(chunks(spark, d))).where("category = 'Rules/regulations'").select("canonical", "documents")
+
+
 @query("a10_documents_with_facts")
 def a10_documents_with_facts(spark, d):
     rows = chunks(spark, d)
@@ -272,9 +314,19 @@ def w15_summary_groups(spark, d):
     return summary.grouped(summary.bounded(chunks(spark, d)), ["page_number", "chunk_ord", "chunk_id", "offset"])
 
 
-@query("q4_extractive_summary")
+@query("q4_extractive_summary", f"""
+    WITH {CHUNKS}, b AS (SELECT document_id, page_number, chunk_id, chunk_ord, string_split(regexp_replace(regexp_replace(trim(text, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)), '([.!?])\\s+', '\\1' || chr(1), 'g'), '\\n+', chr(1), 'g'), chr(1)) AS parts FROM c WHERE regexp_matches(text, '[\\p{{L}}\\p{{N}}]')),
+    s0 AS (SELECT document_id, page_number, chunk_id, chunk_ord, unnest(range(0, len(parts))) AS n, trim(unnest(parts)) AS sentence FROM b),
+    s AS (SELECT *, [lower(x) FOR x IN regexp_extract_all(sentence, '[\\p{{L}}\\p{{N}}_]{{4,}}')] AS w FROM s0 WHERE length(sentence) >= 25 AND regexp_matches(sentence, '[\\p{{L}}\\p{{N}}]')),
+    o AS (SELECT document_id, chunk_id, n, unnest(w) AS word FROM s), f AS (SELECT document_id, word, count(*) AS f FROM o GROUP BY ALL),
+    g AS (SELECT o.document_id, o.chunk_id, o.n, sum(f) AS weight FROM o JOIN f USING (document_id, word) GROUP BY ALL),
+    x AS (SELECT s.*, coalesce(weight, 0)::DOUBLE / greatest(1, length(sentence)) AS score FROM s LEFT JOIN g USING (document_id, chunk_id, n)),
+    t AS (SELECT *, row_number() OVER (PARTITION BY document_id, page_number ORDER BY score DESC, chunk_ord, chunk_id, n) AS turn, max(score) OVER (PARTITION BY document_id, page_number) AS best FROM x),
+    u AS (SELECT *, row_number() OVER (PARTITION BY document_id, sentence ORDER BY turn, best DESC, page_number) AS seen FROM t),
+    v AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY turn, best DESC, page_number) AS position FROM u WHERE seen = 1)
+    SELECT document_id, position, page_number, chunk_id, sentence FROM v WHERE position <= 8""")
 def q4_extractive_summary(spark, d):
-    return summary.extractive(summary.bounded(chunks(spark, d)), ["document_id"], ["chunk_ord"])
+    return summary.extractive(summary.bounded(chunks(spark, d)), ["document_id"], ["chunk_ord"]).drop("score")
 
 
 @query("w18_token_windows")

@@ -182,7 +182,18 @@ def confidence_rows(spark, d):
     return evidence.numbered(hybrid_rows(spark, d), "E", [F.desc("hybrid_score"), "rank"], ["query_id"])
 
 
-@query("a6_confidence_levels")
+MODAL = "['must','shall','required','mandatory','permitted','allowed']"
+FORBIDS = "(" + " OR ".join(f"contains(low, '{x}')" for x in ("must not", "shall not", "not permitted", "not allowed", "prohibited", "forbidden")) + ")"
+
+
+@query("a6_confidence_levels", f"""{HYBRID}, e AS (SELECT h.*, lower(coalesce(h.text, '')) AS low, {TERMSET.format('query')} AS qt, {TERMSET.format("lower(coalesce(h.text, ''))")} AS tt FROM h JOIN q USING (query_id) WHERE rank <= 4),
+    m AS (SELECT *, {FORBIDS} AS neg, list_has_any(tt, {MODAL}) AND NOT {FORBIDS} AS pos FROM e),
+    clash AS (SELECT DISTINCT a.query_id FROM m a JOIN m b ON a.query_id = b.query_id AND a.pos AND b.neg WHERE list_has_any(list_filter(list_intersect(a.tt, b.tt), lambda x: NOT list_contains({MODAL}, x)), a.qt)),
+    g AS (SELECT query_id, count(*) AS support, count(DISTINCT document_id) AS documents, len(list_distinct(flatten(list(list_intersect(tt, qt))))) / len(any_value(qt))::DOUBLE AS tc,
+      avg(CASE WHEN retrieval_source = 'Both' THEN 1.0 ELSE 0.0 END) AS agreement, coalesce(max(semantic_similarity), 0) AS top, bool_or(keyword_score IS NOT NULL) AS lexical FROM e GROUP BY query_id),
+    p AS (SELECT *, CASE WHEN top >= 0.6 THEN 2 WHEN top >= 0.4 THEN 1 ELSE 0 END + CASE WHEN support >= 3 THEN 2 WHEN support >= 2 THEN 1 ELSE 0 END + CASE WHEN documents >= 2 THEN 1 ELSE 0 END
+      + CASE WHEN support / 4.0 >= 0.75 THEN 2 WHEN support / 4.0 >= 0.5 THEN 1 ELSE 0 END + CASE WHEN tc >= 0.6 THEN 1 ELSE 0 END + CASE WHEN agreement >= 0.5 THEN 1 ELSE 0 END AS points, query_id IN (SELECT query_id FROM clash) AS conflict FROM g)
+    SELECT query_id, CASE WHEN top < 0.2 AND NOT lexical AND tc < 0.2 THEN 'INSUFFICIENT' WHEN conflict THEN 'LOW' WHEN points >= 7 THEN 'HIGH' WHEN points >= 4 THEN 'MEDIUM' ELSE 'LOW' END AS level, points, conflict FROM p""")
 def a6_confidence_levels(spark, d):
     return evidence.confidence(confidence_queries(spark), confidence_rows(spark, d)).select("query_id", "level", "points", "conflict")
 
