@@ -28,20 +28,21 @@ def q7_timeline(spark, d):
 
 def _dates(spark, d, precision, pattern):
     rows = timeline.events(chunks(spark, d)).where(F.col("date_precision") == precision)
-    return rows.where(F.col("date").rlike(pattern)).select("document_id", F.lower("date").alias("date")).distinct()
+    # Ignoring case, a long s is an s to the recogniser; the result is written with an s, as in the SQL.
+    return rows.where(F.col("date").rlike(pattern)).select("document_id", F.replace(F.lower("date"), F.lit("ſ"), F.lit("s")).alias("date")).distinct()
 
 
-@query("t6_iso_dates", f"WITH {CHUNKS} SELECT DISTINCT document_id, unnest(regexp_extract_all(text, '\\b(?:19|20)\\d{{2}}[-/]\\d{{1,2}}[-/]\\d{{1,2}}\\b')) AS date FROM c")
+@query("t6_iso_dates", f"WITH {CHUNKS} SELECT DISTINCT document_id, unnest(regexp_extract_all(replace(text, 'ſ', 's'), '\\b(?:19|20)\\d{{2}}[-/]\\d{{1,2}}[-/]\\d{{1,2}}\\b')) AS date FROM c")
 def t6_iso_dates(spark, d):
     return _dates(spark, d, "exact", "^(?:19|20)\\d{2}[-/]")
 
 
-@query("t6_fiscal_dates", f"WITH {CHUNKS} SELECT DISTINCT document_id, lower(unnest(regexp_extract_all(text, '(?i)\\b(?:FY|Fiscal Year)\\s*(?:19|20)\\d{{2}}(?:\\s*[-–/]\\s*\\d{{2,4}})?\\b'))) AS date FROM c")
+@query("t6_fiscal_dates", f"WITH {CHUNKS} SELECT DISTINCT document_id, lower(unnest(regexp_extract_all(replace(text, 'ſ', 's'), '(?i)\\b(?:FY|Fiscal Year)\\s*(?:19|20)\\d{{2}}(?:\\s*[-–/]\\s*\\d{{2,4}})?\\b'))) AS date FROM c")
 def t6_fiscal_dates(spark, d):
     return _dates(spark, d, "fiscal", ".")
 
 
-@query("t6_relative_dates", f"WITH {CHUNKS} SELECT DISTINCT document_id, lower(unnest(regexp_extract_all(text, '(?i)\\b(?:within|no later than|not later than)\\s+\\d+\\s+(?:calendar\\s+|business\\s+|working\\s+)?(?:day|days|week|weeks|month|months|year|years)\\b'))) AS date FROM c")
+@query("t6_relative_dates", f"WITH {CHUNKS} SELECT DISTINCT document_id, lower(unnest(regexp_extract_all(replace(text, 'ſ', 's'), '(?i)\\b(?:within|no later than|not later than)\\s+\\d+\\s+(?:calendar\\s+|business\\s+|working\\s+)?(?:day|days|week|weeks|month|months|year|years)\\b'))) AS date FROM c")
 def t6_relative_dates(spark, d):
     return _dates(spark, d, "relative", ".")
 
