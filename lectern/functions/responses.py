@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -122,6 +121,3 @@ def prompt_block(evidence_id: Column, filename: Column, page: Column, chunk_id:
     """One piece of evidence wrapped as untrusted input, with tags of its own escaped."""
     inner = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?i)</?evidence", "&lt;evidence")
     return F.concat(F.lit('<evidence id="'), evidence_id, F.lit('" file="'), F.replace(filename, F.lit('"'), F.lit("'")), F.lit('" page="'), page.cast("string"), F.lit('" chunk="'), chunk_id, F.lit('">\n'), inner, F.lit("\n</evidence>"))
-
-
-UNSAFE = re.compile(r"<!(?:DOCTYPE|ENTITY)", re.I)
