@@ -10,28 +10,30 @@ Lines travel as (document, hash); texts are never shuffled to find the lines.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLANKS = "[ \\t]+"
 
 
-def normal_line(line: Column) -> Column:
-    """Stripped (of any carriage return too), spaces and tabs collapsed, lower case, digit runs as `#`.
+def normal_lines(rows: DataFrame, line: str) -> DataFrame:
+    """`rows` without empty lines and with `line` normalised: stripped (of any carriage return too), spaces and tabs
+    collapsed, lower case, digit runs as `#`.
 
-    Patterns run only on lines that need them; most lines have neither doubled blanks nor digits.
+    One step is one projection: Catalyst keeps them apart, as each step refers to the one before more than once, so
+    nothing is computed twice. Patterns run only on lines that need them.
     """
-    bare = F.btrim(line, F.lit(" \t\n\r\f\u000b"))
-    single = F.when(bare.contains("  ") | bare.contains("\t"), F.regexp_replace(bare, BLANKS, " ")).otherwise(bare)
-    low = F.lower(single)
-    return F.when(low.rlike("[0-9]"), F.regexp_replace(low, "[0-9]+", "#")).otherwise(low)
+    x = F.col(line)
+    rows = rows.withColumn(line, F.btrim(x, F.lit(" \t\n\r\f\u000b"))).where(x != "")
+    rows = rows.withColumn(line, F.when(x.contains("  ") | x.contains("\t"), F.regexp_replace(x, BLANKS, " ")).otherwise(x))
+    rows = rows.withColumn(line, F.lower(x))
+    return rows.withColumn(line, F.when(x.rlike("[0-9]"), F.regexp_replace(x, "[0-9]+", "#")).otherwise(x))
 
 
 def page_lines(pages: DataFrame, doc: str, page: str, text: str) -> DataFrame:
     """(doc, page, line_no, line_hash) of every line that is not empty; line_no counts all lines from 1."""
     lines = pages.where(F.col(doc).isNotNull() & F.col(text).isNotNull()).select(F.col(doc).alias("doc"), F.col(page).alias("page"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
-    kept = lines.select("doc", "page", (F.col("line_no") + 1).alias("line_no"), normal_line(F.col("line")).alias("line")).where("line != ''")
-    return kept.select("doc", "page", "line_no", F.xxhash64("line").alias("line_hash"))
+    return normal_lines(lines, "line").select("doc", "page", (F.col("line_no") + 1).alias("line_no"), F.xxhash64("line").alias("line_hash"))
 
 
 def frequent_lines(pages: DataFrame, records: DataFrame, *, doc: str = "document_id", page: str = "page_number", text: str = "page_text", source: str = "publisher", published: str = "uploaded_at", unit: str = "documents", least: int = 5, percent: int = 30, least_dates: int = 1) -> DataFrame:
