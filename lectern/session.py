@@ -45,5 +45,6 @@ def scratch_dir(prefix: str) -> str:
 
     Nothing in it outlives the task, so a lost executor costs a retried task and no data.
     """
-    roots = [x for x in os.environ.get("SPARK_LOCAL_DIRS", "").split(",") if x and os.path.isdir(x)]
+    named = next((os.environ[k] for k in ("SPARK_EXECUTOR_DIRS", "SPARK_LOCAL_DIRS", "LOCAL_DIRS") if os.environ.get(k)), "")
+    roots = [x for x in named.replace(os.pathsep, ",").split(",") if os.path.isdir(x)]
     return tempfile.mkdtemp(prefix=prefix, dir=roots[os.getpid() % len(roots)] if roots else None)
