@@ -1,15 +1,13 @@
 """Problem 7: the most similar vectors of every vector.
 
-Collision-counting hashing. A vector's projections on random lines are kept as sorted arrays, one per line. A
-query opens a window around its own value in every array; windows grow from radius to radius (virtual
-rehashing: the same arrays, wider windows) until enough vectors have collided with the query in more than a
-threshold of the arrays, and only those are verified by their exact similarity.
+The collection is cut into cells by the signed largest coordinates of random rotations, `tables` times, and a
+vector is held against all vectors of its cells by their exact similarity. The number of rotations follows the
+number of vectors, so cells keep their size as the collection grows.
 
-Sorted arrays over all vectors would need every query to meet a fixed share of the collection in each array, so
-the collection is first cut into cells by the signed largest coordinates of random rotations, `tables` times;
-arrays and windows live inside a cell. The number of rotations follows the number of vectors, so cells keep
-their size as the collection grows. A cell that is still too large (a dense region may hold a third of all
-rows) is cut along one projection into stretches, and each query also sees the stretches beside its own.
+A cell that is still too large (a dense region may hold a third of all rows) has one direction in common, which
+says nothing about who is near whom. It is hashed again around its own mean, by rotations of its table's own, and
+so on until it is small; every vector goes to its two best codes there. What `LEVELS` rounds leave too large
+(vectors of one direction) is verified whole, in pairs of salted blocks.
 
 Equal vectors are one class, searched once. A class carries its smallest ids, enough for any answer.
 """
@@ -23,8 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.session import cut
+
 CELL = 64  # vectors per cell aimed at
-LINES, SHARE, GROWTH, EXTRA = 40, 0.55, 1.5, 100
+LINES, SHARE, GROWTH = 40, 0.55, 1.5
+WHOLE = 5  # stretches in a cell that is verified whole
+PROBES, LEVELS, SLACK = 2, 3, 1.25  # codes a vector goes to in a larger cell, rounds of hashing it again, room for uneven cells
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str, dims: int) -> DataFrame:
@@ -47,7 +49,7 @@ def _unit(column: pa.Array, dims: int) -> np.ndarray:
 
 def _hashed(tables: int, depth: int, dims: int, seed: int):
     def work(batches):
-        turns, line = _rotations(tables, depth, dims, seed), np.random.RandomState(seed + 1).standard_normal(dims)
+        turns = _rotations(tables, depth, dims, seed)
         for batch in batches:
             x = _unit(batch.column(2), dims)
             cells = np.zeros((len(x), tables), np.int64)
@@ -57,7 +59,34 @@ def _hashed(tables: int, depth: int, dims: int, seed: int):
                     top = np.abs(y).argmax(axis=1)
                     cells[:, t] = cells[:, t] * (2 * dims) + 2 * top + (y[np.arange(len(x)), top] > 0)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * tables), pa.array(cells.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], flat, pa.array(x @ line)], ["class", "ids", "v", "cells", "along"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], flat], ["class", "ids", "v", "cells"])
+
+    return work
+
+
+def _rehashed(level: int, whole: int, dims: int, seed: int):
+    """Codes of the rows of large cells: the signed largest coordinates of what is left of a vector without its cell's mean."""
+
+    def work(batches):
+        turns: dict[int, np.ndarray] = {}
+        for batch in batches:
+            tables, rows = batch.column(0).to_numpy(), batch.column(5).to_numpy()
+            x = _unit(batch.column(4), dims)
+            x -= batch.column(6).flatten().to_numpy().reshape(-1, dims)
+            y = np.zeros_like(x)
+            for t in np.unique(tables).tolist():
+                if t not in turns:
+                    turns[t] = np.linalg.qr(np.random.RandomState([seed, level, t]).standard_normal((dims, dims)))[0]
+                y[tables == t] = x[tables == t] @ turns[t]
+            y = np.round(y, 6)  # what is nearer has the same similarity
+            used = np.clip(np.ceil(SLACK * PROBES * rows / whole / 2), 2, dims)  # as many coordinates as the cell needs
+            y[np.arange(dims) >= used[:, None]] = 0.0
+            both = np.concatenate((y, -y), axis=1)
+            best = np.argsort(-both, axis=1, kind="stable")[:, :PROBES]
+            far = np.take_along_axis(both, best, axis=1) > 0
+            far[:, 0] = True
+            codes = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(far.sum(axis=1)))).astype(np.int32)), pa.array(best[far].astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], codes], ["tbl", "cell", "class", "ids", "v", "codes"])
 
     return work
 
@@ -94,32 +123,33 @@ def collide(values: np.ndarray, queries: np.ndarray, wanted: int) -> np.ndarray:
     return out
 
 
-def nearest_in_cell(x: np.ndarray, own: np.ndarray, ids: list[list[int]], lines: np.ndarray, k: int) -> list[list[tuple[float, int]]]:
-    """For each query row in `own` the k best (-similarity, id), ties to the smaller id; itself included."""
+def nearest_in_cell(x: np.ndarray, ids: list[list[int]], k: int) -> list[list[tuple[float, int]]]:
+    """For each row the k best (-similarity, id) of all rows, ties to the smaller id; itself included."""
     flat = np.array([i for group in ids for i in group], np.int64)
-    row = np.repeat(np.arange(len(ids)), [len(group) for group in ids])
+    sizes = np.array([len(group) for group in ids])
+    starts = np.cumsum(sizes) - sizes
     answers = []
-    for a in range(0, len(own), 256):
-        part = own[a : a + 256]
-        far = -np.round(x[part] @ x.T, 9)[:, row]
-        if len(x) > k + EXTRA:
-            seen = collide(x @ lines, part, k + EXTRA)
-            seen[np.arange(len(part)), part] = True
-            far = np.where(seen[:, row], far, np.inf)
-        best = np.lexsort((np.broadcast_to(flat, far.shape), far), axis=1)[:, :k]
-        scores = np.take_along_axis(far, best, axis=1)
-        answers += [[(s, i) for s, i in zip(sc, i_, strict=True) if s != np.inf] for sc, i_ in zip(scores.tolist(), flat[best].tolist(), strict=True)]
+    for a in range(0, len(x), 256):
+        far = -np.round(x[a : a + 256] @ x.T, 9)
+        last = np.partition(far, k - 1, axis=1)[:, k - 1 : k] if far.shape[1] > k else np.inf
+        query, row = np.nonzero(far <= last)  # k rows have k ids at least
+        scores, many = far[query, row], sizes[row]
+        at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(starts[row], many)
+        query, scores, names = np.repeat(query, many), np.repeat(scores, many), flat[at]
+        order = np.lexsort((names, scores, query))
+        edges = np.searchsorted(query[order], np.arange(len(far) + 1))
+        scores, names = scores[order].tolist(), names[order].tolist()
+        answers += [list(zip(scores[i : min(j, i + k)], names[i : min(j, i + k)], strict=True)) for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
     return answers
 
 
 ANSWERS = "class bigint, found array<struct<far: double, id: bigint>>"
 
 
-def _searched(dims: int, k: int, seed: int):
+def _searched(dims: int, k: int):
     found_type = pa.list_(pa.struct([("far", pa.float64()), ("id", pa.int64())]))
 
     def work(batches):
-        lines = np.random.RandomState(seed + 2).standard_normal((dims, LINES))
         held: list[pa.RecordBatch] = []
         key = None
 
@@ -133,11 +163,8 @@ def _searched(dims: int, k: int, seed: int):
 
         def answer(parts, classes, found):
             rows = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-            own = np.flatnonzero(rows.column(3).to_numpy(zero_copy_only=False))
-            if len(own):
-                names = rows.column(4).to_numpy()[own].tolist()
-                classes += names
-                found += nearest_in_cell(_unit(rows.column(6), dims), own, rows.column(5).to_pylist(), lines, k)
+            classes += rows.column(3).to_pylist()
+            found += nearest_in_cell(_unit(rows.column(5), dims), rows.column(4).to_pylist(), k)
 
         def packed(classes, found):
             return pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array([[{"far": s, "id": i} for s, i in f] for f in found], found_type)], ["class", "found"])
@@ -176,16 +203,34 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, k: int = 5, dims: int =
     count = classed.count()
     depth = max(1, math.ceil(math.log(max(count / CELL, 1)) / math.log(2 * dims)))
     tables = tables or 8 * 2 ** (depth - 1)
-    hashed = classes.mapInArrow(_hashed(tables, depth, dims, seed), "class bigint, ids array<bigint>, v array<float>, cells array<bigint>, along double")
-    placed = hashed.select("class", "ids", "v", "along", F.posexplode("cells").alias("tbl", "cell"))
-    big = placed.groupBy("tbl", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("along").alias("low"), F.max("along").alias("high")).where(F.col("n") > stretch)
-    big = big.select("tbl", "cell", "low", ((F.col("high") - F.col("low")) / F.ceil(F.col("n") / stretch)).alias("step"))
-    at = F.when(F.col("step") > 0, F.floor((F.col("along") - F.col("low")) / F.col("step"))).otherwise(F.lit(0)).cast("bigint")
-    cut_up = placed.join(big, ["tbl", "cell"], "left").withColumn("at", at)
-    beside = F.when(F.col("step") > 0, F.array(F.col("at"), F.col("at") - 1, F.col("at") + 1)).otherwise(F.array("at"))
-    cells = cut_up.withColumn("part", F.explode(beside)).select("tbl", "cell", "part", (F.col("part") == F.col("at")).alias("own"), "class", "ids", "v")
-    searched = cells.repartition("tbl", "cell", "part").sortWithinPartitions("tbl", "cell", "part").mapInArrow(_searched(dims, k + 1, seed), ANSWERS)
-    # At most `tables` lists of k + 1 for a class.
+    hashed = classes.mapInArrow(_hashed(tables, depth, dims, seed), "class bigint, ids array<bigint>, v array<float>, cells array<bigint>")
+    placed = hashed.select(F.posexplode("cells").alias("tbl", "cell"), "class", "ids", "v")
+    small, whole = None, WHOLE * stretch
+    for level in range(LEVELS + 1):
+        big = cut(placed.groupBy("tbl", "cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > whole))
+        if big.isEmpty():
+            kept, large = placed, None
+        else:
+            kept, large = placed.join(big, ["tbl", "cell"], "left_anti"), placed.join(big, ["tbl", "cell"]).select("tbl", "cell", "class", "ids", "v", "n")
+        kept = kept.withColumn("part", F.lit(0).cast("bigint"))
+        small = kept if small is None else small.unionByName(kept)
+        if large is None:
+            break
+        if level < LEVELS:
+            norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+            mean = F.array(*(F.avg(F.col("v")[i] / F.col("norm")) for i in range(dims)))
+            centre = cut(large.withColumn("norm", norm).groupBy("tbl", "cell").agg(mean.alias("centre")))
+            rows = large.join(centre, ["tbl", "cell"]).select("tbl", "cell", "class", "ids", "v", "n", "centre")
+            coded = rows.mapInArrow(_rehashed(level, whole, dims, seed), "tbl int, cell bigint, class bigint, ids array<bigint>, v array<float>, codes array<bigint>")
+            placed = coded.withColumn("code", F.explode("codes")).select("tbl", F.xxhash64("cell", "code").alias("cell"), "class", "ids", "v")
+        else:
+            blocks = F.ceil(2 * F.col("n") / whole)
+            pairs = large.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
+            beside = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), lambda j: F.least("block", j) * F.col("blocks") + F.greatest("block", j))
+            small = small.unionByName(pairs.withColumn("part", F.explode(beside)).select("tbl", "cell", "class", "ids", "v", "part"))
+    cells = small.select("tbl", "cell", "part", "class", "ids", "v")
+    searched = cells.repartition("tbl", "cell", "part").sortWithinPartitions("tbl", "cell", "part").mapInArrow(_searched(dims, k + 1), ANSWERS)
+    # Some lists of k + 1 for a class: one a table, more only from large cells.
     merged = searched.groupBy("class").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, k + 1).alias("found"))
     members = vectors.join(classed, "v").select("vec", "class")
     own = F.slice(F.filter("found", lambda x: x["id"] != F.col("vec")), 1, k)

@@ -104,6 +104,28 @@ def test_large_cells_are_cut_into_stretches(spark):
     assert sum(len(got[n] & set(want[n])) for n in want) / (5 * len(want)) > 0.9
 
 
+def test_a_dense_region_of_a_third_of_the_rows_keeps_its_neighbours(spark):
+    rng = np.random.RandomState(11)
+    centre = rng.randn(64)
+    x = np.concatenate([rng.randn(4000, 64), centre + 0.01 * rng.randn(2000, 64)]).astype(np.float32)
+    df = spark.createDataFrame([(n, v) for n, v in enumerate(x.tolist())], "vec_id bigint, embedding array<float>")
+    got = {}
+    for r in neighbours.nearest(df, "vec_id", "embedding", stretch=100).where("vec_id >= 4000").collect():
+        got.setdefault(r.vec_id, set()).add(r.neighbour)
+    want = exact({n: x[n] for n in range(4000, 6000)}, 5)
+    assert set(got) == set(want)
+    assert sum(len(got[n] & set(want[n])) for n in want) / (5 * len(want)) > 0.99
+
+
+def test_cells_of_one_direction_are_verified_whole(spark):
+    vectors = [(n, [float(n + 1)] * 64) for n in range(400)]
+    df = spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>")
+    got = {}
+    for r in neighbours.nearest(df, "vec_id", "embedding", stretch=50).orderBy("vec_id", "rank").collect():
+        got.setdefault(r.vec_id, []).append(r.neighbour)
+    assert got == {n: [i for i in range(6) if i != n][:5] for n in range(400)}
+
+
 def test_collisions_find_the_near_ones():
     rng = np.random.RandomState(8)
     x = rng.randn(400, 64)
