@@ -1,11 +1,14 @@
 """Problem 9: evaluation texts, or parts of them, inside a corpus.
 
-Rare n-gram seeds, then alignment. The evaluation items are the stated query set: their n-grams go to every task
+N-gram seeds, then alignment. The evaluation items are the stated query set: their n-grams go to every task
 (in blocks of a checked size), which looks for them in one pass over the corpus and keeps only the passages
-around hits. The hits give the corpus frequency of every item n-gram; every window of `run` words of an item
-then keeps its rarest n-gram as seed, so a shared run of `run` words always meets a seed, and phrases common in
-the corpus do not start alignments. Passages meeting an item's seed are aligned with it (Smith-Waterman over
-words), which scores edited copies, and the longest run of equal words is taken in the same pass.
+around hits. Every passage with an n-gram of an item is aligned with it (Smith-Waterman over words), which scores
+edited copies, and the longest run of equal words is taken in the same pass.
+
+Where only runs are asked for, the hits give the corpus frequency of every item n-gram and every window of `run`
+words of an item keeps its rarest n-gram as seed: a shared run of `run` words always meets a seed, and phrases
+common in the corpus do not start alignments. An edited copy beside a full one may hold none of the rarest, so
+scores need all.
 """
 
 from __future__ import annotations
@@ -61,6 +64,14 @@ class Items:
         get = self.vocabulary.get
         return np.array([get(w, -1) for w in words], np.int64)
 
+    def every(self) -> dict[int, list[int]]:
+        """n-gram -> items that have it."""
+        out: dict[int, set[int]] = defaultdict(set)
+        for item, grams in self.grams.items():
+            for g in grams.tolist():
+                out[g].add(item)
+        return {g: sorted(x) for g, x in out.items()}
+
     def seeds(self, rows_with: dict[int, int]) -> dict[int, list[int]]:
         """n-gram -> items: for every window of every item, of its n-grams found at all, the one in fewest passages."""
         out: dict[int, set[int]] = defaultdict(set)
@@ -126,12 +137,12 @@ def _aligned(items, seeds):
     return work
 
 
-def leaks(corpus: DataFrame, items: DataFrame, *, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", seed: int = 6, run: int = 12, score: float = 0.5, block_chars: int = 16_000_000) -> DataFrame:
+def leaks(corpus: DataFrame, items: DataFrame, *, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", seed: int = 6, run: int = 12, score: float | None = 0.5, block_chars: int = 16_000_000) -> DataFrame:
     """(doc, item, score, run): documents that hold an item, wholly or partly.
 
     `score` is the alignment score over that of the whole item, `run` the longest run of equal words. A pair is
     kept with a run of at least `run` words, or a score of at least `score`, among pairs that share a seed of
-    `seed` words. Words are runs of [a-z0-9] in the lower-cased text. Null ids and texts give nothing; items of
+    `seed` words; with `score` None, only with such a run. Words are runs of [a-z0-9] in the lower-cased text. Null ids and texts give nothing; items of
     fewer than `seed` words are not looked for; a row sent twice is reported once.
     """
     if not 0 < seed <= run:
@@ -145,11 +156,18 @@ def leaks(corpus: DataFrame, items: DataFrame, *, doc: str = "doc_id", text: str
     for block in range(blocks):
         rows = [tuple(x) for x in asked.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).collect()]
         held = spark.sparkContext.broadcast(Items(rows, seed, run))
-        hits = cut(texts.mapInArrow(_hits(held), "doc bigint, passage string, grams array<bigint>"))
-        # At most one row per n-gram of the block's items, whatever the corpus.
-        rows_with = Counter({r[0]: r[1] for r in hits.select(F.explode("grams").alias("g")).groupBy("g").count().collect()})
-        seeds = spark.sparkContext.broadcast(held.value.seeds(rows_with))
+        hits = texts.mapInArrow(_hits(held), "doc bigint, passage string, grams array<bigint>")
+        if score is None:
+            hits = cut(hits)
+            # At most one row per n-gram of the block's items, whatever the corpus.
+            rows_with = Counter({r[0]: r[1] for r in hits.select(F.explode("grams").alias("g")).groupBy("g").count().collect()})
+            seeds = spark.sparkContext.broadcast(held.value.seeds(rows_with))
+        else:
+            seeds = spark.sparkContext.broadcast(held.value.every())
         pairs = hits.mapInArrow(_aligned(held, seeds), SHAPE)
         found = pairs if found is None else found.unionByName(pairs)
     best = found.groupBy("doc", "item").agg(F.max(F.col("score") / F.col("of_score")).alias("score"), F.max("run").alias("run"))
-    return best.where((F.col("run") >= run) | (F.col("score") >= score)).select(F.col("doc").alias(doc), F.col("item").alias(item), "score", "run")
+    enough = F.col("run") >= run
+    if score is not None:
+        enough = enough | (F.col("score") >= score)
+    return best.where(enough).select(F.col("doc").alias(doc), F.col("item").alias(item), "score", "run")

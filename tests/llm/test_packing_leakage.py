@@ -90,3 +90,13 @@ def test_edited_copies_are_reported(spark):
     items = spark.createDataFrame([(5, " ".join(words))], "item_id bigint, text string")
     got = leakage.leaks(docs, items).collect()
     assert [(r.doc_id, r.item_id, r.run) for r in got] == [(1, 5, 8)] and got[0].score > 0.7
+
+
+def test_an_edited_copy_beside_a_full_one_is_reported(spark):
+    words = [f"u{n}" for n in range(80)]
+    edited = [w if n % 10 != 5 else "other" for n, w in enumerate(words)]
+    docs = spark.createDataFrame([(1, " ".join(edited)), (2, "before " + " ".join(words)), (3, "nothing alike")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(5, " ".join(words))], "item_id bigint, text string")
+    got = {r.doc_id: (r.item_id, r.run, round(r.score, 3)) for r in leakage.leaks(docs, items).collect()}
+    assert got == {1: (5, 9, 0.85), 2: (5, 80, 1.0)}
+    assert [r.doc_id for r in leakage.leaks(docs, items, score=None).collect()] == [2]
