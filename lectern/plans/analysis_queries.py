@@ -139,6 +139,12 @@ def t4_sentences(spark, d):
     return rows.select("document_id", "chunk_id", F.size(t.sentences(F.col("text"))).cast("bigint").alias("sentences"))
 
 
+@query("t4_sentences_all")
+def t4_sentences_all(spark, d):
+    """All chunks with text; SQL without a lookbehind cannot say where the two boundaries meet."""
+    return chunks(spark, d).where("text is not null").select("document_id", "chunk_id", F.size(t.sentences(F.col("text"))).cast("bigint").alias("sentences"))
+
+
 @query("t15_dois", f"WITH {PAPERS} SELECT DISTINCT paper_id, lower(regexp_replace(unnest(regexp_extract_all(body, '(?i)\\b10\\.\\d{{4,9}}/[^\\s<>\"]+')), '[.,;:)\\]}}]+$', '')) AS doi FROM pp")
 def t15_dois(spark, d):
     return papers(spark, d).select("paper_id", F.explode(t.dois(F.col("body"))).alias("doi"))

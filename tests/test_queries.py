@@ -1,6 +1,7 @@
 """Every query with SQL gives what the SQL gives, on the smallest tables."""
 
 import math
+import re
 from pathlib import Path
 
 import duckdb
@@ -40,3 +41,11 @@ def test_query_equals_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.SQL)))
 def test_query_runs(spark, name):
     assert catalogue.QUERIES[name](spark, str(FOLDER)).count() >= 0
+
+
+def test_sentences_of_all_chunks_equal_brute_force(spark, duck):
+    texts = duck.sql("SELECT DISTINCT document_id, chunk_id, text FROM doc_chunks WHERE text IS NOT NULL").fetchall()
+    assert any("\r" in t or re.search(r"[.!?]\s*\n", t) for _, _, t in texts)
+    want = {(d, c, len(re.split(r"(?<=[.!?])\s+|\n+", t))) for d, c, t in texts}
+    got = [(r.document_id, r.chunk_id, r.sentences) for r in catalogue.QUERIES["t4_sentences_all"](spark, str(FOLDER)).collect()]
+    assert set(got) == want and len(got) == len(want)
