@@ -6,6 +6,11 @@ a table too, so many are answered by one plan; scalars of the corpus come in as
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,6 +106,45 @@ def semantic_scores(units: DataFrame, queries: DataFrame, scope: Column | None =
     return rows.crossJoin(queries.select("query_id", "query_vector")).select("query_id", "vec_id", *KEY, dot(F.col("unit"), F.col("query_vector")).alias("similarity"))
 
 
+def best_of(k: int) -> Callable[[np.ndarray], np.ndarray]:
+    """For `semantic_blocks`: of each row of similarities the k best, and what equals the last of them."""
+
+    def keep(near: np.ndarray) -> np.ndarray:
+        near = np.round(near, 9)
+        return near >= np.partition(near, -k, axis=1)[:, [-k]] if near.shape[1] > k else np.ones(near.shape, bool)
+
+    return keep
+
+
+def near_best(floor: float = 0.25, gap: float = 0.15) -> Callable[[np.ndarray], np.ndarray]:
+    """For `semantic_blocks`: of each row of similarities those near its best."""
+    return lambda near: near >= np.maximum(floor, near.max(axis=1, keepdims=True) - gap)
+
+
+def semantic_blocks(units: DataFrame, queries: DataFrame, keep: Callable[[np.ndarray], np.ndarray], block: int = 8192) -> DataFrame:
+    """J4 for a query set that grows with the collection: (query_id, vec_id, similarity), of each query and block of
+    vectors what `keep` keeps. Every query meets every vector, as matrices of at most about `block` rows each."""
+    shape = "query_id bigint, vec_id bigint, similarity double"
+    wide, long = (max(1, math.ceil(x.count() / block)) for x in (queries, units))
+    one = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(wide)).alias("qb"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(long - 1).cast("bigint"))).alias("ub"), "query_id", "query_vector")
+    all_ = units.select(F.pmod(F.xxhash64("vec_id"), F.lit(long)).alias("ub"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(wide - 1).cast("bigint"))).alias("qb"), "vec_id", "unit")
+
+    def met(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = [], [], []
+        if left.num_rows and right.num_rows:
+            asked, names = left["query_id"].to_numpy(), right["vec_id"].to_numpy()
+            q, x = (c.combine_chunks().flatten().to_numpy().reshape(len(c), -1) for c in (left["query_vector"], right["unit"]))
+            for a in range(0, len(q), 256):
+                near = q[a : a + 256] @ x.T
+                at, row = np.nonzero(keep(near))
+                for column, values in zip(found, (asked[a + at], names[row], near[at, row]), strict=True):
+                    column.append(values)
+        columns = [np.concatenate(c) if c else np.empty(0, kind) for c, kind in zip(found, (np.int64, np.int64, np.float64), strict=True)]
+        return pa.table(dict(zip(("query_id", "vec_id", "similarity"), columns, strict=True)))
+
+    return one.groupBy("qb", "ub").cogroup(all_.groupBy("qb", "ub")).applyInArrow(met, shape)
+
+
 def top_ranked(scores: DataFrame, k: int, score: str, ties: list[str], by: str = "query_id", name: str = "rank") -> DataFrame:
     """The best k rows of each query, ranked from 1; ties in the order of `ties`.
 

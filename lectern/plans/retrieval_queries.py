@@ -88,6 +88,21 @@ def j4_cosine_topk(spark, d):
     return retrieval.top_ranked(scores, 10, "similarity", ["vec_id"]).select("query_id", "vec_id", "rank", F.round("similarity", 6).alias("similarity"))
 
 
+EACH = f"{UNITS}, every AS (SELECT q.vec_id AS query_id, x.vec_id, list_cosine_similarity(x.e, q.e) AS similarity FROM units x, units q WHERE q.vec_id % 20 = 0)"
+
+
+def each_twentieth(units):
+    """Every vector whose id is divisible by 20 as a query."""
+    return units.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("unit").alias("query_vector"))
+
+
+@query("j4_cosine_topk_twentieth", f"WITH {EACH} SELECT query_id, vec_id, rank, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, vec_id) AS rank FROM every) WHERE rank <= 10")
+def j4_cosine_topk_twentieth(spark, d):
+    units = retrieval.usable_vectors(table(spark, d, "chunk_vectors"))
+    scores = retrieval.semantic_blocks(units, each_twentieth(units), retrieval.best_of(10)).withColumn("similarity", F.round("similarity", 9))
+    return retrieval.top_ranked(scores, 10, "similarity", ["vec_id"]).select("query_id", "vec_id", "rank", F.round("similarity", 6).alias("similarity"))
+
+
 HYBRID = f"""WITH {SCORED}, {UNITS},
     k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY keyword_score DESC, document_id, chunk_id) AS kr FROM kw) WHERE kr <= 16),
     s0 AS (SELECT query_id, document_id, chunk_id, max(similarity) AS similarity FROM sem GROUP BY ALL),
@@ -146,6 +161,13 @@ def f6_selected_by_cosine(spark, d):
     return rows.select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"))
 
 
+@query("f6_selected_by_cosine_twentieth", f"WITH {EACH}, w AS (SELECT *, max(similarity) OVER (PARTITION BY query_id) AS top FROM every) SELECT query_id, vec_id, round(similarity, 6) AS similarity FROM w WHERE top >= 0.28 AND similarity >= greatest(0.25, top - 0.15)")
+def f6_selected_by_cosine_twentieth(spark, d):
+    units = retrieval.usable_vectors(table(spark, d, "chunk_vectors"))
+    rows = evidence.selected_semantic(retrieval.semantic_blocks(units, each_twentieth(units), retrieval.near_best()))
+    return rows.select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"))
+
+
 @query("w2_evidence_ids", f"{HYBRID} SELECT query_id, document_id, chunk_id, 'E' || row_number() OVER (PARTITION BY query_id ORDER BY hybrid DESC, rank) AS evidence_id FROM h WHERE rank <= 4")
 def w2_evidence_ids(spark, d):
     return evidence.numbered(hybrid_rows(spark, d), "E", [F.desc("hybrid_score"), "rank"], ["query_id"]).select("query_id", *KEY, "evidence_id")

@@ -161,3 +161,19 @@ def test_report_is_one_text(spark):
     lines = reports.table_lines(rows_, ["name", "n"], ["n"])
     text = reports.rendered("T", ["note"], [("Part", lines, ["n"])])
     assert text == "# T\nnote\n\n## Part\n| a\\|b | 1 |\n| c | 2 |\n"
+
+
+def test_blocks_of_vectors_give_what_one_scan_gives(spark):
+    vectors = [(n, "d", str(n), [float((n * 37 + i * (n % 11 + 3)) % 17 - 8) for i in range(64)]) for n in range(1, 201)]
+    units = retrieval.usable_vectors(spark.createDataFrame(vectors, "vec_id bigint, document_id string, chunk_id string, embedding array<float>"))
+    asked = units.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("unit").alias("query_vector"))
+    scan = retrieval.semantic_scores(units, asked).withColumn("similarity", F.round("similarity", 9))
+
+    def best(scores):
+        return [tuple(r) for r in retrieval.top_ranked(scores, 10, "similarity", ["vec_id"]).select("query_id", "rank", "vec_id").orderBy("query_id", "rank").collect()]
+
+    got = retrieval.semantic_blocks(units, asked, retrieval.best_of(10), block=7).withColumn("similarity", F.round("similarity", 9))
+    assert best(got) == best(scan) and len(best(got)) == 100
+    near = retrieval.semantic_blocks(units, asked, retrieval.near_best(), block=7)
+    near, all_ = (evidence.selected_semantic(x).select("query_id", "vec_id") for x in (near, retrieval.semantic_scores(units, asked)))
+    assert {tuple(r) for r in near.collect()} == {tuple(r) for r in all_.collect()}
