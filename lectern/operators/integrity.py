@@ -128,12 +128,14 @@ def near_exact(submitted: DataFrame, sources: DataFrame, *, sid: str = "doc_id",
     """Windows that nearly equal a source window: the best candidate with `ratio` <= similarity < 1.
 
     Two windows this similar share `seed` words in a row (at most an eighth of the words differ, so the equal
-    blocks cannot all be shorter), which keeps the candidate join to such windows; of these the `candidates` with
+    blocks cannot all be shorter), or one less where at most 16 words are equal, so in windows of up to 21 words;
+    this keeps the candidate join to such windows; of these the `candidates` with
     most common words are compared, ties to the earlier window.
     """
 
     def seeded(df, key):
-        return df.select(key, "window", F.explode(array_hashes(F.col("words"), seed)).alias("gram"))
+        grams, shorter = (array_hashes(F.col("words"), n) for n in (seed, seed - 1))
+        return df.select(key, "window", F.explode(F.when(F.size("words") <= 21, F.concat(grams, shorter)).otherwise(grams)).alias("gram"))
 
     mine, theirs = windows(submitted, sid, stext), windows(sources, rid, rtext)
     met = seeded(mine, sid).join(seeded(theirs, rid).withColumnRenamed("window", "source_window"), "gram").select(sid, "window", rid, "source_window").distinct()

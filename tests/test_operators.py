@@ -177,3 +177,9 @@ def test_blocks_of_vectors_give_what_one_scan_gives(spark):
     near = retrieval.semantic_blocks(units, asked, retrieval.near_best(), block=7)
     near, all_ = (evidence.selected_semantic(x).select("query_id", "vec_id") for x in (near, retrieval.semantic_scores(units, asked)))
     assert {tuple(r) for r in near.collect()} == {tuple(r) for r in all_.collect()}
+
+
+def test_short_windows_of_three_equal_words_in_a_row_are_compared(spark):
+    mine = spark.createDataFrame([(1, "alpha bravo charlie xray delta echo foxtrot golf hotel india juliet kilo")], "doc_id int, text string")
+    theirs = spark.createDataFrame([(2, "alpha bravo charlie delta echo foxtrot yankee golf hotel india zulu juliet kilo")], "item_id int, text string")
+    assert integrity.near_exact(mine, theirs).count() == 1
