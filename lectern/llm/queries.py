@@ -139,7 +139,37 @@ def p4_repaired(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("p") and name[1:2].isdigit() and callable(f)}
+SPANS = """
+        once AS (SELECT paper_id, any_value(body) AS b FROM papers WHERE paper_id IS NOT NULL GROUP BY paper_id),
+        places AS (SELECT paper_id, b, unnest(range(1, length(b) - 198)) AS i FROM once WHERE length(b) >= 200),
+        windows AS (SELECT paper_id, i - 1 AS s, md5(substr(b, i, 200)) AS h FROM places),
+        held AS (SELECT h FROM windows GROUP BY h HAVING count(DISTINCT paper_id) > 1),
+        hits AS (SELECT paper_id, s, CASE WHEN s > lag(s + 200) OVER (PARTITION BY paper_id ORDER BY s) THEN 1 ELSE 0 END AS fresh FROM windows WHERE h IN (SELECT h FROM held)),
+        numbered AS (SELECT paper_id, s, sum(fresh) OVER (PARTITION BY paper_id ORDER BY s) AS n FROM hits),
+        spans AS (SELECT paper_id, CAST(min(s) AS INTEGER) AS span_start, CAST(max(s) + 200 AS INTEGER) AS span_end FROM numbered GROUP BY paper_id, n)"""
 SQL: dict[str, str] = {
+    "p1_found": f"WITH {SPANS} SELECT * FROM spans",
+    "p1_papers": f"""WITH {SPANS},
+        shared AS (SELECT paper_id, CAST(sum(span_end - span_start) AS BIGINT) AS shared_chars, count(*) AS stretches FROM spans GROUP BY paper_id)
+        SELECT paper_id, CAST(coalesce(length(b), 0) AS INTEGER) AS chars, coalesce(shared_chars, 0) AS shared_chars, coalesce(stretches, 0) AS stretches,
+        CASE WHEN length(b) > 0 THEN coalesce(shared_chars, 0)::DOUBLE / length(b) ELSE 0.0 END AS share FROM once LEFT JOIN shared USING (paper_id)""",
+    "p1_pages": f"""WITH {SPANS},
+        pages AS (SELECT DISTINCT paper_id, p.span_start AS page_start, p.span_end AS page_end, p.page_number AS page_number FROM (SELECT paper_id, unnest(page_spans) AS p FROM papers WHERE paper_id IS NOT NULL))
+        SELECT pages.paper_id, page_number, page_start, page_end, CAST(sum(CASE WHEN span_start IS NULL THEN 0 ELSE greatest(0, least(page_end, span_end) - greatest(page_start, span_start)) END) AS INTEGER) AS shared_chars
+        FROM pages LEFT JOIN spans ON pages.paper_id = spans.paper_id AND page_start < span_end AND page_end > span_start GROUP BY ALL""",
+    "p3_groups": r"""
+        WITH RECURSIVE texts AS (SELECT 'paper' AS kind, paper_id AS id, any_value(body) AS t FROM papers GROUP BY paper_id UNION ALL SELECT 'view', view_id, any_value(passage) FROM source_views GROUP BY view_id),
+        words AS (SELECT kind, id, regexp_extract_all(lower(t), '[a-z0-9]+') AS w FROM texts WHERE t IS NOT NULL AND id IS NOT NULL),
+        grams AS (SELECT DISTINCT kind, id, unnest([array_to_string(w[i:i + 2], ' ') FOR i IN range(1, len(w) - 1)]) AS g FROM words WHERE len(w) >= 3),
+        sets AS (SELECT kind, id, md5(string_agg(g, '|' ORDER BY g)) AS h, count(*) AS n FROM grams GROUP BY ALL),
+        members AS (SELECT kind, id, n, min(id) OVER (PARTITION BY kind, h) AS class FROM sets),
+        ones AS (SELECT grams.* FROM grams JOIN members USING (kind, id) WHERE id = class),
+        met AS (SELECT a.kind, a.id AS a, b.id AS b, count(*) AS c FROM ones a JOIN ones b ON a.kind = b.kind AND a.g = b.g AND a.id <> b.id GROUP BY ALL),
+        edges AS (SELECT met.kind, a, b FROM met JOIN members x ON x.kind = met.kind AND x.id = a JOIN members y ON y.kind = met.kind AND y.id = b WHERE c * 10 >= 6 * (x.n + y.n - c)),
+        reach AS (SELECT kind, id AS node, id AS seen FROM members WHERE id = class UNION SELECT reach.kind, node, b FROM reach JOIN edges ON edges.kind = reach.kind AND a = seen),
+        least AS (SELECT kind, node, min(seen) AS group_id FROM reach GROUP BY ALL),
+        degree AS (SELECT kind, a, count(*) AS links FROM edges GROUP BY ALL)
+        SELECT m.kind, m.id AS record, group_id, coalesce(links, 0) AS links FROM members m JOIN least ON least.kind = m.kind AND node = class LEFT JOIN degree ON degree.kind = m.kind AND a = class""",
     "p2_found": """
         WITH once AS (SELECT chunk_row, any_value(term_frequencies) AS tf FROM bm25_rows WHERE term_frequencies IS NOT NULL AND chunk_row IS NOT NULL GROUP BY chunk_row),
         held AS (SELECT unnest(map_keys(tf)) AS term FROM once),

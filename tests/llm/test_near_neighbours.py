@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lectern.llm import near, neighbours
@@ -26,7 +27,8 @@ def test_sketches_estimate_similarity():
     assert near.sketch(np.empty(0, np.uint64)).max() == 0
 
 
-def test_pairs_equal_brute_force(spark, rows):
+@pytest.mark.parametrize("hot", [near.HOT, 2])
+def test_pairs_equal_brute_force(spark, rows, hot):
     rng = random.Random(2)
     base = [[f"w{rng.randint(0, 3000)}" for _ in range(rng.randint(20, 60))] for _ in range(25)]
     texts = []
@@ -38,7 +40,7 @@ def test_pairs_equal_brute_force(spark, rows):
             texts.append(" ".join(w))
     data = [*enumerate(texts, 1), (900, None), (901, ""), (902, "two words"), (1, texts[0]), (None, texts[0])]
     df = spark.createDataFrame(data, "id bigint, text string").withColumn("class", F.lit("clash")).withColumn("record", F.lit(1))
-    found = near.NearDuplicates(df, "id", "text", width=3, threshold=0.6)
+    found = near.NearDuplicates(df, "id", "text", width=3, threshold=0.6, hot=hot)
     want = set()
     for i, a in enumerate(texts, 1):
         for j, b in enumerate(texts[i:], i + 1):
@@ -50,6 +52,7 @@ def test_pairs_equal_brute_force(spark, rows):
     assert set(groups) == set(range(1, len(texts) + 1))
     for a, b in want:
         assert groups[a][0] == groups[b][0]
+    assert all(group <= record for record, (group, _) in groups.items())
     empty = near.NearDuplicates(df.limit(0), "id", "text")
     assert rows(empty.pairs()) == set() and empty.groups().count() == 0
 

@@ -46,17 +46,25 @@ def brute_spans(texts, length):
     return out
 
 
-@pytest.mark.parametrize("bucket_rows", [2000, 1])
-def test_shared_spans_equal_brute_force(spark, rows, bucket_rows):
+@pytest.mark.parametrize("bucket_windows", [200_000, 40, 1])
+def test_shared_spans_equal_brute_force(spark, rows, bucket_windows):
     rng = random.Random(3)
     passage = "".join(rng.choice("abcdé😀 ") for _ in range(60))
     texts = [(1, "x" * 5 + passage + "y" * 9), (2, passage[10:50] + "zz" + passage[:30]), (3, passage[:19]), (4, "x" * 40), (5, "x" * 45), (6, None), (7, ""), (1, "x" * 5 + passage + "y" * 9), (8, passage * 3), (None, passage)]
     df = spark.createDataFrame(texts, "id bigint, text string").withColumn("bucket", F.lit(1)).withColumn("packed", F.lit("clash"))
-    got = rows(spans.shared_spans(df, "id", "text", length=20, seed=8, bucket_rows=bucket_rows))
+    got = rows(spans.shared_spans(df, "id", "text", length=20, seed=8, bucket_windows=bucket_windows))
     assert got == brute_spans([t for t in texts if t[0] is not None], 20)
     assert rows(spans.shared_spans(df.limit(0), "id", "text", length=20, seed=8)) == set()
 
 
+def test_long_runs_of_one_minimiser_are_several_strings(spark, rows):
+    line = "the same line over and over. "
+    runs = list(spans.window_runs(line * 500, 60, 20))
+    assert max(b - a for _, a, b in runs) <= spans.LONGEST_RUN and [a for _, a, _ in runs[1:]] == [b for _, _, b in runs[:-1]]
+    df = spark.createDataFrame([(1, line * 500), (2, "x" + line * 400)], "id bigint, text string")
+    assert rows(spans.shared_spans(df, "id", "text", length=60, seed=20)) == {(1, 0, len(line) * 500), (2, 1, len(line) * 400 + 1)}
+
+
 def test_one_record_sent_twice_shares_nothing(spark, rows):
     df = spark.createDataFrame([(1, "abcdefghij" * 5)] * 2, "id bigint, text string")
     assert rows(spans.shared_spans(df, "id", "text", length=20, seed=8)) == set()
