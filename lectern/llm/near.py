@@ -204,16 +204,20 @@ class NearDuplicates:
         self.members = sketched.select("h1", "h2", "record").join(named.hint("merge"), ["h1", "h2"]).select("class", "record").distinct()
         classes = stored(sketched.select("row", "size", "bands").join(named.select("row", "class").hint("merge"), "row").select("class", "size", "bands"))
         met = classes.select("class", F.posexplode("bands").alias("band", "value"))
-        full = cut(met.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot))
-        many = not full.isEmpty()
-        usual = met.join(full.hint("merge"), ["band", "value"], "left_anti") if many else met
+        # Most band values have one class and most others two, which need no join.
+        shared = cut(met.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("a"), F.max("class").alias("b")).where("n > 1"))
+        many, kinds = not shared.where(F.col("n") > hot).isEmpty(), shared.where(F.col("n") > 2).select("band", "value", "n")
+        asked = F.broadcast(kinds) if kinds.count() <= FEW else kinds.hint("merge")
+        several = met.join(asked, ["band", "value"])
+        usual = several.where(F.col("n") <= hot).select("class", "band", "value")
         other = usual.select(F.col("class").alias("b"), "band", "value")
-        pairs = usual.join(other.hint("merge"), ["band", "value"]).where("class < b").select(F.col("class").alias("a"), "b").distinct()
+        joined = usual.join(other.hint("merge"), ["band", "value"]).where("class < b").select(F.col("class").alias("a"), "b")
+        pairs = shared.where("n = 2").select("a", "b").unionByName(joined).distinct()
         one = classes.select(F.col("class").alias("a"), F.col("size").alias("na"), F.col("bands").alias("ba"))
         two = classes.select(F.col("class").alias("b"), F.col("size").alias("nb"), F.col("bands").alias("bb"))
         near = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "na", "nb", "ba", "bb").mapInArrow(_estimated(threshold), PAIRS)
         if many:
-            sized = met.join(full.hint("merge"), ["band", "value"]).join(classes.hint("merge"), "class").withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
+            sized = several.where(F.col("n") > hot).join(classes.hint("merge"), "class").withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
             beside = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("x"), F.greatest("block", j).alias("y")))
             placed = sized.withColumn("p", F.explode(beside)).select(F.col("band").cast("bigint").alias("band"), "value", "p.x", "p.y", "block", "class", "size", "bands")
             keys = ("band", "value", "x", "y")
