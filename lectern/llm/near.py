@@ -31,25 +31,27 @@ HOT, BLOCK = 256, 256  # classes of a band value joined as rows at most; classes
 FEW = 1_000_000  # ids that may be broadcast
 
 _rng = np.random.RandomState(20240229)
-_FACTORS = mix(_rng.randint(0, 2**31, REGISTERS).astype(np.uint64) + (np.arange(REGISTERS, dtype=np.uint64) << np.uint64(32))) | np.uint64(1)
-_SHIFTS = mix(_FACTORS)
+_FACTORS = (mix(_rng.randint(0, 2**31, REGISTERS).astype(np.uint64) + (np.arange(REGISTERS, dtype=np.uint64) << np.uint64(32))) | np.uint64(1)).astype(np.uint32)
+_SHIFTS = mix(_FACTORS).astype(np.uint32)
 
 
 def sketch(elements: np.ndarray) -> np.ndarray:
     """Registers (uint16) of a set of 64-bit hashes; sets without elements have all registers 0."""
     if not len(elements):
         return np.zeros(REGISTERS, np.uint16)
-    lows = np.full(REGISTERS, np.iinfo(np.uint64).max, np.uint64)
-    x, y = np.empty((2, 64, REGISTERS), np.uint64)  # small enough for a core's own cache
-    for a in range(0, len(elements), 64):
-        n = min(64, len(elements) - a)
-        np.multiply(elements[a : a + n, None], _FACTORS, out=x[:n])
+    # 32 bits are hashed eight at a time; a register of millions of elements becomes coarser, never unequal for equal sets.
+    lows = np.full(REGISTERS, np.iinfo(np.uint32).max, np.uint32)
+    low = (elements ^ (elements >> np.uint64(32))).astype(np.uint32)
+    x, y = np.empty((2, 128, REGISTERS), np.uint32)  # small enough for a core's own cache
+    for a in range(0, len(low), 128):
+        n = min(128, len(low) - a)
+        np.multiply(low[a : a + n, None], _FACTORS, out=x[:n])
         x[:n] += _SHIFTS
-        np.right_shift(x[:n], np.uint64(32), out=y[:n])
+        np.right_shift(x[:n], np.uint32(16), out=y[:n])
         x[:n] ^= y[:n]
-        x[:n] *= np.uint64(0xD6E8FEB86659FD93)
+        x[:n] *= np.uint32(0x7FEB352D)
         np.minimum(lows, x[:n].min(axis=0), out=lows)
-    least = -np.log1p(-(lows.astype(np.float64) + 0.5) / 2.0**64) / RATE
+    least = -np.log1p(-(lows.astype(np.float64) + 0.5) / 2.0**32) / RATE
     return np.clip(np.floor(1 - np.log(least) / np.log(BASE)), 0, TOP + 1).astype(np.uint16)
 
 
