@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.hashing import WordIds
+from lectern.session import stored
 
 TOKEN = r"[A-Za-z0-9]+(?:[./-][A-Za-z0-9]+)*"
 DIMENSIONS, DEPTH = 4, 12
@@ -139,7 +140,8 @@ def fill_containers(df: DataFrame, id_col: str, text_col: str, capacity: int = 2
     empty table gives no containers. Container numbers are unique, not dense. Ids must be integers.
     """
     texts = df.select(F.col(id_col).cast("bigint").alias("item"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    sized = texts.mapInArrow(_sized(tokenizer), "item bigint, tokens bigint, curve bigint").where("tokens > 0")
+    # Stored, as the range partitioning samples its input before it sorts it: texts are read once.
+    sized = stored(texts.mapInArrow(_sized(tokenizer), "item bigint, tokens bigint, curve bigint").where("tokens > 0"))
     line = sized.repartitionByRange("curve", "item").sortWithinPartitions("curve", "item", "tokens").select("item", "tokens")
     shape = "item bigint, container bigint, container_start bigint, piece_no bigint, token_start bigint, token_end bigint"
     return line.mapInArrow(_packed(capacity, open_most), shape).withColumnRenamed("item", id_col)

@@ -53,6 +53,16 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pages.unionByName(views).withColumn("chunk_id", number)
 
 
+def p5_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces put together again without their overlap, as a digest, and whether limit and overlap were kept."""
+    pieces = p5_pieces(spark, d)
+    part = F.struct("piece_no", "piece_start", "piece_end", F.when(F.col("piece_no") == 1, F.col("piece")).otherwise(F.expr("substring(piece, 201)")).alias("fresh"))
+    items = pieces.groupBy("kind", "item_key").agg(F.array_sort(F.collect_list(part)).alias("p"))
+    laps = F.forall(F.sequence(F.lit(1), F.size("p") - 1), lambda i: F.element_at("p", i + 1)["piece_start"] == F.element_at("p", i)["piece_end"] - 200)
+    whole = F.array_join(F.transform("p", lambda x: x["fresh"]), "")
+    return items.select("kind", "item_key", F.md5(whole.cast("binary")).alias("digest"), F.forall("p", lambda x: x["piece_end"] - x["piece_start"] <= 1000).alias("within"), laps.alias("overlapping"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.boilerplate_lines(table(spark, d, "doc_pages"), table(spark, d, "doc_records"))
 
@@ -63,8 +73,14 @@ def p6_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """Lines as they count over distinct clusters and at least two publication dates."""
-    return boilerplate.frequent_lines(table(spark, d, "doc_pages"), table(spark, d, "doc_records"), unit="clusters", least_dates=2)
+    """How often lines come back over distinct clusters and at least two publication dates."""
+    lines = boilerplate.frequent_lines(table(spark, d, "doc_pages"), table(spark, d, "doc_records"), unit="clusters", least_dates=2)
+    return lines.select(F.col("source").alias("publisher"), "units", "of_units", "dates")
+
+
+def p6_cluster_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Where lines stand that come back over clusters and publication dates: republished texts are not taken for boilerplate."""
+    return boilerplate.boilerplate_lines(table(spark, d, "doc_pages"), table(spark, d, "doc_records"), unit="clusters", least_dates=2)
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -75,6 +91,20 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_containers(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p8_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Per document its tokens as they lie in containers, its pieces, and whether they follow one another without a gap."""
+    size = F.col("token_end") - F.col("token_start")
+    placed = p8_fill(spark, d).groupBy("doc_id").agg(F.sum(size).alias("tokens"), F.count(F.lit(1)).alias("pieces"), F.max("token_end").alias("last"), F.max(size).alias("largest"))
+    return placed.select("doc_id", "tokens", "pieces", (F.col("last") == F.col("tokens")).alias("whole"), (F.col("largest") <= 2048).alias("within"))
+
+
+def p8_overfull(spark: SparkSession, d: str) -> DataFrame:
+    """Containers with more tokens than they hold, or pieces on top of each other: none."""
+    size = F.col("token_end") - F.col("token_start")
+    full = p8_fill(spark, d).groupBy("container").agg(F.sum(size).alias("tokens"), F.max(F.col("container_start") + size).alias("last"), F.count_distinct("container_start").alias("starts"), F.count(F.lit(1)).alias("pieces"))
+    return full.agg(F.count_if((F.col("tokens") > 2048) | (F.col("last") != F.col("tokens")) | (F.col("starts") != F.col("pieces"))).alias("wrong"), F.sum("tokens").alias("tokens"))
+
+
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p8_fill(spark, d), "doc_id")
 
@@ -139,6 +169,18 @@ def p4_repaired(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("p") and name[1:2].isdigit() and callable(f)}
+LINES = r"""
+        pub AS (SELECT document_id, min(publisher) AS publisher, min(CAST(uploaded_at AS DATE)) AS day FROM doc_records WHERE publisher IS NOT NULL GROUP BY document_id),
+        pages AS (SELECT DISTINCT document_id, page_number, page_text FROM doc_pages),
+        parts AS (SELECT document_id, page_number, string_split(page_text, chr(10)) AS parts FROM pages WHERE page_text IS NOT NULL),
+        lines AS (SELECT document_id, page_number, unnest(range(1, len(parts) + 1)) AS line_no, unnest(parts) AS raw FROM parts),
+        norm AS (SELECT document_id, page_number, CAST(line_no AS INTEGER) AS line_no, regexp_replace(lower(regexp_replace(regexp_replace(raw, '^\s+|\s+$', '', 'g'), '[ \t]+', ' ', 'g')), '[0-9]+', '#', 'g') AS line FROM lines)"""
+CLUSTERS = rf"""{LINES},
+        digests AS (SELECT document_id, md5(string_agg(page_number || ':' || coalesce(page_text, ''), chr(1) ORDER BY page_number, page_text)) AS digest FROM pages GROUP BY document_id),
+        clusters AS (SELECT publisher, min(document_id) AS document_id, min(day) AS day FROM digests JOIN pub USING (document_id) GROUP BY publisher, digest),
+        totals AS (SELECT publisher, count(*) AS of_units FROM clusters GROUP BY publisher),
+        counts AS (SELECT publisher, line, count(DISTINCT document_id) AS units, count(DISTINCT day) AS dates FROM norm JOIN clusters USING (document_id) WHERE line <> '' GROUP BY ALL),
+        often AS (SELECT * FROM counts JOIN totals USING (publisher) WHERE units >= 5 AND units * 100 >= 30 * of_units AND dates >= 2)"""
 SPANS = """
         once AS (SELECT paper_id, any_value(body) AS b FROM papers WHERE paper_id IS NOT NULL GROUP BY paper_id),
         places AS (SELECT paper_id, b, unnest(range(1, length(b) - 198)) AS i FROM once WHERE length(b) >= 200),
@@ -148,6 +190,23 @@ SPANS = """
         numbered AS (SELECT paper_id, s, sum(fresh) OVER (PARTITION BY paper_id ORDER BY s) AS n FROM hits),
         spans AS (SELECT paper_id, CAST(min(s) AS INTEGER) AS span_start, CAST(max(s) + 200 AS INTEGER) AS span_end FROM numbered GROUP BY paper_id, n)"""
 SQL: dict[str, str] = {
+    "p5_rebuilt": """
+        SELECT DISTINCT 'page' AS kind, document_id || ':' || page_number AS item_key, md5(page_text) AS digest, true AS within, true AS overlapping FROM doc_pages WHERE length(page_text) > 1000
+        UNION SELECT DISTINCT 'passage', CAST(view_id AS VARCHAR), md5(passage), true, true FROM source_views WHERE length(passage) > 1000""",
+    "p6_clusters": f"WITH {CLUSTERS} SELECT publisher, units, of_units, dates FROM often",
+    "p6_cluster_lines": f"WITH {CLUSTERS} SELECT DISTINCT document_id, page_number, line_no FROM norm JOIN pub USING (document_id) JOIN often USING (publisher, line)",
+    "p6_clean": f"""WITH {LINES},
+        held AS (SELECT publisher, norm.* FROM norm JOIN pub USING (document_id) WHERE line <> ''),
+        totals AS (SELECT publisher, count(DISTINCT document_id) AS n FROM doc_pages JOIN pub USING (document_id) GROUP BY publisher),
+        counts AS (SELECT publisher, line, count(DISTINCT document_id) AS n FROM held GROUP BY ALL),
+        gone AS (SELECT document_id, page_number, list(DISTINCT line_no) AS l FROM held JOIN counts USING (publisher, line) JOIN totals USING (publisher) WHERE counts.n >= 5 AND counts.n * 100 >= 30 * totals.n GROUP BY ALL),
+        cut AS (SELECT p.document_id, p.page_number, page_text, l, string_split(page_text, chr(10)) AS parts FROM pages p LEFT JOIN gone USING (document_id, page_number))
+        SELECT document_id, page_number, CASE WHEN l IS NULL THEN page_text ELSE array_to_string([parts[i] FOR i IN range(1, len(parts) + 1) IF NOT list_contains(l, i)], chr(10)) END AS clean_text FROM cut""",
+    "p8_tokens": """
+        WITH sized AS (SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9]+(?:[./-][A-Za-z0-9]+)*')) AS tokens FROM documents WHERE text IS NOT NULL)
+        SELECT doc_id, CAST(tokens AS BIGINT) AS tokens, CAST(ceil(tokens / 2048) AS BIGINT) AS pieces, true AS whole, true AS within FROM sized WHERE tokens > 0""",
+    "p8_overfull": """
+        SELECT CAST(0 AS BIGINT) AS wrong, CAST(sum(len(regexp_extract_all(text, '[A-Za-z0-9]+(?:[./-][A-Za-z0-9]+)*'))) AS BIGINT) AS tokens FROM documents""",
     "p1_found": f"WITH {SPANS} SELECT * FROM spans",
     "p1_papers": f"""WITH {SPANS},
         shared AS (SELECT paper_id, CAST(sum(span_end - span_start) AS BIGINT) AS shared_chars, count(*) AS stretches FROM spans GROUP BY paper_id)

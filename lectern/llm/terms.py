@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.session import scratch_dir
+from lectern.session import once, scratch_dir
 
 COUNTS = pa.schema([("term", pa.string()), ("total", pa.int64()), ("rows", pa.int64())])
 BITS, DEEPEST = 4, 14
@@ -106,8 +106,8 @@ def term_counts(df: DataFrame, id_col: str, map_col: str, part_rows: int = 500_0
     A record is one value of `id_col`; repeated rows count once. Null ids, null maps and empty maps add
     nothing; a null count adds a record but no occurrence. Empty input gives an empty result.
     """
-    once = df.select(id_col, map_col).where(F.col(id_col).isNotNull() & F.col(map_col).isNotNull()).dropDuplicates([id_col])
-    pairs = once.select(F.explode(map_col).alias("term", "total")).select("term", F.coalesce(F.col("total").cast("bigint"), F.lit(0).cast("bigint")).alias("total"), F.lit(1).cast("bigint").alias("rows"))
+    rows = once(df.where(F.col(map_col).isNotNull()), [id_col])
+    pairs = rows.select(F.explode(map_col).alias("term", "total")).select("term", F.coalesce(F.col("total").cast("bigint"), F.lit(0).cast("bigint")).alias("total"), F.lit(1).cast("bigint").alias("rows"))
     shape, work = "term string, total bigint, rows bigint", _count(part_rows, block_rows)
     return pairs.mapInArrow(work, shape).repartition("term").mapInArrow(work, shape)
 
