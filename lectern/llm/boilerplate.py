@@ -36,6 +36,11 @@ def page_lines(pages: DataFrame, doc: str, page: str, text: str) -> DataFrame:
     return normal_lines(lines, "line").select("doc", "page", (F.col("line_no") + 1).alias("line_no"), F.xxhash64("line").alias("line_hash"))
 
 
+def publishers(records: DataFrame, *, doc: str = "document_id", source: str = "publisher") -> DataFrame:
+    """(doc, source) of the documents that have a source, each once."""
+    return records.where(F.col(doc).isNotNull() & F.col(source).isNotNull()).groupBy(F.col(doc).alias("doc")).agg(F.min(source).alias("source"))
+
+
 def frequent_lines(pages: DataFrame, records: DataFrame, *, doc: str = "document_id", page: str = "page_number", text: str = "page_text", source: str = "publisher", published: str = "uploaded_at", unit: str = "documents", least: int = 5, percent: int = 30, least_dates: int = 1) -> DataFrame:
     """(source, line_hash, units, of_units, dates): lines in at least `least` and `percent` % of a source's units.
 
@@ -63,7 +68,7 @@ def boilerplate_lines(pages: DataFrame, records: DataFrame, *, doc: str = "docum
     frequent = frequent_lines(pages, records, doc=doc, page=page, text=text, source=source, **options).select("source", "line_hash")
     lines = page_lines(pages, doc, page, text)
     near = lines.join(frequent.select("line_hash").distinct(), "line_hash", "left_semi")
-    known = records.where(F.col(doc).isNotNull() & F.col(source).isNotNull()).groupBy(F.col(doc).alias("doc")).agg(F.min(source).alias("source"))
+    known = publishers(records, doc=doc, source=source)
     found = near.join(known, "doc").join(frequent, ["source", "line_hash"], "left_semi")
     return found.select(F.col("doc").alias(doc), F.col("page").alias(page), "line_no").distinct()
 

@@ -2,8 +2,9 @@
 
 1. One pass counts the words of all pages (words divided at a line break are put together).
 2. Character q-gram inverted joins retrieve, for every word, more frequent words from which it may have been
-   misread: an edit of up to two neighbouring characters leaves the first or the last part of a word untouched,
-   so both parts, as long as they can be, are the join keys.
+   misread. An edit of up to two neighbouring characters leaves the first or the last part of a word untouched,
+   so in longer words both parts, as long as they can be, are the join keys. In words of up to `GAPPED` letters
+   these parts are too short to tell words apart: there the key is the word with a gap of up to two characters.
 3. Boosted trees rank the candidates by how much more frequent they are, how often the same edit is met among
    all pairs, where it stands, and so on. They learn from pairs that need no label: words holding a sign no word
    has are misread, words that are frequent themselves are not.
@@ -12,7 +13,9 @@
    known by the document's title, the page's number and their place. Tokens outside the trusted vocabulary are
    joined with the corrections.
 
-Tasks hold the trusted vocabulary, at most `most_words` words; the corrections themselves are joined as rows.
+Tasks hold the trusted vocabulary: words that are more than `TRUSTED` of all, so never more than 1 / `TRUSTED`. The
+corrections themselves are joined as rows. The publishers' own lines are held as (publisher, line) while they are
+few; beyond, every page gets its own joined. Both ways say the same.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ HYPHENS = "-­‐‑¬"
 STRAY = "·*^~`¦•°|¬"
 OUTER = "\"'“”‘’«».,;:!?()[]{}<>…"
 EDGE_LINES = 6
+TRUSTED = 5e-6
+GAPPED = 9
 SET_APART = re.compile(r"(?<!\S)(?:[^\W\d_] ){2,}[^\W\d_](?=$|[\s.,;:!?)])")
 NUMBERED = re.compile(r"^\W*(?:(page|p|pg|seite|página|pag)\W*)?(\d{1,6}|[ivxlc]{1,8})(?:\W*(?:of|/|von|de|sur)\W*\d{1,6})?\W*$")
 BLANK = re.compile(r"[ \t]+")
@@ -185,9 +190,10 @@ class Page:
             yield k, tokens, tail
 
 
-def _page(text, number, filename, added, publisher_lines):
+def _page(text, number, filename, added, publisher, publisher_lines):
     lines = [x.rstrip("\r") for x in text.split("\n")]
-    known = {x - 1 for x in added} if added is not None else {k for k, x in enumerate(lines) if x.strip() and line_key(x) in publisher_lines}
+    own = publisher_lines.get(publisher, ())
+    known = {x - 1 for x in added} if added is not None else {k for k, x in enumerate(lines) if x.strip() and line_key(x) in own} if own else set()
     return Page(lines, number, title_words(filename), known)
 
 
@@ -227,17 +233,26 @@ def _counted(batches):
 def candidate_pairs(words: DataFrame, times: int = 4) -> DataFrame:
     """(wrong, n, right, m): words and words at least `times` as frequent within two neighbouring characters."""
 
-    def keyed(df, word, lengths):
-        part = F.greatest(F.lit(2), F.floor((F.col("length") - 2) / 2)).cast("int")
-        sized = df.withColumn("length", F.explode(lengths)).withColumn("q", part)
-        ends = F.array(F.struct(F.lit("first").alias("side"), F.substring(word, F.lit(1), F.col("q")).alias("gram")), F.struct(F.lit("last").alias("side"), F.expr(f"right({word}, q)").alias("gram")))
-        return sized.withColumn("key", F.explode(ends)).select(*df.columns, "q", "key.side", "key.gram").distinct()
+    def ends(df, word, lengths):
+        part = F.floor((F.col("length") - 2) / 2).cast("int")
+        sized = df.where(F.length(word) > GAPPED - 1).withColumn("length", F.explode(lengths)).where(F.col("length") > GAPPED).withColumn("q", part)
+        both = F.array(F.struct(F.lit("first").alias("side"), F.substring(word, F.lit(1), F.col("q")).alias("gram")), F.struct(F.lit("last").alias("side"), F.expr(f"right({word}, q)").alias("gram")))
+        return sized.withColumn("key", F.explode(both)).select(*df.columns, "q", "key.side", "key.gram").distinct()
+
+    def gapped(df, word, least):
+        # two letters in a row are left on one side at least: what shares less looks like nothing
+        starts = f"filter(sequence(0, greatest(0, length({word}) - g)), i -> i >= 2 or length({word}) - i - g >= 2)"
+        places = f"flatten(transform(sequence({least}, 2), g -> transform({starts}, i -> concat(substring({word}, 1, i), '\u0001', substring({word}, i + g + 1)))))"
+        return df.withColumn("gram", F.explode(F.array_distinct(F.expr(places))))
 
     usual = words.where((F.length("word") >= 3) & F.col("word").rlike("^[\\p{L}'’-]+$")).select(F.col("word").alias("right"), F.col("n").alias("m")).where("m >= 4")
-    left = keyed(words.select(F.col("word").alias("wrong"), "n"), "wrong", F.array(F.length("wrong")))
-    right = keyed(usual, "right", F.array(F.length("right") - 1, F.length("right"), F.length("right") + 1))
-    met = left.join(right, ["side", "q", "gram"]).where((F.col("m") >= F.col("n") * times) & (F.col("wrong") != F.col("right"))).select("wrong", "n", "right", "m").distinct()
-    return met.where(F.levenshtein("wrong", "right", 2) >= 0)
+    asked = words.select(F.col("word").alias("wrong"), "n")
+    left = ends(asked, "wrong", F.array(F.length("wrong")))
+    right = ends(usual, "right", F.array(F.length("right") - 1, F.length("right"), F.length("right") + 1))
+    fits = (F.col("m") >= F.col("n") * times) & (F.col("wrong") != F.col("right"))
+    long = left.join(right.hint("merge"), ["side", "q", "gram"]).where(fits).select("wrong", "n", "right", "m")
+    short = gapped(asked.where(F.length("wrong") <= GAPPED), "wrong", 1).join(gapped(usual.where(F.length("right") <= GAPPED + 1), "right", 0).hint("merge"), "gram").where(fits).select("wrong", "n", "right", "m")
+    return long.unionByName(short).distinct().where((F.levenshtein("wrong", "right", 2) >= 0) & (F.abs(F.length("wrong") - F.length("right")) <= 1))
 
 
 EDIT = "wrong string, n bigint, right string, m bigint, stands string, should string, at int, after int"
@@ -318,7 +333,7 @@ class Reader:
 
     vocabulary: dict[str, int]
     hyphens: Boosted
-    publisher_lines: set[int]
+    publisher_lines: dict[str, set[int]]
 
     def divided_words(self, ends: list[tuple[str, str]]) -> list[bool]:
         """For each (last token, first token) whether the line break, and not the word's own hyphen, divides."""
@@ -366,8 +381,8 @@ def _read(reader):
             ends, places = [], []
             if len(plain) > 500_000:
                 plain.clear()
-            for doc, number, filename, text, added in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                page = _page(text, number, filename, added, r.publisher_lines)
+            for doc, number, filename, text, added, publisher in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                page = _page(text, number, filename, added, publisher, r.publisher_lines)
                 out += [(doc, number, k + 1, "running_header", None, None, None) for k in page.headers]
                 out += [(doc, number, k + 1, "page_number", None, None, None) for k in page.numbers]
                 for k, last, _, first in page.divided():
@@ -409,40 +424,42 @@ class Scans:
     are neither damage nor text. An empty table gives an empty result.
     """
 
-    def __init__(self, pages: DataFrame, records: DataFrame, *, doc: str = "document_id", page: str = "page_number", text: str = "page_text", filename: str = "source_filename", most_words: int = 200_000, most_lines: int = 200_000):
+    def __init__(self, pages: DataFrame, records: DataFrame, *, doc: str = "document_id", page: str = "page_number", text: str = "page_text", filename: str = "source_filename", most_lines: int = 200_000, most_documents: int = 200_000):
         self.spark = pages.sparkSession
         self.names = (doc, page, text)
         self.rows = pages.where(F.col(doc).isNotNull() & F.col(text).isNotNull()).select(F.col(doc).alias("doc"), F.col(page).cast("int").alias("page"), F.col(filename).alias("filename"), F.col(text).alias("text"))
         frequent = boilerplate.frequent_lines(pages, records, doc=doc, page=page, text=text)
-        held = [r[0] for r in frequent.select("line_hash").distinct().limit(most_lines + 1).collect()]
-        added = F.lit(None).cast("array<int>")
-        if len(held) > most_lines:  # too many to hold: each page gets its own
-            held = []
+        held: dict[str, set[int]] = {}
+        pairs = [tuple(r) for r in frequent.select("source", "line_hash").distinct().limit(most_lines + 1).collect()]
+        if len(pairs) <= most_lines:
+            for source, line in pairs:
+                held.setdefault(source, set()).add(line)
+            known = boilerplate.publishers(records, doc=doc)
+            self.rows = self.rows.join(F.broadcast(known) if known.count() <= most_documents else known.hint("merge"), "doc", "left").select("doc", "page", "filename", "text", F.lit(None).cast("array<int>").alias("added"), F.col("source").alias("publisher"))
+        else:  # too many to hold: each page gets its own
             own = boilerplate.boilerplate_lines(pages, records, doc=doc, page=page, text=text).groupBy(F.col(doc).alias("doc"), F.col(page).cast("int").alias("page")).agg(F.collect_set("line_no").alias("_added"))
-            self.rows = self.rows.join(own, ["doc", "page"], "left")
-            added = F.coalesce("_added", F.array().cast("array<int>"))
-        self.rows = self.rows.select("doc", "page", "filename", "text", added.alias("added"))
+            self.rows = self.rows.join(own.hint("merge"), ["doc", "page"], "left").select("doc", "page", "filename", "text", F.coalesce("_added", F.array().cast("array<int>")).alias("added"), F.lit(None).cast("string").alias("publisher"))
         words = cut(self.rows.select("text").mapInArrow(_counted, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
         total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         usual = max(4.0, total * 1e-5)
         pairs = cut(candidate_pairs(words).mapInArrow(_edits, EDIT))
         support = pairs.where(F.col("m") >= 20 * F.col("n")).groupBy("stands", "should").agg(F.count_distinct("wrong").alias("support"))
-        pairs = pairs.join(support, ["stands", "should"], "left").withColumn("support", F.coalesce("support", F.lit(0)))
+        pairs = pairs.join(support.hint("merge"), ["stands", "should"], "left").withColumn("support", F.coalesce("support", F.lit(0)))
         ranker = self.spark.sparkContext.broadcast(train_ranker(pairs, usual))
         scored = pairs.mapInArrow(_ranked(ranker), "wrong string, right string, at int, score double")
         # Parts of divided words look like short misread words; these must be surer.
         sure = F.col("score") > F.when(F.length("wrong") <= 4, 1.2).otherwise(0.0)
         best = scored.where(sure).groupBy("wrong").agg(F.max_by(F.struct("right", "at", "score"), F.struct("score", "right")).alias("b"))
         self.corrections = cut(best.select("wrong", "b.right", "b.at", "b.score"))
-        trusted = words.where(F.col("n") >= max(4, total * 1e-6)).join(self.corrections, F.col("word") == F.col("wrong"), "left_anti").orderBy(F.desc("n"), "word").limit(most_words)
+        trusted = words.where(F.col("n") >= max(4, total * TRUSTED)).join(self.corrections.hint("merge"), F.col("word") == F.col("wrong"), "left_anti")
         vocabulary = {r[0]: r[1] for r in trusted.select("word", "n").collect()}
-        self.reader = self.spark.sparkContext.broadcast(Reader(vocabulary, train_hyphens(vocabulary), set(held)))
+        self.reader = self.spark.sparkContext.broadcast(Reader(vocabulary, train_hyphens(vocabulary), held))
         self.found = cut(self.rows.mapInArrow(_read(self.reader), FOUND))
 
     def wrong_words(self) -> DataFrame:
         """(doc, page, line_no, wrong, right): the misread words of every page and what they should be."""
         asked = self.found.where("word IS NOT NULL")
-        met = asked.join(self.corrections, F.col("word") == F.col("wrong"))
+        met = asked.join(self.corrections.hint("merge"), F.col("word") == F.col("wrong"))
         second = F.col("other_line").isNotNull() & (F.col("at") >= F.col("part"))
         return met.select("doc", "page", F.when(second, F.col("other_line")).otherwise(F.col("line_no")).alias("line_no"), "wrong", "right").distinct()
 
@@ -457,7 +474,7 @@ class Scans:
         """(doc, page, text): every page as paragraphs, without furniture, with words mended and put together."""
         doc, page, text = self.names
         wrong = self.wrong_words().groupBy("doc", "page").agg(F.map_from_entries(F.collect_set(F.struct("wrong", "right"))).alias("mend"))
-        rows = self.rows.dropDuplicates(["doc", "page"]).join(wrong, ["doc", "page"], "left")
+        rows = self.rows.dropDuplicates(["doc", "page"]).join(wrong.hint("merge"), ["doc", "page"], "left")
         return rows.mapInArrow(_repaired(self.reader), "doc string, page int, text string").select(F.col("doc").alias(doc), F.col("page").alias(page), F.col("text").alias(text))
 
 
@@ -520,10 +537,10 @@ def _repaired(reader):
         r = reader.value
         for batch in batches:
             docs, pages, texts = [], [], []
-            for doc, number, filename, text, added, mend in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, number, filename, text, added, publisher, mend in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 docs.append(doc)
                 pages.append(number)
-                texts.append(repair(_page(text, number, filename, added, r.publisher_lines), dict(mend or ()), r))
+                texts.append(repair(_page(text, number, filename, added, publisher, r.publisher_lines), dict(mend or ()), r))
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.string()), pa.array(pages, pa.int32()), pa.array(texts, pa.string())], ["doc", "page", "text"])
 
     return work
