@@ -1,13 +1,16 @@
 """Problem 10: the subject areas of each document.
 
 One linear classifier per area, against the rest, over hashed word uni- and bigrams. The training rows are the
-labelled documents (a bounded sample, `most_labelled`) and, as weak labels, the areas' own descriptions and
-documents whose address (source) or section name holds a word of exactly one area's key or title. The weights
-then judge single sentences: a sentence is about the best-scoring area if its score clears a margin, and a
-document has an area if enough of its sentences are about it. Margin and share are calibrated per area on
-labelled documents held out of the training.
-
-Only the labelled sample reaches the driver; every document is scored whole, where it lies, without a shuffle.
+labelled documents (a bounded sample, `most_labelled`) and weak labels: the areas' own descriptions, documents
+whose address (source) or section name holds a word of exactly one area's key or title, and, as neither may say
+anything, documents the classifiers of the round before find clearly about one area. A first round over the hand
+labels takes every feature that leans to an area; the `ROUNDS` after it, with many more documents, only features
+that chance does not explain. The weights judge single sentences: a sentence is about the area whose classifier is
+surest, if it clears the margin, and a document has every area that enough of its sentences are about. Margin and share are
+calibrated per area on labelled documents held out of the training.
+
+Only the labelled sample and an equally bounded one without labels (`most_unlabelled`) reach the driver; every
+document is scored whole, where it lies, without a shuffle.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from pyspark.sql import functions as F
 from lectern.llm.hashing import WordIds, mix
 
 FEATURES = 1 << 22
+ROUNDS, CLEAR, LEANING = 3, 0.6, 6.0  # rounds of weak labels, an area's part in the scores of a clear document, the first round's bound
 TOKENS = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
 SENTENCES = re.compile(r"(?<=[.!?])(?<!\bNo\.)(?<!\bal\.)\s+(?=[^\Wa-zß-ÿ]|[¿¡\"“«(])|\n\s*\n")
 
@@ -50,15 +54,15 @@ def with_bigrams(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.
     return np.concatenate((words, pairs[inside])), np.concatenate((sentence, sentence[:-1][inside]))
 
 
-def telling(rows: np.ndarray, columns: np.ndarray, targets: np.ndarray) -> np.ndarray:
+def telling(rows: np.ndarray, columns: np.ndarray, targets: np.ndarray, bound: float | None = None) -> np.ndarray:
     """Features that come with some area more often than chance explains.
 
     Most of its rows are the area's, and the log-likelihood ratio of the area's part in them against its part
-    overall is above a bound that about one feature of all would pass by chance.
+    overall is above `bound`, or one that about one feature of all would pass by chance.
     """
     held = np.bincount(columns, minlength=FEATURES).astype(np.float64)
     areas = targets.shape[1]
-    bound = 2 * np.log(max(2, (held > 1).sum() * areas))
+    bound = bound or 2 * np.log(max(2, (held > 1).sum() * areas))
     keep = np.zeros(FEATURES, bool)
     for k in range(areas):
         part = min(max(targets[:, k].mean(), 1e-9), 1 - 1e-9)
@@ -70,12 +74,12 @@ def telling(rows: np.ndarray, columns: np.ndarray, targets: np.ndarray) -> np.nd
     return keep
 
 
-def fit(rows: np.ndarray, columns: np.ndarray, targets: np.ndarray, weights: np.ndarray, steps: int = 60, rate: float = 0.2, decay: float = 1.5e-3) -> tuple[np.ndarray, np.ndarray]:
+def fit(rows: np.ndarray, columns: np.ndarray, targets: np.ndarray, weights: np.ndarray, bound: float | None = None, steps: int = 60, rate: float = 0.2, decay: float = 1.5e-3) -> tuple[np.ndarray, np.ndarray]:
     """(place of every feature, weights [places, areas]; place 0 has weight 0) of one-versus-rest logistic regressions; (row, column) pairs are distinct.
 
     Full-gradient Adam over the telling features, on rows scaled to unit length.
     """
-    keep = telling(rows, columns, targets)[columns]
+    keep = telling(rows, columns, targets, bound)[columns]
     rows, columns = rows[keep], columns[keep]
     place = np.zeros(FEATURES, np.int32)
     if not len(rows):
@@ -110,14 +114,17 @@ class Model:
     margin: float
     shares: np.ndarray
 
-    def sentence_areas(self, words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(best area, its score) of every sentence."""
+    def scores(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Score of every sentence (rows) for its best area, 0 for the others: a sentence is about one area at most."""
         features, sentence = with_bigrams(words, starts)
         order = np.argsort(sentence, kind="stable")
         firsts = np.flatnonzero(np.diff(sentence[order], prepend=-1))
-        scores = np.add.reduceat(self.weights[self.place[features[order]]], firsts, axis=0)
-        best = scores.argmax(axis=1)
-        return best, scores[np.arange(len(best)), best]
+        every = np.add.reduceat(self.weights[self.place[features[order]]], firsts, axis=0)
+        best = every.argmax(axis=1)
+        out = np.zeros_like(every)
+        rows = np.arange(len(best))
+        out[rows, best] = np.maximum(every[rows, best], 0)
+        return out
 
 
 def _features(shape_names):
@@ -144,76 +151,103 @@ def _own_words(key: str, title: str | None) -> set[str]:
     return {w for w in re.findall("[a-z]+", f"{key} {title or ''}".lower()) if len(w) > 3} - {"public", "information"}
 
 
-def train(documents: DataFrame, areas: DataFrame, labels: DataFrame, *, doc: str = "doc_id", text: str = "text", address: tuple[str, ...] = ("source", "doc_kind"), most_labelled: int = 20_000) -> Model:
-    """Fit and calibrate on at most `most_labelled` labelled documents, taken in the order of a hash of the id."""
+def train(documents: DataFrame, areas: DataFrame, labels: DataFrame, *, doc: str = "doc_id", text: str = "text", address: tuple[str, ...] = ("source", "doc_kind"), most_labelled: int = 20_000, most_unlabelled: int = 4_000) -> Model:
+    """Fit and calibrate on at most `most_labelled` labelled documents and `most_unlabelled` others, taken in the order of a hash of the id."""
     known = sorted((tuple(r) for r in areas.select("subject", "title", "description").where("subject is not null").distinct().collect()), key=lambda r: r[0])
     names = list(dict.fromkeys(r[0] for r in known))
     texts = documents.select(F.col(doc).cast("bigint").alias("doc"), F.col(text).alias("text")).where(F.col("doc").isNotNull() & F.col("text").isNotNull())
     sample = labels.select(F.col(doc).cast("bigint").alias("doc"), "subject").where(F.col("doc").isNotNull() & F.col("subject").isin(names)).distinct()
     chosen = sample.select("doc").distinct().orderBy(F.xxhash64("doc"), "doc").limit(most_labelled)
-    hand = sample.join(chosen, "doc", "left_semi").groupBy("doc").agg(F.array_sort(F.collect_set("subject")).alias("subjects"))
-    weak = weak_labels(documents, known, doc, list(address)).join(chosen, "doc", "left_anti").orderBy(F.xxhash64("doc"), "doc").limit(most_labelled // 4) if address else None
-    wanted = hand.select("doc", "subjects", F.lit(True).alias("hand"))
-    if weak is not None:
-        wanted = wanted.unionByName(weak.groupBy(F.col("doc").cast("bigint").alias("doc")).agg(F.array_sort(F.collect_set("subject")).alias("subjects")).withColumn("hand", F.lit(False)))
-    asked = {r[0]: (r[1], r[2]) for r in wanted.collect()}  # at most 1.25 x most_labelled ids
-    if not asked:
+    hand = {r[0]: r[1] for r in sample.join(chosen, "doc", "left_semi").groupBy("doc").agg(F.collect_set("subject")).collect()}
+    weak = {r[0]: [r[1]] for r in weak_labels(documents, known, doc, list(address)).orderBy(F.xxhash64("doc"), "doc").limit(most_labelled // 4).collect()} if address else {}
+    others = [r[0] for r in texts.select("doc").distinct().orderBy(F.xxhash64("doc", F.lit(1)), "doc").limit(most_unlabelled).collect()]
+    ids = sorted({*hand, *weak, *others})  # bounded by the parameters
+    if not hand and not weak:
         return Model(names, np.zeros(FEATURES, np.int32), np.zeros((1, max(1, len(names))), np.float32), np.inf, np.full(max(1, len(names)), 2.0))
-    ids = documents.sparkSession.createDataFrame([(x,) for x in asked], "doc bigint")
-    used = texts.join(F.broadcast(ids), "doc", "left_semi").mapInArrow(_features(["doc", "words", "starts"]), "doc bigint, words array<int>, starts array<int>").toArrow()
-    docs = used.column("doc").to_pylist()
-    bags = []
-    for words, starts in zip(used.column("words").combine_chunks(), used.column("starts").combine_chunks(), strict=True):
-        bags.append((words.values.to_numpy().astype(np.int32), starts.values.to_numpy().astype(np.int64)))
+    wanted = documents.sparkSession.createDataFrame([(x,) for x in ids], "doc bigint")
+    used = texts.join(F.broadcast(wanted), "doc", "left_semi").mapInArrow(_features(["doc", "words", "starts"]), "doc bigint, words array<int>, starts array<int>").toArrow()
+    bags = {}
+    for d, words, starts in zip(used.column("doc").to_pylist(), used.column("words").combine_chunks(), used.column("starts").combine_chunks(), strict=True):
+        if len(words):
+            bags[d] = (words.values.to_numpy().astype(np.int32), starts.values.to_numpy().astype(np.int64))
     hashed = Hashed()
-    bags = [(*b, d) for b, d in zip(bags, docs, strict=True) if len(b[0])]
-    held_out = np.array([asked[d][1] and int(mix(np.array([d], np.int64).view(np.uint64))[0] % np.uint64(5)) == 0 for _, _, d in bags], bool)
-    targets = np.array([[a in asked[d][0] for a in names] for _, _, d in bags], np.float32).reshape(-1, len(names))
-    weights = np.array([1.0 if asked[d][1] else 0.3 for _, _, d in bags], np.float32)
-    rows, columns, y, wt = [], [], [targets[~held_out]], [weights[~held_out]]
-    lines = [(b[0], b[1]) for b, out in zip(bags, held_out, strict=True) if not out]
-    for k, (_, title, description) in enumerate(known):  # an area's own description is a weakly labelled text
-        words = hashed.words(TOKENS.findall(f"{title or ''} {description or ''}"))
-        lines.append((words, np.zeros(1, np.int64)))
-        y.append(np.eye(len(names), dtype=np.float32)[[names.index(known[k][0])]])
-        wt.append(np.full(1, 0.3, np.float32))
-    for n, (words, starts) in enumerate(lines):
-        features = np.unique(with_bigrams(words, starts)[0]) if len(words) else words
-        rows.append(np.full(len(features), n))
-        columns.append(features)
-    model = Model(names, *fit(np.concatenate(rows), np.concatenate(columns), np.concatenate(y), np.concatenate(wt)), 0.0, np.full(len(names), 0.25))
-    checks = [(b, t) for b, t, out in zip(bags, targets, held_out, strict=True) if out] or list(zip(bags, targets, strict=True))
-    calibrate(model, checks)
+    own = [(hashed.words(TOKENS.findall(f"{title or ''} {description or ''}")), np.zeros(1, np.int64)) for _, title, description in known]
+
+    def targets(subjects: list[list[str]]) -> np.ndarray:
+        return np.array([[a in x for a in names] for x in subjects], np.float32).reshape(-1, len(names))
+
+    def fitted(rows: list[tuple], bound: float | None) -> Model:
+        """`rows` are (bag, subjects, weight)."""
+        rows = [*rows, *((b, [r[0]], 0.3) for b, r in zip(own, known, strict=True))]
+        features = [np.unique(with_bigrams(*b)[0]) if len(b[0]) else b[0] for b, _, _ in rows]
+        places = np.repeat(np.arange(len(rows)), [len(f) for f in features])
+        return Model(names, *fit(places, np.concatenate(features), targets([x for _, x, _ in rows]), np.array([w for _, _, w in rows], np.float32), bound), 0.0, np.full(len(names), 0.25))
+
+    def clear(model: Model) -> list[tuple]:
+        """Documents without a hand label that are about one area, beyond what they say of all others."""
+        out = []
+        for d, b in bags.items():
+            if d not in hand:
+                scores = model.scores(*b)
+                part = np.maximum(scores, 0).sum(axis=0)
+                k = int(part.argmax())
+                if part[k] > 0 and part[k] >= CLEAR * part.sum() and (scores[:, k] > model.margin).mean() >= 0.25:
+                    out.append((b, [names[k]], 0.3))
+        return out
+
+    held_out = {d for d in hand if int(mix(np.array([d], np.int64).view(np.uint64))[0] % np.uint64(5)) == 0}
+    taught = [(b, hand[d], 1.0) for d, b in bags.items() if d in hand and d not in held_out]
+    checked = [(b, hand[d], 1.0) for d, b in bags.items() if d in held_out] or taught
+    by_address = [(b, weak[d], 0.3) for d, b in bags.items() if d in weak and d not in hand]
+    model = fitted(taught + by_address, LEANING)
+    calibrate(model, [b for b, _, _ in checked], targets([x for _, x, _ in checked]))
+    for last in range(ROUNDS):
+        found = clear(model)
+        model = fitted(taught + by_address + found, None)
+        calibrate(model, [b for b, _, _ in checked], targets([x for _, x, _ in checked]))
+        if last == ROUNDS - 1:  # what was held out has served, and is taught as well
+            whole = fitted(taught + (checked if held_out else []) + by_address + found, None)
+            model.place, model.weights = whole.place, whole.weights
     return model
 
 
-def calibrate(model: Model, checks: list) -> None:
-    """Choose the margin by F1 over all areas, then for each area the share of sentences, the middle of the best."""
-    best = [model.sentence_areas(b[0], b[1]) for b, _ in checks]
-    y = np.array([t for _, t in checks]) > 0.5
-    scores = np.concatenate([s for _, s in best])
+def calibrate(model: Model, bags: list, truth: np.ndarray) -> None:
+    """Choose the margin by F1 over all areas, then for each area the share of sentences.
+
+    Of all that do as well as the best, but for a standard error, the least margin and the share nearest a quarter."""
+    tables, y = [model.scores(*b) for b in bags], truth > 0.5
+    scores = np.concatenate([t.max(axis=1) for t in tables]) if tables else np.zeros(0)
     grid = np.linspace(0.05, 0.45, 41)
 
     def shares(margin):
-        return np.array([np.bincount(a[s > margin], minlength=len(model.areas)) / len(a) for a, s in best])
+        return np.array([(t > margin).mean(axis=0) for t in tables])
 
     def f1(hit, truth):
         return 2 * (hit & truth).sum(axis=0) / np.maximum(1, hit.sum(axis=0) + truth.sum(axis=0))
 
+    def error(best, cases):
+        """A standard error of F1 `best` over so many cases: what is nearer is as good."""
+        best = (best * cases + 1) / (cases + 2)
+        return max(0.002, (best * (1 - best) / max(1, cases)) ** 0.5)
+
     top = -1.0
     for margin in np.unique([0.0, *np.quantile(scores[scores > 0], np.linspace(0, 0.5, 26))]) if (scores > 0).any() else [0.0]:
         table = shares(margin)
         got = max(f1((table >= g).ravel(), y.ravel()) for g in (0.15, 0.2, 0.25))
-        if got > top + 0.002:  # a wider margin must earn it
+        if top < 0 or got > top + error(top, y.sum()):  # a wider margin must earn it
             top, model.margin = got, float(margin)
     table = shares(model.margin)
-    pooled = np.array([f1((table >= g).ravel(), y.ravel()) for g in grid])
-    overall = float(np.median(grid[pooled >= pooled.max() - 0.003]))
+
+    def nearest_quarter(values, cases):
+        good = grid[values >= values.max() - error(values.max(), cases)]
+        return float(good[np.abs(good - 0.25).argmin()])
+
+    overall = nearest_quarter(np.array([f1((table >= g).ravel(), y.ravel()) for g in grid]), y.sum())
     for k in range(len(model.areas)):
         per = np.array([f1(table[:, k] >= g, y[:, k]) for g in grid])
-        good = grid[per >= per.max() - 0.003]
         # few held-out cases say little about one area: stay at the pooled share if it is among the best
-        model.shares[k] = overall if y[:, k].sum() < 50 or per[np.abs(grid - overall).argmin()] >= per.max() - 0.005 else float(np.median(good))
+        best = per.max()
+        model.shares[k] = overall if per[np.abs(grid - overall).argmin()] >= best - error(best, y[:, k].sum()) else nearest_quarter(per, y[:, k].sum())
 
 
 def _scored(model):
@@ -228,13 +262,9 @@ def _scored(model):
                     sizes.append(len(words))
                     owner.append(row)
             if flat:
-                starts = np.cumsum([0, *sizes])[:-1]
-                best, score = m.sentence_areas(hashed.words(flat), starts)
-                owner = np.array(owner)
-                about = score > m.margin
-                areas = len(m.areas)
-                hits = np.bincount(owner[about] * areas + best[about], minlength=len(ids) * areas).reshape(-1, areas)
-                table = hits / np.maximum(1, np.bincount(owner, minlength=len(ids)))[:, None]
+                about = m.scores(hashed.words(flat), np.cumsum([0, *sizes])[:-1]) > m.margin
+                count = np.bincount(owner, minlength=len(ids))
+                table = np.stack([np.bincount(owner, weights=about[:, k], minlength=len(ids)) for k in range(len(m.areas))], axis=1) / np.maximum(1, count)[:, None]
                 for row, k in zip(*np.nonzero(table >= m.shares), strict=True):
                     docs.append(ids[row])
                     subjects.append(m.areas[k])
