@@ -1,15 +1,19 @@
 """Problem 7: the most similar vectors of every vector.
 
-The collection is cut into cells by the signed largest coordinates of random rotations, `tables` times, and a
-vector is held against all vectors of its cells by their exact similarity. The number of rotations follows the
-number of vectors, so cells keep their size as the collection grows.
+The collection is cut into cells by the signed largest coordinates of random rotations, `tables` times, every
+vector going to its `PROBES` best cells of a table, and is held there against all vectors of the cell. The number
+of cells follows the number of vectors, so cells keep their size as the collection grows. In a cell the products
+in single precision only choose; what they choose, and all that is too near to tell, is compared in double.
 
 A cell that is still too large (a dense region may hold a third of all rows) has one direction in common, which
 says nothing about who is near whom. It is hashed again around its own mean, by rotations of its table's own, and
-so on until it is small; every vector goes to its two best codes there. What `LEVELS` rounds leave too large
-(vectors of one direction) is verified whole, in pairs of salted blocks.
+so on until it is small. What `LEVELS` rounds leave too large (vectors of one direction) is verified whole, in
+pairs of salted blocks. Vectors that met fewer than k others are held against the whole collection.
 
 Equal vectors are one class, searched once. A class carries its smallest ids, enough for any answer.
+
+Collision counting (`collide`: windows around a query in sorted projections, grown until enough vectors collide
+often enough) chooses no candidates here: it costs more than the comparison it saves. See the README for figures.
 """
 
 from __future__ import annotations
@@ -21,12 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.session import cut
+from lectern.session import cut, stored
 
-CELL = 64  # vectors per cell aimed at
+CELL = 4000  # vectors per cell aimed at
 LINES, SHARE, GROWTH = 40, 0.55, 1.5
-WHOLE = 5  # stretches in a cell that is verified whole
-PROBES, LEVELS, SLACK = 2, 3, 1.25  # codes a vector goes to in a larger cell, rounds of hashing it again, room for uneven cells
+WHOLE = 2.5  # times that many are verified whole
+PROBES, LEVELS, SLACK = 2, 3, 1.25  # cells of a table a vector goes to, rounds of hashing large cells again, room for uneven cells
+AGAIN = 5  # codes a vector of a large cell goes to: a dense region has no better and worse ones
+NEAR = 1e-5  # more than products in single precision err
+ASKED = 4096  # vectors at a time that are held against the whole collection
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str, dims: int) -> DataFrame:
@@ -47,18 +54,30 @@ def _unit(column: pa.Array, dims: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _hashed(tables: int, depth: int, dims: int, seed: int):
+def _hashed(tables: int, depth: int, codes: int, dims: int, seed: int):
+    """Cells of every vector: per table the best code of each rotation, and the second best where it loses least."""
+
     def work(batches):
-        turns = _rotations(tables, depth, dims, seed)
+        turns = _rotations(tables, depth, dims, seed)[..., : -(-codes // 2)]
         for batch in batches:
             x = _unit(batch.column(2), dims)
-            cells = np.zeros((len(x), tables), np.int64)
+            cells = np.zeros((len(x), tables, PROBES), np.int64)
+            row = np.arange(len(x))
             for t in range(tables):
+                first, second, loss = [], [], []
                 for r in range(depth):
                     y = x @ turns[t, r]
-                    top = np.abs(y).argmax(axis=1)
-                    cells[:, t] = cells[:, t] * (2 * dims) + 2 * top + (y[np.arange(len(x)), top] > 0)
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * tables), pa.array(cells.ravel()))
+                    both = np.concatenate((y, -y), axis=1)[:, :codes]
+                    best = np.argsort(-both, axis=1, kind="stable")[:, :2]
+                    first.append(best[:, 0])
+                    second.append(best[:, -1])
+                    loss.append(both[row, best[:, 0]] - both[row, best[:, -1]])
+                least = np.argmin(loss, axis=0)
+                for r in range(depth):
+                    cells[:, t, 0] = cells[:, t, 0] * codes + first[r]
+                    cells[:, t, 1] = cells[:, t, 1] * codes + np.where(least == r, second[r], first[r])
+            wide = tables * PROBES
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * wide), pa.array(cells.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], flat], ["class", "ids", "v", "cells"])
 
     return work
@@ -79,10 +98,10 @@ def _rehashed(level: int, whole: int, dims: int, seed: int):
                     turns[t] = np.linalg.qr(np.random.RandomState([seed, level, t]).standard_normal((dims, dims)))[0]
                 y[tables == t] = x[tables == t] @ turns[t]
             y = np.round(y, 6)  # what is nearer has the same similarity
-            used = np.clip(np.ceil(SLACK * PROBES * rows / whole / 2), 2, dims)  # as many coordinates as the cell needs
+            used = np.clip(np.ceil(SLACK * AGAIN * rows / whole / 2), 2, dims)  # as many coordinates as the cell needs
             y[np.arange(dims) >= used[:, None]] = 0.0
             both = np.concatenate((y, -y), axis=1)
-            best = np.argsort(-both, axis=1, kind="stable")[:, :PROBES]
+            best = np.argsort(-both, axis=1, kind="stable")[:, :AGAIN]
             far = np.take_along_axis(both, best, axis=1) > 0
             far[:, 0] = True
             codes = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(far.sum(axis=1)))).astype(np.int32)), pa.array(best[far].astype(np.int64)))
@@ -123,21 +142,39 @@ def collide(values: np.ndarray, queries: np.ndarray, wanted: int) -> np.ndarray:
     return out
 
 
-def nearest_in_cell(x: np.ndarray, ids: list[list[int]], k: int) -> list[list[tuple[float, int]]]:
-    """For each row the k best (-similarity, id) of all rows, ties to the smaller id; itself included."""
+def chosen(product: np.ndarray, k: int) -> np.ndarray:
+    """Flat positions of all values at least as large as the k-th of their row, less NEAR, and few others.
+
+    The k-th of the maxima of strided groups is a bound from below for the k-th value.
+    """
+    rows, n = product.shape
+    groups = max(8 * k, int(n**0.5))
+    if n <= 2 * groups:
+        if n <= k:
+            return np.arange(rows * n)
+        bound = np.partition(product, n - k, axis=1)[:, n - k : n - k + 1]
+    else:
+        even = n // groups * groups
+        tops = np.maximum.reduce(product[:, :even].reshape(rows, n // groups, groups), axis=1)
+        bound = np.partition(tops, groups - k, axis=1)[:, groups - k : groups - k + 1]
+    return np.flatnonzero(product >= bound - np.float32(NEAR))
+
+
+def nearest_in_cell(x: np.ndarray, ids: list[list[int]], k: int, asked: np.ndarray | None = None) -> list[list[tuple[float, int]]]:
+    """For each row (or each of the rows `asked`) the k best (-similarity, id) of the rows `x`, ties to the smaller id; itself included."""
     flat = np.array([i for group in ids for i in group], np.int64)
     sizes = np.array([len(group) for group in ids])
     starts = np.cumsum(sizes) - sizes
-    answers = []
-    for a in range(0, len(x), 256):
-        far = -np.round(x[a : a + 256] @ x.T, 9)
-        last = np.partition(far, k - 1, axis=1)[:, k - 1 : k] if far.shape[1] > k else np.inf
-        query, row = np.nonzero(far <= last)  # k rows have k ids at least
-        scores, many = far[query, row], sizes[row]
+    single, answers = x.astype(np.float32), []
+    queries = x if asked is None else asked
+    for a in range(0, len(queries), 512):
+        part = queries[a : a + 512]
+        query, row = np.divmod(chosen(part.astype(np.float32) @ single.T, k), len(x))  # k rows have k ids at least
+        scores, many = -np.round(np.einsum("ij,ij->i", part[query], x[row]), 9), sizes[row]
         at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(starts[row], many)
         query, scores, names = np.repeat(query, many), np.repeat(scores, many), flat[at]
         order = np.lexsort((names, scores, query))
-        edges = np.searchsorted(query[order], np.arange(len(far) + 1))
+        edges = np.searchsorted(query[order], np.arange(len(part) + 1))
         scores, names = scores[order].tolist(), names[order].tolist()
         answers += [list(zip(scores[i : min(j, i + k)], names[i : min(j, i + k)], strict=True)) for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
     return answers
@@ -188,30 +225,57 @@ def _searched(dims: int, k: int):
     return work
 
 
-def nearest(df: DataFrame, id_col: str, vector_col: str, k: int = 5, dims: int = 64, tables: int | None = None, stretch: int = 2000, seed: int = 7) -> DataFrame:
+def _asked(held, dims: int, k: int):
+    """The k best of each batch for the vectors held."""
+    found_type = pa.list_(pa.struct([("far", pa.float64()), ("id", pa.int64())]))
+
+    def work(batches):
+        classes, x = held.value
+        for batch in batches:
+            if batch.num_rows:
+                found = nearest_in_cell(_unit(batch.column(1), dims), batch.column(0).to_pylist(), k, x)
+                yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array([[{"far": s, "id": i} for s, i in f] for f in found], found_type)], ["class", "found"])
+
+    return work
+
+
+def _best(answers: DataFrame, k: int) -> DataFrame:
+    return answers.groupBy("class").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, k).alias("found"))
+
+
+def nearest(df: DataFrame, id_col: str, vector_col: str, k: int = 5, dims: int = 64, tables: int | None = None, cell: int = CELL, seed: int = 7) -> DataFrame:
     """(vec_id, neighbour, rank, similarity): the k most similar other vectors found for every usable vector.
 
     Similarity is the cosine in double precision rounded to 9 decimals; ties go to the smaller id. Vectors with
     null, infinite or missing values, of another size or all zero take no part; an id sent twice counts once.
-    Recall against an exact search is measured in the tests.
+    A collection of up to 2.5 x `cell` vectors is one cell, and the result exact. Every vector has k neighbours if
+    there are so many.
     """
+    spark = df.sparkSession
     vectors = usable(df, id_col, vector_col, dims)
     by_value = Window.partitionBy("v").orderBy("vec")
     classed = vectors.groupBy("v").agg(F.min("vec").alias("class"))
     few = vectors.withColumn("_rank", F.row_number().over(by_value)).where(F.col("_rank") <= k + 1)
-    classes = few.groupBy("v").agg(F.min("vec").alias("class"), F.array_sort(F.collect_list("vec")).alias("ids")).select("class", "ids", "v")
-    count = classed.count()
-    depth = max(1, math.ceil(math.log(max(count / CELL, 1)) / math.log(2 * dims)))
-    tables = tables or 8 * 2 ** (depth - 1)
-    hashed = classes.mapInArrow(_hashed(tables, depth, dims, seed), "class bigint, ids array<bigint>, v array<float>, cells array<bigint>")
-    placed = hashed.select(F.posexplode("cells").alias("tbl", "cell"), "class", "ids", "v")
-    small, whole = None, WHOLE * stretch
+    classes = stored(few.groupBy("v").agg(F.min("vec").alias("class"), F.array_sort(F.collect_list("vec")).alias("ids")).select("class", "ids", "v"))
+    count, whole = classes.count(), WHOLE * cell
+    depth, codes = 1, math.ceil(count * PROBES / cell)
+    while codes > 2 * dims:
+        depth += 1
+        codes = math.ceil((count * PROBES / cell) ** (1 / depth))
+    tables = tables or 2**depth
+    if count <= whole:
+        placed = classes.select(F.lit(0).alias("tbl"), F.lit(0).cast("bigint").alias("cell"), "class", "ids", "v")
+    else:
+        hashed = classes.mapInArrow(_hashed(tables, depth, codes, dims, seed), "class bigint, ids array<bigint>, v array<float>, cells array<bigint>")
+        placed = hashed.select(F.posexplode("cells").alias("at", "cell"), "class", "ids", "v").select(F.expr(f"cast(at div {PROBES} as int)").alias("tbl"), "cell", "class", "ids", "v")
+    small = None
     for level in range(LEVELS + 1):
         big = cut(placed.groupBy("tbl", "cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > whole))
         if big.isEmpty():
             kept, large = placed, None
         else:
-            kept, large = placed.join(big, ["tbl", "cell"], "left_anti"), placed.join(big, ["tbl", "cell"]).select("tbl", "cell", "class", "ids", "v", "n")
+            sizes = F.broadcast(big) if big.count() <= 100_000 else big.hint("merge")
+            kept, large = placed.join(sizes, ["tbl", "cell"], "left_anti"), placed.join(sizes, ["tbl", "cell"]).select("tbl", "cell", "class", "ids", "v", "n")
         kept = kept.withColumn("part", F.lit(0).cast("bigint"))
         small = kept if small is None else small.unionByName(kept)
         if large is None:
@@ -220,7 +284,7 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, k: int = 5, dims: int =
             norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
             mean = F.array(*(F.avg(F.col("v")[i] / F.col("norm")) for i in range(dims)))
             centre = cut(large.withColumn("norm", norm).groupBy("tbl", "cell").agg(mean.alias("centre")))
-            rows = large.join(centre, ["tbl", "cell"]).select("tbl", "cell", "class", "ids", "v", "n", "centre")
+            rows = large.join(centre.hint("merge"), ["tbl", "cell"]).select("tbl", "cell", "class", "ids", "v", "n", "centre")
             coded = rows.mapInArrow(_rehashed(level, whole, dims, seed), "tbl int, cell bigint, class bigint, ids array<bigint>, v array<float>, codes array<bigint>")
             placed = coded.withColumn("code", F.explode("codes")).select("tbl", F.xxhash64("cell", "code").alias("cell"), "class", "ids", "v")
         else:
@@ -230,8 +294,39 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, k: int = 5, dims: int =
             small = small.unionByName(pairs.withColumn("part", F.explode(beside)).select("tbl", "cell", "class", "ids", "v", "part"))
     cells = small.select("tbl", "cell", "part", "class", "ids", "v")
     searched = cells.repartition("tbl", "cell", "part").sortWithinPartitions("tbl", "cell", "part").mapInArrow(_searched(dims, k + 1), ANSWERS)
-    # Some lists of k + 1 for a class: one a table, more only from large cells.
-    merged = searched.groupBy("class").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, k + 1).alias("found"))
-    members = vectors.join(classed, "v").select("vec", "class")
+    # Some lists of k + 1 for a class: one a placement, more only from large cells.
+    merged = _best(searched, k + 1)
+    if count > whole:
+        merged = stored(merged)
+        short = cut(merged.where(F.size("found") < k + 1).select("class"))
+        many = short.count()
+        for block in range(-(-many // ASKED)):
+            rows = classes.join(short.where(F.pmod(F.xxhash64("class"), F.lit(-(-many // ASKED))) == block).hint("merge"), "class", "left_semi").select("class", "v").toArrow()
+            if rows.num_rows:
+                held = spark.sparkContext.broadcast((rows.column("class").to_pylist(), _unit(rows.column("v").combine_chunks(), dims)))
+                merged = _best(merged.unionByName(classes.select("ids", "v").mapInArrow(_asked(held, dims, k + 1), ANSWERS)), k + 1)
+    members = vectors.join(classed.hint("merge"), "v").select("vec", "class")
     own = F.slice(F.filter("found", lambda x: x["id"] != F.col("vec")), 1, k)
-    return members.join(merged, "class").select(F.col("vec").alias(id_col), F.posexplode(own).alias("rank", "n")).select(id_col, F.col("n.id").alias("neighbour"), (F.col("rank") + 1).alias("rank"), (-F.col("n.far")).alias("similarity"))
+    return members.join(merged.hint("merge"), "class").select(F.col("vec").alias(id_col), F.posexplode(own).alias("rank", "n")).select(id_col, F.col("n.id").alias("neighbour"), (F.col("rank") + 1).alias("rank"), (-F.col("n.far")).alias("similarity"))
+
+
+def measured(found: DataFrame, df: DataFrame, id_col: str, vector_col: str, every: int = 20, k: int = 5, dims: int = 64) -> DataFrame:
+    """(queries, wanted, found, recall): `found` (of `nearest`) against an exact search for the ids divisible by `every`.
+
+    The queries are held in blocks against all rows, so the work grows with the square of the table.
+    """
+    vectors = stored(usable(df, id_col, vector_col, dims))
+    asked = vectors.where(F.pmod("vec", F.lit(every)) == 0)
+    blocks, exact = -(-asked.count() // ASKED), None
+    for block in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("vec"), F.lit(blocks)) == block).toArrow()
+        held = df.sparkSession.sparkContext.broadcast((rows.column("vec").to_pylist(), _unit(rows.column("v").combine_chunks(), dims))) if rows.num_rows else None
+        if held:
+            part = vectors.select(F.array("vec").alias("ids"), "v").mapInArrow(_asked(held, dims, k + 1), ANSWERS)
+            exact = part if exact is None else exact.unionByName(part)
+    if exact is None:
+        return df.sparkSession.createDataFrame([(0, 0, 0, None)], "queries bigint, wanted bigint, found bigint, recall double")
+    own = F.slice(F.filter("found", lambda x: x["id"] != F.col("class")), 1, k)
+    wanted = _best(exact, k + 1).select(F.col("class").alias(id_col), F.explode(own).alias("n")).select(id_col, F.col("n.id").alias("neighbour"))
+    both = wanted.join(found.select(id_col, "neighbour").distinct().withColumn("hit", F.lit(1)).hint("merge"), [id_col, "neighbour"], "left")
+    return both.agg(F.count_distinct(id_col).alias("queries"), F.count(F.lit(1)).alias("wanted"), F.coalesce(F.sum("hit"), F.lit(0)).alias("found")).withColumn("recall", F.col("found") / F.col("wanted"))

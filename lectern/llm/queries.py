@@ -143,6 +143,12 @@ def p7_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.nearest(table(spark, d, "chunk_vectors"), "vec_id", "embedding")
 
 
+def p7_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Recall of the neighbours against an exact search, for the vectors whose id is divisible by 20."""
+    vectors = table(spark, d, "chunk_vectors")
+    return neighbours.measured(neighbours.nearest(vectors, "vec_id", "embedding"), vectors, "vec_id", "embedding")
+
+
 def _subjects(spark: SparkSession, d: str) -> DataFrame:
     documents = table(spark, d, "documents")
     model = subjects.train(documents, table(spark, d, "subject_areas"), table(spark, d, "subject_labels"))
