@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.session import cut, stored
+from lectern.session import cut, once, stored
 
 CELL = 4000  # vectors per cell aimed at
 LINES, SHARE, GROWTH = 40, 0.55, 1.5
@@ -38,9 +38,9 @@ ASKED = 4096  # vectors at a time that are held against the whole collection
 
 def usable(df: DataFrame, id_col: str, vector_col: str, dims: int) -> DataFrame:
     """(vec, v) of the distinct ids whose vector has `dims` finite values, not all zero."""
-    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    rows = df.select(F.col(id_col).cast("bigint").alias("vec"), F.col(vector_col).cast("array<float>").alias("v"))
-    return rows.where(F.col("vec").isNotNull() & (F.size("v") == dims) & fine).dropDuplicates(["vec"])
+    v = F.col(vector_col).cast("array<float>")
+    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+    return once(df.where((F.size(v) == dims) & fine), [id_col]).select(F.col(id_col).cast("bigint").alias("vec"), v.alias("v")).where("vec is not null")
 
 
 def _rotations(tables: int, depth: int, dims: int, seed: int) -> np.ndarray:
