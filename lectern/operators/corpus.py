@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import document_hash, half_even
 
+POTENTIAL = "POTENTIAL CONFLICT"
+
 
 def first_uploads(records: DataFrame, order: list[str], key: str = "document_id") -> tuple[DataFrame, DataFrame]:
     """(first rows, repeated rows) by content id in the given order; rows without an id are never repeats."""
@@ -81,22 +86,38 @@ def recent(log: DataFrame, keep: Column, order: list[Column], limit: int = 10) -
 
 def paged(rows: DataFrame, order: list[Column | str], page: int, size: int = 20, by: list[str] | None = None) -> DataFrame:
     """Rows of one page of a listing, per group `by`."""
+    if not by:  # no page lies beyond so many rows, and they are few
+        rows = rows.orderBy(*order).limit(page * size)
     n = F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order))
     return rows.withColumn("position", n).where((F.col("position") > (page - 1) * size) & (F.col("position") <= page * size))
 
 
-def fingerprints(chunks: DataFrame, order: list[str], by: str = "page_number") -> DataFrame:
-    """SHA-256 over a document's chunk texts in order, in two levels.
+def fingerprints(chunks: DataFrame, order: list[str]) -> DataFrame:
+    """Per document the SHA-256 of its chunk texts in order, every text ended by a NUL, and the number of chunks.
 
-    The chunks of each `by` (a page) are joined, every text ended by a NUL, and hashed; the document's fingerprint is
-    the hash of those hashes in order. A row never holds more text than one page, or 64 characters for each page.
+    The digest is one sequence over a document, so a document is read by one task; its chunks stream by, sorted, and
+    none is held. Null texts count as empty.
     """
-    if by not in chunks.columns:
-        chunks = chunks.withColumn(by, F.lit(1))
-    texts = F.transform(F.array_sort(F.collect_list(F.struct(*order, "text"))), lambda x: F.concat(F.coalesce(x["text"], F.lit("")), F.lit("\0")))
-    pages = chunks.groupBy("document_id", by).agg(F.sha2(F.array_join(texts, ""), 256).alias("_h"), F.count(F.lit(1)).alias("_n"))
-    hashes = F.transform(F.array_sort(F.collect_list(F.struct(by, "_h"))), lambda x: x["_h"])
-    return pages.groupBy("document_id").agg(F.sha2(F.array_join(hashes, ""), 256).alias("fingerprint"), F.sum("_n").alias("chunks"))
+
+    def digested(batches):
+        held, digest, count = None, None, 0
+
+        def row():
+            return pa.RecordBatch.from_pydict({"document_id": [held], "fingerprint": [digest.hexdigest()], "chunks": [count]})
+
+        for batch in batches:
+            for document, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if document != held or digest is None:
+                    if digest is not None:
+                        yield row()
+                    held, digest, count = document, hashlib.sha256(), 0
+                digest.update((text or "").encode("utf-8", "surrogatepass") + b"\0")
+                count += 1
+        if digest is not None:
+            yield row()
+
+    rows = chunks.select("document_id", *order, "text").repartition("document_id").sortWithinPartitions("document_id", *order, "text")
+    return rows.select("document_id", "text").mapInArrow(digested, "document_id string, fingerprint string, chunks bigint")
 
 
 def valid_cache_rows(rows: DataFrame, version: int = 1) -> DataFrame:
@@ -126,12 +147,20 @@ def document_rows(records: DataFrame, pages: DataFrame, chunks: DataFrame, entit
     return rows.select("document_id", "filename", "publisher", "status", "pages", "chunks", "native_pages", "ocr_pages", "coverage", "warning", "entities", "events")
 
 
-def metrics(rows: DataFrame) -> DataFrame:
-    """One row of totals over `document_rows`, with the state of the corpus."""
+def metrics(rows: DataFrame, indexed_vectors: int | Column = 1, findings: DataFrame | None = None) -> DataFrame:
+    """One row of totals over `document_rows`, with the state of the corpus.
+
+    Without vectors in an index no corpus is healthy. Conflicts are null where no findings are given: not computed
+    is not zero.
+    """
     n, good = F.count(F.lit(1)), F.count_if(F.col("status") == "Processed")
-    out = rows.agg(n.alias("documents"), good.alias("processed"), F.sum("pages").alias("pages"), F.sum("chunks").alias("chunks"), F.sum("native_pages").alias("native_pages"), F.sum("ocr_pages").alias("ocr_pages"), F.sum("events").alias("events"), F.count_if("warning").alias("warnings"))
-    health = F.when((F.col("documents") > 0) & (F.col("processed") == F.col("documents")) & (F.col("warnings") == 0), "Good").when(F.col("processed") >= F.greatest(F.lit(1), F.ceil(F.col("documents") * 0.75)), "Moderate").otherwise("Needs Attention")
-    return out.withColumn("health", health)
+    out = rows.agg(n.alias("documents"), good.alias("processed"), F.sum("pages").alias("pages"), F.sum("chunks").alias("chunks"), F.sum("native_pages").alias("native_pages"), F.sum("ocr_pages").alias("ocr_pages"), F.sum("entities").alias("entities"), F.sum("events").alias("events"), F.count_if("warning").alias("warnings"))
+    for name in ("native", "ocr"):
+        out = out.withColumn(f"{name}_percentage", F.when(F.col("pages") > 0, half_even(F.col(f"{name}_pages") * 100.0 / F.col("pages"), 1)).otherwise(0.0))
+    online = (indexed_vectors if isinstance(indexed_vectors, Column) else F.lit(indexed_vectors)) > 0
+    found = F.lit(None).cast("bigint") if findings is None else findings.where(F.col("relationship") == POTENTIAL).agg(F.count(F.lit(1))).scalar()
+    health = F.when(online & (F.col("documents") > 0) & (F.col("processed") == F.col("documents")) & (F.col("warnings") == 0), "Good").when(online & (F.col("processed") >= F.greatest(F.lit(1), F.ceil(F.col("documents") * 0.75))), "Moderate").otherwise("Needs Attention")
+    return out.withColumn("conflicts", found).withColumn("index_status", F.when(online, "Online").otherwise("Offline")).withColumn("health", health)
 
 
 def rollup_totals(rows: DataFrame) -> DataFrame:
@@ -140,9 +169,19 @@ def rollup_totals(rows: DataFrame) -> DataFrame:
 
 
 def conflict_totals(findings: DataFrame) -> DataFrame:
-    """Per relationship the findings, documents and topics."""
-    both = findings.withColumn("document", F.explode(F.array("document_a", "document_b")))
-    return both.groupBy("relationship").agg(F.count_distinct("finding_id").alias("findings"), F.count_distinct("document").alias("documents"), F.count_distinct("topic").alias("topics"))
+    """(conflicts, documents): the potential conflicts among findings, and the sorted names of all documents compared.
+
+    The names are those of the documents a reader chose to compare, one short list.
+    """
+    names = F.array_sort(F.collect_set(F.when(F.col("document") != "", F.col("document"))))
+    both = findings.withColumn("_side", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("document", F.when(F.col("_side") == 0, F.col("document_a")).otherwise(F.col("document_b")))
+    return both.agg(F.count_if((F.col("_side") == 0) & (F.col("relationship") == POTENTIAL)).alias("conflicts"), names.alias("documents"))
+
+
+def conflict_topics(findings: DataFrame) -> DataFrame:
+    """(topic, conflicts): potential conflicts by topic."""
+    topic = F.coalesce("topic", F.lit("Unspecified topic")).alias("topic")
+    return findings.where(F.col("relationship") == POTENTIAL).groupBy(topic).agg(F.count(F.lit(1)).alias("conflicts"))
 
 
 def source_views(citations: DataFrame, records: DataFrame, pages: DataFrame, chunks: DataFrame) -> DataFrame:

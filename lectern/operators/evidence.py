@@ -6,14 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import allowed_ids, evidence_terms, negative_modality, positive_modality, POSITIVE_MODALITIES
+from lectern.operators.timeline import globally_numbered
 
 KEY = ["document_id", "chunk_id"]
 
 
 def numbered(rows: DataFrame, prefix: str, order: list[Column | str], by: list[str] | None = None, name: str = "evidence_id") -> DataFrame:
     """Ids of a prefix and a number from 1 in the given order, over everything or per group `by`."""
-    window = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order)
-    return rows.withColumn(name, F.concat(F.lit(prefix), F.row_number().over(window).cast("string")))
+    if by:
+        place = rows.withColumn("_place", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    else:
+        place = globally_numbered(rows, order, "_place")
+    return place.withColumn(name, F.concat(F.lit(prefix), F.col("_place").cast("string"))).drop("_place")
 
 
 def once_per_chunk(rows: DataFrame, order: list[Column | str], by: list[str] | None = None) -> DataFrame:

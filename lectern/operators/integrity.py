@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-import re
 from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.bibliography import HEADING, has
 from lectern.functions.grams import array_hashes, word_hashes
 from lectern.functions.matching import matches
 from lectern.functions.text import half_even
 
 SEED_WORDS, NEAR_RATIO, WINDOW_WORDS, LEAST_WINDOW = 8, 0.88, 60, 8
+# Statuses a reader sees.
 MATCHED, AMBIGUOUS, MISSING = "Matched bibliography entry", "Ambiguous bibliography match", "Missing bibliography reference"
+QUOTED_CITED, CITED_ONLY = "Quoted and source citation observed — review quotation accuracy", "Source citation observed; complete quotation not detected"
+QUOTED_ONLY, UNATTRIBUTED = "Quoted; source citation association not established", "Potentially unattributed overlap — review required"
+# End of the fixed values.
 
 
 def union_length(rows: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
@@ -164,16 +168,27 @@ def overlap_report(runs: DataFrame, totals: DataFrame, by: str) -> DataFrame:
     return rows.select(by, "words", F.col("covered").alias("overlapping_words"), F.when(F.col("words") > 0, 100.0 * F.col("covered") / F.col("words")).otherwise(0.0).alias("overlap_percentage"))
 
 
-def attribution(found: DataFrame, quotes: DataFrame, citations: DataFrame, by: str = "paper_id") -> DataFrame:
-    """Matches (match_id, start, end, source_ids) with `quoted` (inside a quotation) and `cited` (a
-    uniquely matched citation of one of the sources from 80 characters before to 180 after).
+def attribution(found: DataFrame, quotes: DataFrame, citations: DataFrame, texts: DataFrame, by: str = "paper_id", text: str = "body") -> DataFrame:
+    """Matches (match_id, start, end, source_ids) with `quoted` (inside a quotation), `cited` (a uniquely
+    matched citation of one of the sources from 80 characters before to 180 after, with no blank line between) and
+    `attribution`, what both say.
 
     Quotations, citations and matches of one paper meet on its id; the ranges are a residual of that equi-join.
+    Of the texts only the places of blank lines are joined.
     """
     inside = found.join(quotes.select(by, F.col("start").alias("_a"), F.col("end").alias("_b")), by).where((F.col("_a") <= F.col("start")) & (F.col("end") <= F.col("_b"))).select("match_id").distinct().withColumn("quoted", F.lit(True))
     sure = citations.where(F.col("status") == MATCHED).select(by, F.col("start").alias("_a"), F.col("end").alias("_b"), F.col("reference_ids").alias("_ids"))
-    close = found.join(sure, by).where((F.col("_a") <= F.col("end") + 180) & (F.col("_b") >= F.col("start") - 80) & F.arrays_overlap("source_ids", "_ids")).select("match_id").distinct().withColumn("cited", F.lit(True))
-    return found.join(inside, "match_id", "left").join(close, "match_id", "left").fillna({"quoted": False, "cited": False})
+    near = found.join(sure, by).where((F.col("_a") <= F.col("end") + 180) & (F.col("_b") >= F.col("start") - 80) & F.arrays_overlap("source_ids", "_ids"))
+    pieces = F.split(text, "\n\n", -1)
+    # where each piece but the last ends
+    ends = F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1), F.array().cast("array<int>"), lambda done, x: F.concat(done, F.array(F.coalesce(F.try_element_at(done, F.lit(-1)) + 2, F.lit(0)) + F.length(x))))
+    blanks = texts.where(F.contains(F.col(text), F.lit("\n\n"))).select(by, ends.alias("_blanks"))
+    first, last = F.least("_b", "end"), F.greatest("_a", "start")
+    parted = F.exists(F.coalesce("_blanks", F.array().cast("array<int>")), lambda x: (x >= first) & (x + 2 <= last))
+    close = near.join(blanks, by, "left").where(~parted).select("match_id").distinct().withColumn("cited", F.lit(True))
+    rows = found.join(inside, "match_id", "left").join(close, "match_id", "left").fillna({"quoted": False, "cited": False})
+    says = F.when(F.col("quoted") & F.col("cited"), QUOTED_CITED).when(F.col("cited"), CITED_ONLY).when(F.col("quoted"), QUOTED_ONLY).otherwise(UNATTRIBUTED)
+    return rows.withColumn("attribution", says)
 
 
 def unattributed_words(found: DataFrame, by: str) -> DataFrame:
@@ -220,20 +235,17 @@ def deduplicated_sources(sources: DataFrame, submitted_digest: str | None, order
     return rows.withColumn("_again", again).withColumn("status", F.when(F.col("digest").isNull(), "Unavailable").when(F.col("position") > most, "Not checked: limit").when((F.col("_again") > 1) | itself, "Not checked: duplicate").otherwise("Checked")).drop("_again")
 
 
-HEADING = re.compile(r"^\s*(?:(?:\d+(?:\.\d+)*|[IVX]+)[.)]?\s+)?(?:references(?: and notes)?|bibliography|works cited|literature cited|reference list)\s*$", re.I)
-
-
 def heading_lines(texts: DataFrame, by: str, text_col: str) -> DataFrame:
     """(by, line_no) of lines that are a bibliography heading."""
     rows = texts.where(F.col(text_col).isNotNull()).select(by, F.posexplode(F.split(text_col, "\n", -1)).alias("line_no", "line"))
-    return rows.where(F.col("line").rlike(f"(?i){HEADING.pattern}")).select(by, (F.col("line_no") + 1).alias("line_no"), "line").distinct()
+    return rows.where(has(F.col("line"), HEADING, fold=True)).select(by, (F.col("line_no") + 1).alias("line_no"), "line").distinct()
 
 
-def semantic_windows(mine: DataFrame, theirs: DataFrame, by: Column | None = None, least: float = 0.82) -> DataFrame:
+def semantic_windows(mine: DataFrame, theirs: DataFrame, least: float = 0.82) -> DataFrame:
     """Of each window vector (window_id, unit) the most similar source window (source_id, source_unit) from
-    `least` on. The submitted windows are the stated query set, held against all source windows."""
-    from lectern.operators.retrieval import dot
+    `least` on, ties to the larger source_id. Ids are integers; both sides meet in blocks of matrices."""
+    from lectern.operators.retrieval import best_of, semantic_blocks
 
-    scored = mine.crossJoin(theirs).select("window_id", "source_id", dot(F.col("unit"), F.col("source_unit")).alias("similarity"))
-    best = scored.groupBy("window_id").agg(F.max_by(F.struct("source_id", "similarity"), F.struct("similarity", "source_id")).alias("b"))
-    return best.select("window_id", "b.*").where(F.col("similarity") >= least)
+    scored = semantic_blocks(theirs.select(F.col("source_id").alias("vec_id"), F.col("source_unit").alias("unit")), mine.select(F.col("window_id").alias("query_id"), F.col("unit").alias("query_vector")), best_of(1))
+    best = scored.groupBy("query_id").agg(F.max_by(F.struct(F.col("vec_id").alias("source_id"), "similarity"), F.struct("similarity", "vec_id")).alias("b"))
+    return best.select(F.col("query_id").alias("window_id"), "b.*").where(F.col("similarity") >= least)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import lexical_tokens
+from lectern.session import once
 
 K1, B, RRF_K = 1.5, 0.75, 60
 KEY = ["document_id", "chunk_id"]
@@ -87,7 +88,7 @@ def usable_vectors(vectors: DataFrame, dims: int = 64) -> DataFrame:
     wide = F.col("embedding").cast("array<double>")
     fine = (F.size("embedding") == dims) & F.forall(wide, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(wide, lambda x: x != 0)
     norm = F.sqrt(F.aggregate("wide", F.lit(0.0), lambda s, x: s + x * x))
-    rows = vectors.where(fine).select("vec_id", *KEY, wide.alias("wide")).dropDuplicates(["vec_id"]).withColumn("norm", norm)
+    rows = once(vectors.where(fine), ["vec_id"]).select("vec_id", *KEY, wide.alias("wide")).withColumn("norm", norm)
     # The norm is repeated as an array, so that it is computed once per row and not once per element.
     return rows.select("vec_id", *KEY, F.zip_with("wide", F.array_repeat("norm", dims), lambda x, n: x / n).alias("unit"))
 

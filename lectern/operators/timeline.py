@@ -64,12 +64,15 @@ def globally_numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame
     from lectern.session import cut
 
     ranged = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
-    # The checkpoint keeps partitions and their order.
-    local = ranged.withColumn("_row", F.monotonically_increasing_id())
-    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_count"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy("_row"))
-    return local.join(before, "_part").withColumn(name, inside + F.col("_before")).drop("_part", "_row", "_before")
+    # The checkpoint keeps partitions and their order, and within a partition the id grows by one with every row.
+    local = ranged.withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    counts = {r[0]: r[1] for r in ranged.groupBy("_part").agg(F.count(F.lit(1))).collect()}  # one number a range
+    before, offsets = 0, []
+    for part in sorted(counts):
+        offsets.append((part, before))
+        before += counts[part]
+    starts = F.broadcast(rows.sparkSession.createDataFrame(offsets, "_part int, _before bigint"))
+    return local.join(starts, "_part").withColumn(name, F.col("_row") + F.col("_before") + 1).drop("_part", "_row", "_before")
 
 
 def timeline_summary(rows: DataFrame) -> DataFrame:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lectern.functions import bibliography, responses
+from lectern.functions import responses
 from lectern.functions import text as t
 from lectern.functions.matching import matches
+from lectern.operators import bibliography as bib
 from lectern.operators import comparison, corpus, coverage, entities, integrity, summary, timeline
 from lectern.plans.common import CHUNKS, PAGES, PAPERS, chunks, pages, papers, records, views
 from lectern.plans.registry import query
@@ -214,9 +215,88 @@ def j11_middle_pages(spark, d):
     return found.select("paper_id", "start", F.array_join(F.transform("pages", lambda x: x.cast("string")), ",").alias("pages"))
 
 
-@query("q11_bibliography")
-def q11_bibliography(spark, d):
-    return papers(spark, d).select("paper_id", F.explode(bibliography.parsed(F.col("body"))).alias("r")).select("paper_id", "r.*")
+def paper_pages(spark, d):
+    """The pages of all papers, each with a running title, and a last one with a bibliography of known entries.
+
+    The test tables have no bibliographies, so every paper gets some, laid out in four ways: year in brackets and
+    over two lines, initials first and quoted, year standing alone, and one that cannot be read.
+    """
+    shown = bib.pages_of(papers(spark, d)).withColumn("text", F.concat(F.lit("Collected papers of the year\nHere begins page "), "page_number", F.lit(" of it\n"), "text", F.lit("\nHere ends page "), "page_number", F.lit(" of it\n"), "page_number"))
+    ids = papers(spark, d).select("paper_id", F.explode(F.sequence(F.lit(1), F.lit(4) + F.pmod("paper_id", F.lit(3)).cast("int"))).alias("k"))
+    name = F.element_at(F.array(*map(F.lit, SURNAMES)), (F.pmod(F.col("paper_id") + F.col("k"), F.lit(len(SURNAMES))) + 1).cast("int"))
+    year, number = (F.lit(1990) + F.pmod(F.col("paper_id") * 7 + F.col("k"), F.lit(30))).cast("string"), F.concat("paper_id", F.lit(" part "), "k")
+    laid = F.when(F.col("k") % 4 == 1, F.concat(F.lit("["), "k", F.lit("] "), name, F.lit(", J. ("), year, F.lit("). Study number\n"), number, F.lit(". Journal 12. doi:10.5555/p"), "paper_id", F.lit("."), "k"))
+    laid = laid.when(F.col("k") % 4 == 2, F.concat(F.lit("["), "k", F.lit("] A. M. "), name, F.lit(", “Quoted study "), number, F.lit("”, Reports 61, 117 ("), year, F.lit(").")))
+    laid = laid.when(F.col("k") % 4 == 3, F.concat(name, F.lit(" J "), year, F.lit(" A standing study "), number, F.lit(", Phys. Rev. 10, 12.")))
+    laid = laid.otherwise(F.concat(F.lit("["), "k", F.lit("] an entry that names nobody, number "), "k"))
+    entries = ids.select("paper_id", F.struct("k", laid.alias("text")).alias("e")).groupBy("paper_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda x: x["text"]), "\n").alias("all"))
+    last = entries.select("paper_id", F.lit(999).alias("page_number"), F.concat(F.lit("Collected papers of the year\nHere begins page 999 of it\nOne more line of text.\nReferences\n"), "all", F.lit("\nHere ends page 999 of it\n999")).alias("text"))
+    return shown.unionByName(last)
+
+
+SURNAMES = ["Smith", "Jones", "Becker", "Doe", "Roe", "Steane", "Lee", "Kim"]
+ENTRIES = f"""{PAPERS}, k AS (SELECT paper_id, unnest(range(1, 5 + CAST(paper_id % 3 AS INTEGER))) AS k FROM pp),
+    e AS (SELECT *, {SURNAMES}[CAST((paper_id + k) % 8 + 1 AS INTEGER)] AS name, CAST(1990 + (paper_id * 7 + k) % 30 AS VARCHAR) AS y, paper_id || ' part ' || k AS num FROM k),
+    entries AS (SELECT paper_id, 'R' || k AS reference_id, CASE WHEN k % 4 <> 3 THEN CAST(k AS BIGINT) END AS label, k % 4 <> 0 AS parsed,
+      CASE k % 4 WHEN 1 THEN name || ', J.' WHEN 2 THEN 'A. M. ' || name WHEN 3 THEN name || ' J' ELSE '' END AS authors, CASE WHEN k % 4 = 0 THEN '' ELSE y END AS year,
+      CASE k % 4 WHEN 1 THEN 'Study number ' || num WHEN 2 THEN 'Quoted study ' || num WHEN 3 THEN 'A standing study ' || num ELSE '' END AS title,
+      CASE WHEN k % 4 = 0 THEN '' ELSE lower(name) END AS surname, CASE WHEN k % 4 = 1 THEN '10.5555/p' || paper_id || '.' || k ELSE '' END AS doi FROM e)"""
+
+
+@query("q11_references", f"WITH {ENTRIES} SELECT paper_id, reference_id, label, authors, title, year, surname, parsed, doi FROM entries")
+def q11_references(spark, d):
+    """Margins dropped, the bibliography found, its lines put together as entries and the entries read."""
+    return bib.papers_from(paper_pages(spark, d))[1].select("paper_id", "reference_id", "label", "authors", "title", "year", "surname", "parsed", "doi")
+
+
+@query("q11_notes", f"WITH {PAPERS} SELECT paper_id, true AS found FROM pp")
+def q11_notes(spark, d):
+    return bib.papers_from(paper_pages(spark, d))[2].select("paper_id", "found")
+
+
+@query("q11_bodies", f"""
+    WITH x AS (SELECT paper_id, any_value(body) AS body, any_value(page_spans) AS s FROM papers WHERE paper_id IS NOT NULL GROUP BY paper_id),
+    p AS (SELECT paper_id, coalesce(q.page_number, 0) AS page_number, body[q.span_start + 1:q.span_end] AS t FROM (SELECT paper_id, body, unnest(CASE WHEN len(s) > 0 THEN s ELSE [{{'span_start': 0, 'span_end': length(body), 'page_number': 1}}] END) AS q FROM x WHERE body IS NOT NULL)),
+    y AS (SELECT paper_id, count(*) AS pages, sum(len(regexp_extract_all(t, '[\\p{{L}}\\p{{N}}]+'))) AS words FROM p GROUP BY paper_id)
+    SELECT x.paper_id, CAST(coalesce(words + 5, 16) AS BIGINT) AS words FROM x LEFT JOIN y USING (paper_id)""")
+def q11_bodies(spark, d):
+    """Words left in the body: those of the paper and of the line before its bibliography, and no running title (which a paper of one page keeps)."""
+    bodies = bib.papers_from(paper_pages(spark, d))[0]
+    return bodies.select("paper_id", F.size(F.regexp_extract_all("body", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).cast("bigint").alias("words"))
+
+
+@query("q12_citations", f"""
+    WITH {ENTRIES}, c AS (SELECT paper_id, unnest(range(1, 5)) AS k FROM pp),
+    asked AS (SELECT paper_id, 'numeric' AS style, CAST(k + 2 AS VARCHAR) AS target, '' AS year FROM c UNION ALL SELECT paper_id, 'author-year', lower({SURNAMES}[CAST((paper_id + k) % 8 + 1 AS INTEGER)]), CAST(1990 + (paper_id * 7 + k) % 30 AS VARCHAR) FROM c UNION ALL SELECT paper_id, 'DOI', '10.5555/p' || paper_id || '.' || k, '' FROM c),
+    met AS (SELECT a.paper_id, a.style, a.target, a.year, list_sort(list(reference_id) FILTER (reference_id IS NOT NULL)) AS ids FROM asked a LEFT JOIN entries e ON e.paper_id = a.paper_id
+      AND CASE a.style WHEN 'numeric' THEN CAST(e.label AS VARCHAR) = a.target WHEN 'author-year' THEN e.surname = a.target AND e.year = a.year AND e.parsed ELSE e.doi = a.target END GROUP BY ALL)
+    SELECT paper_id, style, target, year, coalesce(array_to_string(ids, ','), '') AS reference_ids, CASE coalesce(len(ids), 0) WHEN 0 THEN '{integrity.MISSING}' WHEN 1 THEN '{integrity.MATCHED}' ELSE '{integrity.AMBIGUOUS}' END AS status FROM met""")
+def q12_citations(spark, d):
+    """Markers of all three styles in a sentence put to every paper, mapped to the references read from its pages."""
+    ids = papers(spark, d).select("paper_id", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("k"))
+    name = F.element_at(F.array(*map(F.lit, SURNAMES)), (F.pmod(F.col("paper_id") + F.col("k"), F.lit(len(SURNAMES))) + 1).cast("int"))
+    cite = F.concat(F.lit("As shown ["), (F.col("k") + 2).cast("string"), F.lit("] and by ("), name, F.lit(", "), (F.lit(1990) + F.pmod(F.col("paper_id") * 7 + F.col("k"), F.lit(30))).cast("string"), F.lit("), see 10.5555/p"), "paper_id", F.lit("."), "k", F.lit(" ."))
+    texts = ids.groupBy("paper_id").agg(F.array_join(F.array_sort(F.collect_list(cite)), "\n").alias("body"))
+    references = bib.papers_from(paper_pages(spark, d))[1]
+    found = integrity.matched_citations(integrity.markers(texts), references.withColumn("surname", F.nullif("surname", F.lit(""))).withColumn("doi", F.nullif("doi", F.lit(""))))
+    return found.select("paper_id", "style", F.when(F.col("style") == "numeric", F.regexp_extract("marker", r"\d+", 0)).when(F.col("style") == "DOI", F.lower("marker")).otherwise(F.lower(F.regexp_extract("marker", r"^\w+", 0))).alias("target"), F.when(F.col("style") == "author-year", F.regexp_extract("marker", r"\d{4}", 0)).otherwise("").alias("year"), F.array_join("reference_ids", ",").alias("reference_ids"), "status")
+
+
+@query("a21_margins", r"""
+    WITH {PAGES}, l AS (SELECT document_id, page_number, unnest(range(0, len(x))) AS line_no, unnest(x) AS line FROM (SELECT document_id, page_number, regexp_split_to_array(regexp_replace(page_text, '\n\z', ''), '\r?\n') AS x FROM p WHERE coalesce(page_text, '') <> '')),
+    t AS (SELECT *, trim(line, ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11) || chr(160)) AS bare FROM l),
+    o AS (SELECT *, sum(CASE WHEN bare <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY document_id, page_number ORDER BY line_no) AS top, sum(CASE WHEN bare <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY document_id, page_number) AS solid FROM t),
+    k AS (SELECT *, CASE WHEN bare <> '' AND solid >= 4 AND (top <= 2 OR top > solid - 2) AND NOT regexp_matches(bare, '^(?:\[(\d+)\]|(\d+)[.)])\s+(.+)')
+      AND NOT regexp_matches(bare, '^(?:[A-ZÀ-ÖØ-Þ][\p{L}\p{N}_’''\-]+,\s*(?:[A-Z]\.|[A-Z][a-z]+)|(?:[A-Z]\.\s*)+[A-Z][\p{L}\p{N}_’''\-]+)')
+      AND NOT regexp_matches(bare, '^[A-ZÀ-ÖØ-Þ][\p{L}\p{N}_’''\-]+(?:\s+[a-z]+)?\s+[A-Z](?:\s+[A-Z])?(?:\s+(?:and|&|[A-Z][\p{L}\p{N}_’''\-]+)|\s+(?:18|19|20)\d{2})')
+      AND NOT regexp_matches(line, '(?i)^\s*(?:(?:\d+(?:\.\d+)*|[IVX]+)[.)]?\s+)?(?:references(?: and notes)?|bibliography|works cited|literature cited|reference list)\s*$')
+      AND regexp_replace(bare, '\d+', '#', 'g') <> '#' THEN lower(regexp_replace(bare, '\d+', '#', 'g')) END AS key FROM o),
+    often AS (SELECT document_id, key FROM k WHERE key IS NOT NULL GROUP BY ALL HAVING count(DISTINCT page_number) >= 2)
+    SELECT document_id, page_number, CAST(line_no AS INTEGER) AS line_no FROM k WHERE bare = CAST(page_number AS VARCHAR) OR (key IS NOT NULL AND (document_id, key) IN (SELECT (document_id, key) FROM often))""".replace("{PAGES}", PAGES))
+def a21_margins(spark, d):
+    """Running titles, footers and page numbers of all documents, as they are left out of papers."""
+    rows = pages(spark, d).select(F.col("document_id").alias("paper_id"), "page_number", F.col("page_text").alias("text"))
+    return bib.with_margins(bib.lines_of(rows)).where("margin").select(F.col("paper_id").alias("document_id"), "page_number", "line_no")
 
 
 @query("t19_heading_lines", f"WITH {PAPERS}, x AS (SELECT paper_id, string_split(body, chr(10)) AS l FROM pp WHERE body IS NOT NULL), y AS (SELECT paper_id, unnest(range(1, len(l) + 1)) AS line_no, unnest(l) AS line FROM x) SELECT paper_id, CAST(line_no AS INTEGER) AS line_no, line FROM y WHERE regexp_matches(line, '(?i)^\\s*(?:(?:\\d+(?:\\.\\d+)*|[IVX]+)[.)]?\\s+)?(?:references(?: and notes)?|bibliography|works cited|literature cited|reference list)\\s*$')")
@@ -274,7 +354,7 @@ def j12_attribution(spark, d):
     cited = integrity.matched_citations(integrity.markers(rows), stated_references(spark, d))
     found = integrity.markers(rows).where("style = 'author-year'").select("paper_id", "start", "end", F.xxhash64("paper_id", "start", "end").alias("match_id"), F.array(*[F.lit(f"R{n}") for n in range(1, 21)]).alias("source_ids"))
     quoted = rows.select("paper_id", F.explode(matches("quotes", F.col("body"))).alias("q")).select("paper_id", "q.*")
-    return integrity.attribution(found, quoted, cited).select("paper_id", "start", "end", "quoted", "cited")
+    return integrity.attribution(found, quoted, cited, rows).select("paper_id", "start", "end", "quoted", "cited", "attribution")
 
 
 @query("a20_observations", f"""
@@ -303,12 +383,12 @@ def a21_edge_lines(spark, d):
 
 
 @query("u5_source_status", """
-    WITH x AS (SELECT paper_id, any_value(digest) AS digest, any_value(submitted_at) AS at FROM papers GROUP BY paper_id), y AS (SELECT paper_id, digest, row_number() OVER (ORDER BY paper_id) AS position FROM x), z AS (SELECT *, row_number() OVER (PARTITION BY digest ORDER BY position) AS again FROM y)
-    SELECT paper_id AS source_id, CASE WHEN digest IS NULL THEN 'Unavailable' WHEN position > 10 THEN 'Not checked: limit' WHEN again > 1 THEN 'Not checked: duplicate' ELSE 'Checked' END AS status FROM z WHERE position <= 30""")
+    WITH x AS (SELECT paper_id, any_value(digest) AS digest FROM papers WHERE paper_id IS NOT NULL GROUP BY paper_id), y AS (SELECT *, row_number() OVER (PARTITION BY paper_id // 25 ORDER BY paper_id) AS position FROM x), z AS (SELECT *, row_number() OVER (PARTITION BY paper_id // 25, digest ORDER BY position) AS again FROM y)
+    SELECT paper_id AS source_id, CASE WHEN digest IS NULL THEN 'Unavailable' WHEN position > 10 THEN 'Not checked: limit' WHEN again > 1 THEN 'Not checked: duplicate' ELSE 'Checked' END AS status FROM z""")
 def u5_source_status(spark, d):
-    """The first thirty papers as the sources of one submitted paper."""
-    first = papers(spark, d).select(F.col("paper_id").alias("source_id"), "digest").orderBy("source_id").limit(30).withColumn("paper_id", F.lit(0))
-    return integrity.deduplicated_sources(first, None, ["source_id"]).select("source_id", "status")
+    """All papers as sources, those of 25 ids in a row of one submitted paper."""
+    sources = papers(spark, d).select(F.col("paper_id").alias("source_id"), "digest", F.floor(F.col("paper_id") / 25).alias("paper_id"))
+    return integrity.deduplicated_sources(sources, None, ["source_id"]).select("source_id", "status")
 
 
 @query("t27_bounded_chunks", f"WITH {CHUNKS} SELECT document_id, chunk_id, length(trim(text, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))) AS chars FROM c WHERE text IS NOT NULL AND regexp_matches(text, '[\\p{{L}}\\p{{N}}]')")

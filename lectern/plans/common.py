@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from lectern.session import once
 from lectern.sources.tables import table
 
 QUERIES = [
@@ -14,25 +14,20 @@ QUERIES = [
 ]
 
 
-def _once(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    fine = df.where(" and ".join(f"{k} is not null" for k in keys))
-    return fine.groupBy(*keys).agg(*[F.min(c).alias(c) for c in columns])
-
-
 def chunks(spark: SparkSession, d: str) -> DataFrame:
-    return _once(table(spark, d, "doc_chunks"), ["document_id", "chunk_id"], ["source_filename", "page_number", "chunk_ord", "extraction_method", "text"])
+    return once(table(spark, d, "doc_chunks"), ["document_id", "chunk_id"]).select("document_id", "chunk_id", "source_filename", "page_number", "chunk_ord", "extraction_method", "text")
 
 
 def pages(spark: SparkSession, d: str) -> DataFrame:
-    return _once(table(spark, d, "doc_pages"), ["document_id", "page_number"], ["source_filename", "extraction_method", "ocr_error", "page_text"])
+    return once(table(spark, d, "doc_pages"), ["document_id", "page_number"]).select("document_id", "page_number", "source_filename", "extraction_method", "ocr_error", "page_text")
 
 
 def papers(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "papers").where("paper_id is not null").dropDuplicates(["paper_id"])
+    return once(table(spark, d, "papers"), ["paper_id"])
 
 
 def views(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "source_views").where("view_id is not null").dropDuplicates(["view_id"])
+    return once(table(spark, d, "source_views"), ["view_id"])
 
 
 def records(spark: SparkSession, d: str) -> DataFrame:

@@ -78,9 +78,9 @@ def w19_listing_page(spark, d):
     return corpus.paged(chunks(spark, d), ["page_number", "chunk_ord", "chunk_id"], 2, by=["document_id"]).select("document_id", "chunk_id", "position")
 
 
-@query("a22_fingerprints", f"WITH {CHUNKS}, h AS (SELECT document_id, page_number, sha256(string_agg(coalesce(text, '') || chr(0), '' ORDER BY chunk_ord, chunk_id)) AS h, count(*) AS n FROM c GROUP BY ALL) SELECT document_id, sha256(string_agg(h, '' ORDER BY page_number)) AS fingerprint, CAST(sum(n) AS BIGINT) AS chunks FROM h GROUP BY document_id")
+@query("a22_fingerprints", f"WITH {CHUNKS} SELECT document_id, sha256(string_agg(coalesce(text, '') || chr(0), '' ORDER BY page_number, chunk_ord, chunk_id)) AS fingerprint, count(*) AS chunks FROM c GROUP BY document_id")
 def a22_fingerprints(spark, d):
-    return corpus.fingerprints(chunks(spark, d), ["chunk_ord", "chunk_id"])
+    return corpus.fingerprints(chunks(spark, d), ["page_number", "chunk_ord", "chunk_id"])
 
 
 @query("f9_valid_records", "SELECT document_id, filename FROM doc_records WHERE regexp_matches(document_id, '^[0-9a-f]{64}$') AND status IN ('Processed', 'Failed') AND filename IS NOT NULL")
@@ -115,10 +115,11 @@ def a11_coverage(spark, d):
     return rows.select("document_id", "coverage")
 
 
-@query("a9_metrics", f"""{DOCUMENT_ROWS}, m AS (SELECT count(*) AS documents, count(*) FILTER (status = 'Processed') AS processed, CAST(sum(pages) AS BIGINT) AS pages, CAST(sum(chunks) AS BIGINT) AS chunks, CAST(sum(native_pages) AS BIGINT) AS native_pages, CAST(sum(ocr_pages) AS BIGINT) AS ocr_pages, count(*) FILTER (warning) AS warnings FROM rows_)
-    SELECT *, CASE WHEN documents > 0 AND processed = documents AND warnings = 0 THEN 'Good' WHEN processed >= greatest(1, ceil(documents * 0.75)) THEN 'Moderate' ELSE 'Needs Attention' END AS health FROM m""")
+@query("a9_metrics", f"""{DOCUMENT_ROWS}, m AS (SELECT count(*) AS documents, count(*) FILTER (status = 'Processed') AS processed, CAST(sum(pages) AS BIGINT) AS pages, CAST(sum(chunks) AS BIGINT) AS chunks, CAST(sum(native_pages) AS BIGINT) AS native_pages, CAST(sum(ocr_pages) AS BIGINT) AS ocr_pages, count(*) FILTER (warning) AS warnings FROM rows_), v AS (SELECT count(*) AS vectors FROM chunk_vectors)
+    SELECT m.*, CAST(round_even(100.0 * native_pages / pages, 1) AS DOUBLE) AS native_percentage, CAST(round_even(100.0 * ocr_pages / pages, 1) AS DOUBLE) AS ocr_percentage, CASE WHEN vectors > 0 THEN 'Online' ELSE 'Offline' END AS index_status, CASE WHEN documents > 0 AND processed = documents AND warnings = 0 THEN 'Good' WHEN processed >= greatest(1, ceil(documents * 0.75)) THEN 'Moderate' ELSE 'Needs Attention' END AS health FROM m, v""")
 def a9_metrics(spark, d):
-    return corpus.metrics(corpus.document_rows(corpus.distinct_documents(records(spark, d)), pages(spark, d), chunks(spark, d))).drop("events")
+    vectors = table(spark, d, "chunk_vectors").agg(F.count(F.lit(1))).scalar()
+    return corpus.metrics(corpus.document_rows(corpus.distinct_documents(records(spark, d)), pages(spark, d), chunks(spark, d)), vectors).drop("events", "entities", "conflicts")
 
 
 @query("x1_rollup_totals", f"{DOCUMENT_ROWS} SELECT publisher, status, count(*) AS documents, CAST(sum(pages) AS BIGINT) AS pages, CAST(sum(chunks) AS BIGINT) AS chunks, CAST(grouping(publisher, status) AS BIGINT) AS level FROM rows_ GROUP BY ROLLUP (publisher, status)")

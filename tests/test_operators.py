@@ -2,8 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from lectern.functions import bibliography
-from lectern.operators import comparison, corpus, coverage, evidence, integrity, reports, retrieval, summary, timeline
+from lectern.operators import bibliography, comparison, corpus, coverage, evidence, integrity, reports, retrieval, summary, timeline
 
 CHUNK = "document_id string, chunk_id string, source_filename string, page_number int, chunk_ord int, extraction_method string, text string"
 
@@ -119,13 +118,65 @@ def test_citations_match_once_twice_never(spark):
     assert used == {"R1": (True, False), "R2": (False, True), "R3": (False, True)}
 
 
-def test_bibliography_entries():
-    text = ["Body text.", "References", "[1] Smith, J. (2020). A study of ports. Journal.", "continued line", "[2] something unreadable", "Conclusion", "back in the body"]
-    inside = bibliography.layout(text)
-    assert [x for x, i in zip(text, inside, strict=True) if i] == text[2:5]
-    got = bibliography.entries(text[2:5])
-    assert [(e["label"], e["surname"], e["year"], e["title"], e["parsed"]) for e in got] == [(1, "smith", "2020", "A study of ports", True), (2, "", "", "", False)]
-    assert bibliography.section(["a", "b"]) == (None, False)
+def built(spark, *pages):
+    """(body, references in order, found) of one paper with these pages."""
+    rows = spark.createDataFrame([(1, n, text) for n, text in enumerate(pages, 1)], "paper_id bigint, page_number int, text string")
+    bodies, references, notes = bibliography.papers_from(rows)
+    body = bodies.first()
+    return body.body if body else "", sorted(references.collect(), key=lambda r: int(r.reference_id[1:])), notes.first().found
+
+
+def test_bibliography_entries(spark):
+    body, refs, found = built(spark, "Body text.\nReferences\n[1] Smith, J. (2020). A study of ports. Journal.\ncontinued line\n[2] something unreadable\nConclusion\nback in the body")
+    assert found and "back in the body" in body and "Smith" not in body
+    assert [(r.label, r.surname, r.year, r.title, r.parsed) for r in refs] == [(1, "smith", "2020", "A study of ports", True), (2, "", "", "", False)]
+
+
+def test_years_and_mentions_open_no_bibliography(spark):
+    body, refs, found = built(spark, "Introduction\nIn 1998, Steane described things.\nThe references are discussed below.\nA paragraph mentions Smith (2020).")
+    assert not found and refs == [] and "The references are discussed" in body
+    _, refs, found = built(spark, "Contents\nReferences .... 16\nIntroduction\nReferences\nThe study published in 2020 is described in the following body paragraph.\nConclusion")
+    assert not found and refs == []
+
+
+def test_entries_run_over_pages_without_running_titles(spark):
+    body, refs, _ = built(spark, "Review of Computing\nBody claim [1].\nMore body text.\nReferences\n[1] Smith, J. (2020). A long\n1", "Review of Computing\nreference title continued.\nJournal 10, pages 12-18.\n[2] Jones, P. (2021). Another work.\n2")
+    assert [r.pages for r in refs] == [[1, 2], [2]] and refs[0].title == "A long reference title continued"
+    assert "Review" not in body and "Review" not in refs[0].raw
+
+
+def test_a_late_run_of_entries_needs_no_heading(spark):
+    body = "Introduction\n" + "Ordinary body paragraph mentions years 1998 and 2020.\n" * 30
+    text, refs, found = built(spark, body, "\n".join(f"Surname{n} A 2020 A valid study number {n}, Phys. Rev. 10, 12." for n in range(8)))
+    assert found and len(refs) == 8 and all(r.parsed for r in refs) and "Introduction" in text
+
+
+def test_odd_layouts_of_entries(spark):
+    _, refs, _ = built(spark, "Claim [1].\nReferences\n[1] A. M. Steane, “Quantum computing”, Reports on Progress 61, 117 (1998).\n[2] Smith, J. This is an entire body paragraph before the year (2020). Alleged title.\n[3] Jones, A. (2021). Real title.\nThe " + "ordinary body words " * 20 + ".")
+    assert [(r.surname, r.title, r.year, r.parsed) for r in refs] == [("steane", "Quantum computing", "1998", True), ("", "", "", False), ("jones", "Real title", "2021", True)]
+    empty = spark.createDataFrame([], "paper_id bigint, page_number int, text string")
+    assert all(x.count() == 0 for x in bibliography.papers_from(empty))
+    blank = spark.createDataFrame([(1, 1, None), (1, 2, "")], "paper_id bigint, page_number int, text string")
+    _, none, note = bibliography.papers_from(blank)
+    assert none.count() == 0 and tuple(note.first()) == (1, False, 0, 2, 0)
+
+
+def test_a_citation_beyond_a_blank_line_does_not_count(spark):
+    text = "copied words here [1] and.\n\nother copied words then\n\n[1] end"
+    body = spark.createDataFrame([(1, text)], "paper_id bigint, body string")
+    a, b = text.index("copied"), text.index("other copied")
+    found = spark.createDataFrame([(1, a, a + 17, 7, ["R1"]), (1, b, b + 18, 8, ["R1"]), (1, 0, 3, 9, ["R2"])], "paper_id bigint, start int, `end` int, match_id bigint, source_ids array<string>")
+    cited = spark.createDataFrame([(1, x, x + 3, ["R1"], integrity.MATCHED) for x in (text.index("[1]"), text.rindex("[1]"))], "paper_id bigint, start int, `end` int, reference_ids array<string>, status string")
+    quotes = spark.createDataFrame([(1, b, len(text))], "paper_id bigint, start int, `end` int")
+    got = {r.match_id: (r.quoted, r.cited, r.attribution) for r in integrity.attribution(found, quotes, cited, body).collect()}
+    assert got == {7: (False, True, integrity.CITED_ONLY), 8: (True, False, integrity.QUOTED_ONLY), 9: (False, False, integrity.UNATTRIBUTED)}
+
+
+def test_potential_conflicts_are_counted(spark):
+    rows = [(1, "POTENTIAL CONFLICT", "a.pdf", "b.pdf", "fees"), (2, "CONSISTENT", "a.pdf", "c.pdf", "fees"), (3, "POTENTIAL CONFLICT", "a.pdf", "", None)]
+    df = spark.createDataFrame(rows, "finding_id int, relationship string, document_a string, document_b string, topic string")
+    assert tuple(corpus.conflict_totals(df).first()) == (2, ["a.pdf", "b.pdf", "c.pdf"])
+    assert {tuple(r) for r in corpus.conflict_topics(df).collect()} == {("fees", 1), ("Unspecified topic", 1)}
 
 
 def test_windows_never_cut_words():
