@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.responses import answer_of
 from lectern.functions.text import allowed_ids, evidence_terms, negative_modality, positive_modality, POSITIVE_MODALITIES
 from lectern.operators.timeline import globally_numbered
 
 KEY = ["document_id", "chunk_id"]
+INSUFFICIENT = "I could not find sufficient evidence in the indexed documents to answer this question reliably."  # fixed value
 
 
 def numbered(rows: DataFrame, prefix: str, order: list[Column | str], by: list[str] | None = None, name: str = "evidence_id") -> DataFrame:
@@ -60,6 +62,26 @@ def verified_sources(citations: DataFrame, evidence: DataFrame) -> DataFrame:
     return once_per_chunk(rows, ["position"], ["query_id"]).select("query_id", "position", "evidence_id", "source_filename", "document_id", "page_number", "chunk_id", "extraction_method")
 
 
+def grounded(queries: DataFrame, retrieved: DataFrame, responses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Q2: (answers, sources) of queries from what was retrieved for them and the responses of a model.
+
+    Retrieved rows are numbered E1, E2, .. and selected (F5); where confidence says there is too little, no response
+    is used and nothing is cited. Responses (query_id, response) are read as JSON; of their ids those count that the
+    selected evidence has. `queries` has (query_id, query).
+    """
+    rows = numbered(retrieved, "E", [F.desc("hybrid_score"), "rank"], ["query_id"])
+    chosen = selected_hybrid(rows)
+    counts = chosen.groupBy("query_id").agg(F.count(F.lit(1)).alias("selected_count"), F.max("similarity").alias("best"), F.avg("similarity").alias("average"))
+    asked = queries.join(counts.drop("best", "average"), "query_id", "left").fillna({"selected_count": 0}).withColumn("sufficient", F.lit(True))
+    sure = confidence(asked, rows).select("query_id", "level", "conflict")
+    read = queries.select("query_id").join(responses, "query_id", "left").select("query_id", answer_of(F.col("response")).alias("a"))
+    usable = read.join(sure, "query_id", "left").withColumn("enough", F.coalesce(F.col("level") != "INSUFFICIENT", F.lit(False)))
+    proposed = usable.select("query_id", "enough", "level", "conflict", F.when(F.col("enough"), F.col("a.answer")).otherwise(INSUFFICIENT).alias("answer"), F.when(F.col("enough"), F.col("a.evidence_ids")).alias("proposed_ids"))
+    cited = valid_citations(proposed.select("query_id", "proposed_ids"), chosen)
+    answers = proposed.drop("proposed_ids").join(cited, "query_id").join(counts, "query_id", "left").withColumn("strength", strength(F.col("best"), F.col("average"))).drop("best", "average", "selected_count")
+    return answers, verified_sources(cited, chosen)
+
+
 def opposed_pairs(rows: DataFrame, by: str = "query_id") -> DataFrame:
     """Pairs of chunks of one query of which one permits or obliges and the other forbids, with a
     common term (one of the query's terms, if `query_terms` has any).

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lectern.functions.bibliography import HEADING, has
 from lectern.functions.grams import array_hashes, word_hashes
@@ -91,12 +94,9 @@ def exact_runs(submitted: DataFrame, sources: DataFrame, *, sid: str = "doc_id",
     diagonal = Window.partitionBy(sid, rid, F.col("here") - F.col("there")).orderBy("here")
     islands = met.withColumn("_i", F.col("here") - F.row_number().over(diagonal)).groupBy(sid, rid, (F.col("here") - F.col("there")).alias("_d"), "_i").agg(F.min("here").alias("a"), (F.max("here") + width).alias("b"))
 
-    def greedy(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["a", "_d"], ascending=[True, False])
-        runs = list(zip(rows["a"], rows["b"], rows["_d"], strict=True))
-        starts = sorted({x for a, b, _ in runs for x in (a, b)})
-        out, at = [], 0
-        k, open_runs = 0, []
+    def taken(runs: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
+        """`runs` (first word, one past the last, diagonal) in order of their first word, larger diagonals first."""
+        out, at, k, open_runs = [], 0, 0, []
         while True:
             ahead = [r for r in open_runs if r[1] - width >= at]
             while k < len(runs) and runs[k][0] <= at:
@@ -104,20 +104,39 @@ def exact_runs(submitted: DataFrame, sources: DataFrame, *, sid: str = "doc_id",
                     ahead.append(runs[k])
                 k += 1
             open_runs = ahead
-            if not ahead:
-                if k == len(runs):
-                    break
+            if ahead:
+                _, b, d = max(ahead, key=lambda r: (r[1], r[2]))
+                out.append((at, b, at - d, b - d))
+                at = b
+            elif k == len(runs):
+                return out
+            else:
                 at = runs[k][0]
-                continue
-            a, b, d = max(ahead, key=lambda r: (r[1], r[2]))
-            out.append((at, b, at - d, b - d))
-            at = b
-        del starts
-        found = pd.DataFrame(out, columns=["word_start", "word_end", "source_start", "source_end"]).astype("int64")
-        return found.assign(**{sid: rows[sid].iloc[0], rid: rows[rid].iloc[0]})[[sid, rid, "word_start", "word_end", "source_start", "source_end"]]
 
-    types = {f.name: f.dataType.simpleString() for f in islands.schema.fields}
-    return islands.groupBy(sid, rid).applyInPandas(greedy, f"`{sid}` {types[sid]}, `{rid}` {types[rid]}, word_start bigint, word_end bigint, source_start bigint, source_end bigint")
+    def greedy(batches):
+        """Pairs arrive one after another, sorted; the few runs of one pair are held at a time."""
+
+        def rows():
+            pair, runs = None, []
+            for batch in batches:
+                for sid_, rid_, a, b, d in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if (sid_, rid_) != pair:
+                        yield from ((*pair, *run) for run in taken(runs)) if runs else ()
+                        pair, runs = (sid_, rid_), []
+                    runs.append((a, b, d))
+            if runs:
+                yield from ((*pair, *run) for run in taken(runs))
+
+        found = rows()
+        while part := list(islice(found, 20_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), kinds, strict=True)], names)
+
+    types = {f.name: f.dataType for f in islands.schema.fields}
+    names = [sid, rid, "word_start", "word_end", "source_start", "source_end"]
+    kinds = [to_arrow_type(types[sid]), to_arrow_type(types[rid]), *[pa.int64()] * 4]
+    shape = ", ".join(f"`{n}` {types[n].simpleString() if n in types else 'bigint'}" for n in names)
+    ordered = islands.select(sid, rid, "a", "b", "_d").repartition(sid, rid).sortWithinPartitions(sid, rid, "a", F.desc("_d"))
+    return ordered.mapInArrow(greedy, shape)
 
 
 def windows(texts: DataFrame, id_col: str, text_col: str, width: int = WINDOW_WORDS, least: int = LEAST_WINDOW, most: int = 1000) -> DataFrame:
@@ -147,18 +166,65 @@ def near_exact(submitted: DataFrame, sources: DataFrame, *, sid: str = "doc_id",
     common = F.size(F.array_intersect("a", "b"))
     ranked = both.withColumn("_n", F.row_number().over(Window.partitionBy(sid, "window", rid).orderBy(F.desc(common), "source_window"))).where(F.col("_n") <= candidates)
 
-    @F.pandas_udf("struct<similarity: double, equal_words: int>")
+    @F.pandas_udf("struct<similarity: double, equal_words: int, blocks: array<struct<a: int, b: int>>>")
     def compared(a: pd.Series, b: pd.Series) -> pd.DataFrame:
         out = []
         for x, y in zip(a, b, strict=True):
             m = SequenceMatcher(None, list(x), list(y), autojunk=False)
-            out.append((m.ratio(), sum(block.size for block in m.get_matching_blocks())))
-        return pd.DataFrame(out, columns=["similarity", "equal_words"])
+            blocks = [(block.a, block.a + block.size) for block in m.get_matching_blocks() if block.size]
+            out.append((m.ratio(), sum(j - i for i, j in blocks), [{"a": i, "b": j} for i, j in blocks]))
+        return pd.DataFrame(out, columns=["similarity", "equal_words", "blocks"])
 
-    scored = ranked.withColumn("c", compared("a", "b")).select(sid, "window", "word_start", F.size("a").alias("words"), rid, "source_window", "source_start", "_n", "c.*")
+    scored = ranked.withColumn("c", compared("a", "b")).select(sid, "window", "word_start", F.size("a").alias("words"), rid, "source_window", "source_start", F.size("b").alias("source_words"), "_n", "c.*")
     good = scored.where((F.col("similarity") >= ratio) & (F.col("similarity") < 1) & (F.col("equal_words") >= LEAST_WINDOW))
     first = Window.partitionBy(sid, "window", rid).orderBy("_n")
-    return good.withColumn("_f", F.row_number().over(first)).where("_f = 1").select(sid, "window", "word_start", "words", rid, "source_window", "source_start", half_even(F.col("similarity"), 4).alias("similarity"), "equal_words")
+    rows = good.withColumn("_f", F.row_number().over(first)).where("_f = 1")
+    return rows.select(sid, "window", "word_start", "words", rid, "source_window", "source_start", "source_words", half_even(F.col("similarity"), 4).alias("similarity"), "equal_words", "blocks")
+
+
+MATCH = ["word_start", "word_end", "source_start", "source_end", "match_type"]
+EXACT, NEAR_EXACT, SEMANTIC = "exact overlap", "near-exact overlap", "semantic similarity"
+
+
+def compared_sources(submitted: DataFrame, sources: DataFrame, *, sid: str = "doc_id", stext: str = "text", rid: str = "item_id", rtext: str = "text", semantic: DataFrame | None = None) -> DataFrame:
+    """All matches of every (submitted text, source): exact runs, nearly equal windows that lie in none of
+    them, and `semantic` ones (sid, rid, word_start, word_end, source_start, source_end, similarity) that lie in
+    neither; each once, with the ranges of submitted words that overlap (none for semantic ones).
+
+    The pairs of a match lie in one (submitted, source) pair, which is the key of every join here.
+    """
+    one = exact_runs(submitted, sources, sid=sid, stext=stext, rid=rid, rtext=rtext)
+    exact = one.select(sid, rid, *MATCH[:4], F.lit(EXACT).alias("match_type"), F.lit(1.0).alias("similarity"), F.array(F.struct(F.col("word_start").alias("a"), F.col("word_end").alias("b"))).alias("ranges"))
+
+    def outside(rows, others):
+        held = others.select(F.col(sid).alias("_s"), F.col(rid).alias("_r"), F.col("word_start").alias("_a"), F.col("word_end").alias("_b"))
+        return rows.join(held, (F.col(sid) == F.col("_s")) & (F.col(rid) == F.col("_r")) & (F.col("_a") <= F.col("word_start")) & (F.col("word_end") <= F.col("_b")), "left_anti")
+
+    two = near_exact(submitted, sources, sid=sid, stext=stext, rid=rid, rtext=rtext)
+    start = F.col("word_start").cast("bigint")
+    ranges = F.transform("blocks", lambda x: F.struct((start + x["a"]).alias("a"), (start + x["b"]).alias("b")))
+    near = two.select(sid, rid, start.alias("word_start"), (start + F.col("words")).alias("word_end"), F.col("source_start").cast("bigint").alias("source_start"), (F.col("source_start") + F.col("source_words")).cast("bigint").alias("source_end"), F.lit(NEAR_EXACT).alias("match_type"), "similarity", ranges.alias("ranges"))
+    found = exact.unionByName(outside(near, exact))
+    if semantic is not None:
+        none = F.array().cast("array<struct<a: bigint, b: bigint>>")
+        found = found.unionByName(outside(semantic.select(sid, rid, *MATCH[:4], F.lit(SEMANTIC).alias("match_type"), "similarity", none.alias("ranges")), found))
+    return found.dropDuplicates([sid, rid, *MATCH])
+
+
+def comparison_report(found: DataFrame, totals: DataFrame, by: str, attributed: DataFrame | None = None) -> DataFrame:
+    """(by, words, overlapping_words, overlap_percentage, unattributed_percentage, quoted_cited_percentage)
+    over the union of the overlapping ranges of `compared_sources`.
+
+    `attributed` has `found`'s rows with `cited` and `quoted`; without it nothing is.
+    """
+    rows = found.withColumns({"cited": F.lit(False), "quoted": F.lit(False)}) if attributed is None else attributed
+    parts = rows.select(by, "cited", "quoted", F.explode("ranges").alias("r")).select(by, "cited", "quoted", F.col("r.a").alias("word_start"), F.col("r.b").alias("word_end"))
+    counted = totals.join(unattributed_words(parts, by), by, "left").fillna({"covered": 0, "unattributed_words": 0, "quoted_cited_words": 0})
+
+    def share(n):
+        return F.when(F.col("words") > 0, 100.0 * F.col(n) / F.col("words")).otherwise(0.0)
+
+    return counted.select(by, "words", F.col("covered").alias("overlapping_words"), share("covered").alias("overlap_percentage"), share("unattributed_words").alias("unattributed_percentage"), share("quoted_cited_words").alias("quoted_cited_percentage"))
 
 
 def overlap_report(runs: DataFrame, totals: DataFrame, by: str) -> DataFrame:

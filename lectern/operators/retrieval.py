@@ -186,6 +186,32 @@ def hybrid(chunks: DataFrame, terms: DataFrame, units: DataFrame, queries: DataF
     return top_ranked(found, k, "rrf_score", ["source_filename", "page_number", "chunk_id", "document_id"])
 
 
+def document_pools(chunks: DataFrame, terms: DataFrame, queries: DataFrame, k: int = 4, limit: int = 18, units: DataFrame | None = None) -> DataFrame:
+    """For every document the pool of what the queries find in it alone, ranked from 1 (`position`).
+
+    `queries` has (query_id, query) and, with `units`, query_vector; frequencies and lengths stay those of the
+    corpus. Rank windows are per (query, document), so no document's chunks meet another's.
+    """
+    group = ["query_id", "document_id"]
+    depth = max(12, 4 * k)
+
+    def ranked(rows, score, name):
+        order = Window.partitionBy(*group).orderBy(F.desc(F.round(score, 9)), "chunk_id")
+        return rows.withColumn(name, F.row_number().over(order)).where(F.col(name) <= depth)
+
+    keyword = ranked(keyword_scores(terms, queries), "keyword_score", "keyword_rank")
+    if units is None:
+        semantic = keyword.select("query_id", *KEY, F.lit(0.0).alias("similarity"), F.lit(1).alias("semantic_rank")).limit(0)
+    else:
+        semantic = ranked(semantic_scores(units, queries).groupBy("query_id", *KEY).agg(F.max("similarity").alias("similarity")), "similarity", "semantic_rank")
+    found = fused(semantic, keyword).join(chunks, KEY)
+    best = Window.partitionBy(*group).orderBy(F.desc("rrf_score"), "source_filename", "page_number", "chunk_id")
+    kept = found.withColumn("rank", F.row_number().over(best)).where((F.col("rank") <= k) & ~((F.col("retrieval_source") == "Semantic") & (F.col("similarity") < 0.25)))
+    once_ = kept.withColumn("_n", F.row_number().over(Window.partitionBy(*KEY).orderBy("query_id", "rank"))).where("_n = 1").drop("_n")
+    place = F.row_number().over(Window.partitionBy("document_id").orderBy(F.desc("hybrid_score"), "query_id", "rank", "chunk_id"))
+    return once_.withColumn("position", place).where(F.col("position") <= limit)
+
+
 def pooled(results: DataFrame, limit: int = 18, floor: float = 0.25) -> DataFrame:
     """Results of many queries as one list: semantic-only noise dropped (F4), each chunk once with its best
     score, at most `limit` by score, then query and rank."""

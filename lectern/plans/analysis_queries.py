@@ -337,6 +337,29 @@ def a16_overlap(spark, d):
     return integrity.overlap_report(integrity.exact_runs(documents, table(spark, d, "eval_items")), totals, "doc_id")
 
 
+@query("q13_matches")
+def q13_matches(spark, d):
+    """Exact runs, and nearly equal windows in none of them, of every document and item."""
+    return integrity.compared_sources(table(spark, d, "documents"), table(spark, d, "eval_items")).drop("ranges")
+
+
+@query("q13_report")
+def q13_report(spark, d):
+    documents = table(spark, d, "documents")
+    totals = documents.select("doc_id", F.size(matches("plain_words", F.col("text"))).cast("bigint").alias("words"))
+    return integrity.comparison_report(integrity.compared_sources(documents, table(spark, d, "eval_items")), totals, "doc_id")
+
+
+@query("q13_exact_items", """
+    WITH a AS (SELECT doc_id, [lower(x) FOR x IN regexp_extract_all(text, '[\\p{L}\\p{N}_]+(?:[''’\\-][\\p{L}\\p{N}_]+)*')] AS w FROM documents), b AS (SELECT item_id, [lower(x) FOR x IN regexp_extract_all(text, '[\\p{L}\\p{N}_]+(?:[''’\\-][\\p{L}\\p{N}_]+)*')] AS w FROM eval_items),
+    ga AS (SELECT doc_id, unnest(range(0, len(w) - 7)) AS i, unnest([array_to_string(w[i:i + 7], chr(1)) FOR i IN range(1, len(w) - 6)]) AS g FROM a WHERE len(w) >= 8), gb AS (SELECT item_id, unnest([array_to_string(w[i:i + 7], chr(1)) FOR i IN range(1, len(w) - 6)]) AS g FROM b WHERE len(w) >= 8)
+    SELECT doc_id, item_id, CAST(min(i) AS BIGINT) AS first_word FROM ga JOIN gb USING (g) GROUP BY ALL""")
+def q13_exact_items(spark, d):
+    """Where the first exact run of each document and item begins."""
+    found = integrity.compared_sources(table(spark, d, "documents"), table(spark, d, "eval_items")).where(F.col("match_type") == integrity.EXACT)
+    return found.groupBy("doc_id", "item_id").agg(F.min("word_start").alias("first_word"))
+
+
 @query("w12_windows", f"WITH {PAPERS}, x AS (SELECT paper_id, len(regexp_extract_all(body, '[\\p{{L}}\\p{{N}}_]+(?:[''’\\-][\\p{{L}}\\p{{N}}_]+)*')) AS n FROM pp WHERE body IS NOT NULL), w AS (SELECT paper_id, n, unnest(range(0, (n + 59) // 60)) AS i FROM x) SELECT paper_id, CAST(i AS INTEGER) AS window_no, CAST(least(60, n - 60 * i) AS INTEGER) AS words FROM w WHERE least(60, n - 60 * i) >= 8")
 def w12_windows(spark, d):
     return integrity.windows(papers(spark, d), "paper_id", "body").select("paper_id", F.col("window").alias("window_no"), F.size("words").alias("words"))

@@ -138,15 +138,31 @@ def o4_query_pool(spark, d):
     return retrieval.pooled(hybrid_rows(spark, d)).select(*KEY, "query_id", "rank", F.round("hybrid_score", 6).alias("hybrid_score"))
 
 
-@query("o4_comparison_pool")
-def o4_comparison_pool(spark, d):
-    """The fixed queries of a comparison, by words alone, pooled over the corpus."""
+def pool_sql(queries):
+    """The pools of all documents for these queries, by words alone."""
+    asked = "q AS (SELECT * FROM (VALUES " + ", ".join(f"({n}, '{text}')" for n, text in enumerate(queries, 1)) + ") AS v(query_id, query))"
+    return f"""{SCORED.replace(ASKED, asked)},
+    k AS (SELECT *, row_number() OVER (PARTITION BY query_id, document_id ORDER BY round(keyword_score, 9) DESC, chunk_id) AS kr FROM kw),
+    h AS (SELECT k.*, c.* EXCLUDE (document_id, chunk_id), (1.0::DOUBLE / (60 + kr)) / (2.0::DOUBLE / 61) AS hybrid, row_number() OVER (PARTITION BY query_id, k.document_id ORDER BY kr, source_filename, page_number, k.chunk_id) AS rank FROM k JOIN c USING (document_id, chunk_id) WHERE kr <= 16),
+    n AS (SELECT *, row_number() OVER (PARTITION BY document_id, chunk_id ORDER BY query_id, rank) AS i FROM h WHERE rank <= 4),
+    pool AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY hybrid DESC, query_id, rank, chunk_id) AS position FROM n WHERE i = 1)"""
+
+
+def pools(spark, d, queries):
     rows = chunks(spark, d)
-    asked = stated(spark, enumerate(comparison.COMPARISON_QUERIES, 1))
-    scores = retrieval.top_ranked(retrieval.keyword_scores(retrieval.chunk_terms(rows), asked), 4, "keyword_score", KEY, name="keyword_rank")
-    none = scores.select("query_id", *KEY, F.lit(0.0).alias("similarity"), F.lit(1).alias("semantic_rank")).limit(0)
-    ranked = retrieval.fused(none, scores).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("hybrid_score"), *KEY)))
-    return retrieval.pooled(ranked).select("query_id", *KEY, "rank", F.round("keyword_score", 6).alias("keyword_score"))
+    return retrieval.document_pools(rows, retrieval.chunk_terms(rows), stated(spark, enumerate(queries, 1)))
+
+
+@query("q5_comparison_pools", f"WITH {pool_sql(comparison.COMPARISON_QUERIES)} SELECT document_id, chunk_id, query_id, position, round(hybrid, 6) AS hybrid_score FROM pool WHERE position <= 18")
+def q5_comparison_pools(spark, d):
+    """For every document what the seven queries of a comparison find in it."""
+    return pools(spark, d, comparison.COMPARISON_QUERIES).select(*KEY, "query_id", "position", F.round("hybrid_score", 6).alias("hybrid_score"))
+
+
+@query("q6_conflict_pools", f"WITH {pool_sql(comparison.CONFLICT_QUERIES)} SELECT document_id, chunk_id, query_id, position FROM pool WHERE position <= 18")
+def q6_conflict_pools(spark, d):
+    """For every document what the six queries of a conflict analysis find in it."""
+    return pools(spark, d, comparison.CONFLICT_QUERIES).select(*KEY, "query_id", "position")
 
 
 @query("f5_selected_evidence", f"{HYBRID}, w AS (SELECT *, max(hybrid) OVER (PARTITION BY query_id) AS top FROM h WHERE rank <= 4) SELECT query_id, document_id, chunk_id, rank, retrieval_source FROM w WHERE hybrid >= greatest(0.28, top - 0.25) OR retrieval_source IN ('Keyword', 'Both')")
@@ -204,6 +220,22 @@ def confidence_rows(spark, d):
     return evidence.numbered(hybrid_rows(spark, d), "E", [F.desc("hybrid_score"), "rank"], ["query_id"])
 
 
+@query("q2_grounded", f"""{HYBRID}, w AS (SELECT *, 'E' || row_number() OVER (PARTITION BY query_id ORDER BY hybrid DESC, rank) AS evidence_id, max(hybrid) OVER (PARTITION BY query_id) AS best FROM h WHERE rank <= 4),
+    chosen AS (SELECT * FROM w WHERE hybrid >= greatest(0.28, best - 0.25) OR retrieval_source IN ('Keyword', 'Both')),
+    e AS (SELECT h.*, query, {TERMSET.format('query')} AS qt, {TERMSET.format('coalesce(h.text, $$$$)')} AS tt FROM h JOIN q USING (query_id) WHERE rank <= 4),
+    g AS (SELECT query_id, len(list_distinct(flatten(list(list_intersect(tt, qt))))) / len(any_value(qt))::DOUBLE AS tc, coalesce(max(semantic_similarity), 0) AS top, bool_or(keyword_score IS NOT NULL) AS lexical FROM e GROUP BY query_id),
+    tops AS (SELECT query_id, max(similarity) AS best, avg(similarity) AS average, list(evidence_id) AS ids FROM chosen GROUP BY query_id),
+    gate AS (SELECT query_id, NOT (top < 0.2 AND NOT lexical AND tc < 0.2) AS enough FROM g)
+    SELECT query_id, CASE WHEN enough THEN 'Answer to ' || query_id || ' [E2].' ELSE 'I could not find sufficient evidence in the indexed documents to answer this question reliably.' END AS answer,
+    CASE WHEN enough THEN array_to_string(list_filter(['E2', 'E1'], lambda x: list_contains(ids, x)), ',') ELSE '' END AS cited,
+    CASE WHEN best >= 0.60 AND average >= 0.50 THEN 'High' WHEN best >= 0.40 AND average >= 0.32 THEN 'Moderate' ELSE 'Low' END AS strength FROM tops JOIN gate USING (query_id)""")
+def q2_grounded(spark, d):
+    """Questions answered from retrieved evidence; the responses of a model are a pluggable input, stated here."""
+    text = F.concat(F.lit('{"answer": "Answer to '), F.col("query_id").cast("string"), F.lit(' [E2].", "evidence_ids": ["E2", "E9", "E1", "E2"], "sufficient_evidence": true}'))
+    answers, _ = evidence.grounded(queries_of(spark), hybrid_rows(spark, d), queries_of(spark).select("query_id", text.alias("response")))
+    return answers.select("query_id", "answer", F.array_join("evidence_ids", ",").alias("cited"), "strength")
+
+
 MODAL = "['must','shall','required','mandatory','permitted','allowed']"
 FORBIDS = "(" + " OR ".join(f"contains(low, '{x}')" for x in ("must not", "shall not", "not permitted", "not allowed", "prohibited", "forbidden")) + ")"
 
