@@ -162,7 +162,9 @@ def k6_table_lines(spark, d):
     return reports.table_lines(corpus.distinct_documents(records(spark, d)), ["filename", "publisher"], ["document_id"])
 
 
-@query("t28_corpus_key")
+@query("t28_corpus_key", """
+    WITH h AS (SELECT DISTINCT sha256(concat_ws(chr(0), filename, document_id)) AS h FROM doc_records), s AS (SELECT CAST(sum(CAST(CAST('0x' || h[1:15] AS UBIGINT) AS HUGEINT)) AS VARCHAR) AS s, count(*) AS pairs FROM h)
+    SELECT sha256('corpus:' || s || ':' || pairs) AS corpus_key, pairs FROM s""")
 def t28_corpus_key(spark, d):
     return corpus.corpus_key(records(spark, d))
 
