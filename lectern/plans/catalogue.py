@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.plans import analysis_queries, corpus_queries, retrieval_queries
+from lectern.plans import analysis_queries, corpus_queries, retrieval_queries, rule_queries
 from lectern.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "analysis_queries", "corpus_queries", "retrieval_queries"]
+__all__ = ["QUERIES", "SQL", "analysis_queries", "corpus_queries", "retrieval_queries", "rule_queries"]
