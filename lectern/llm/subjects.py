@@ -55,23 +55,24 @@ def with_bigrams(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def telling(rows: np.ndarray, columns: np.ndarray, targets: np.ndarray, bound: float | None = None) -> np.ndarray:
-    """Features that come with some area more often than chance explains.
+    """Which (row, feature) pairs are of features that come with some area more often than chance explains.
 
     Most of its rows are the area's, and the log-likelihood ratio of the area's part in them against its part
     overall is above `bound`, or one that about one feature of all would pass by chance.
     """
-    held = np.bincount(columns, minlength=FEATURES).astype(np.float64)
+    used, columns = np.unique(columns, return_inverse=True)
+    held = np.bincount(columns).astype(np.float64)
     areas = targets.shape[1]
     bound = bound or 2 * np.log(max(2, (held > 1).sum() * areas))
-    keep = np.zeros(FEATURES, bool)
+    keep = np.zeros(len(used), bool)
     for k in range(areas):
         part = min(max(targets[:, k].mean(), 1e-9), 1 - 1e-9)
-        inside = np.bincount(columns, weights=targets[rows, k], minlength=FEATURES)
+        inside = np.bincount(columns, weights=targets[rows, k], minlength=len(used))
         share = inside / np.maximum(held, 1)
         with np.errstate(divide="ignore", invalid="ignore"):
             ratio = 2 * (np.where(inside > 0, inside * np.log(share / part), 0) + np.where(inside < held, (held - inside) * np.log((1 - share) / (1 - part)), 0))
         keep |= (share > max(part, 0.5)) & (ratio > bound)
-    return keep
+    return keep[columns]
 
 
 def fit(rows: np.ndarray, columns: np.ndarray, targets: np.ndarray, weights: np.ndarray, bound: float | None = None, steps: int = 60, rate: float = 0.2, decay: float = 1.5e-3) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +80,7 @@ def fit(rows: np.ndarray, columns: np.ndarray, targets: np.ndarray, weights: np.
 
     Full-gradient Adam over the telling features, on rows scaled to unit length.
     """
-    keep = telling(rows, columns, targets, bound)[columns]
+    keep = telling(rows, columns, targets, bound)
     rows, columns = rows[keep], columns[keep]
     place = np.zeros(FEATURES, np.int32)
     if not len(rows):
@@ -166,12 +167,17 @@ def train(documents: DataFrame, areas: DataFrame, labels: DataFrame, *, doc: str
         return Model(names, np.zeros(FEATURES, np.int32), np.zeros((1, max(1, len(names))), np.float32), np.inf, np.full(max(1, len(names)), 2.0))
     wanted = documents.sparkSession.createDataFrame([(x,) for x in ids], "doc bigint")
     used = texts.join(F.broadcast(wanted), "doc", "left_semi").mapInArrow(_features(["doc", "words", "starts"]), "doc bigint, words array<int>, starts array<int>").toArrow()
+
+    def bag(words, starts):
+        """(words, where sentences start, distinct features) of a text."""
+        return words, starts, np.unique(with_bigrams(words, starts)[0]) if len(words) else words
+
     bags = {}
     for d, words, starts in zip(used.column("doc").to_pylist(), used.column("words").combine_chunks(), used.column("starts").combine_chunks(), strict=True):
         if len(words):
-            bags[d] = (words.values.to_numpy().astype(np.int32), starts.values.to_numpy().astype(np.int64))
+            bags[d] = bag(words.values.to_numpy().astype(np.int32), starts.values.to_numpy().astype(np.int64))
     hashed = Hashed()
-    own = [(hashed.words(TOKENS.findall(f"{title or ''} {description or ''}")), np.zeros(1, np.int64)) for _, title, description in known]
+    own = [bag(hashed.words(TOKENS.findall(f"{title or ''} {description or ''}")), np.zeros(1, np.int64)) for _, title, description in known]
 
     def targets(subjects: list[list[str]]) -> np.ndarray:
         return np.array([[a in x for a in names] for x in subjects], np.float32).reshape(-1, len(names))
@@ -179,7 +185,7 @@ def train(documents: DataFrame, areas: DataFrame, labels: DataFrame, *, doc: str
     def fitted(rows: list[tuple], bound: float | None) -> Model:
         """`rows` are (bag, subjects, weight)."""
         rows = [*rows, *((b, [r[0]], 0.3) for b, r in zip(own, known, strict=True))]
-        features = [np.unique(with_bigrams(*b)[0]) if len(b[0]) else b[0] for b, _, _ in rows]
+        features = [b[2] for b, _, _ in rows]
         places = np.repeat(np.arange(len(rows)), [len(f) for f in features])
         return Model(names, *fit(places, np.concatenate(features), targets([x for _, x, _ in rows]), np.array([w for _, _, w in rows], np.float32), bound), 0.0, np.full(len(names), 0.25))
 
@@ -188,7 +194,7 @@ def train(documents: DataFrame, areas: DataFrame, labels: DataFrame, *, doc: str
         out = []
         for d, b in bags.items():
             if d not in hand:
-                scores = model.scores(*b)
+                scores = model.scores(*b[:2])
                 part = np.maximum(scores, 0).sum(axis=0)
                 k = int(part.argmax())
                 if part[k] > 0 and part[k] >= CLEAR * part.sum() and (scores[:, k] > model.margin).mean() >= 0.25:
@@ -199,6 +205,8 @@ def train(documents: DataFrame, areas: DataFrame, labels: DataFrame, *, doc: str
     taught = [(b, hand[d], 1.0) for d, b in bags.items() if d in hand and d not in held_out]
     checked = [(b, hand[d], 1.0) for d, b in bags.items() if d in held_out] or taught
     by_address = [(b, weak[d], 0.3) for d, b in bags.items() if d in weak and d not in hand]
+    if not checked:  # no labelled text has a word
+        return Model(names, np.zeros(FEATURES, np.int32), np.zeros((1, max(1, len(names))), np.float32), np.inf, np.full(max(1, len(names)), 2.0))
     model = fitted(taught + by_address, LEANING)
     calibrate(model, [b for b, _, _ in checked], targets([x for _, x, _ in checked]))
     for last in range(ROUNDS):
@@ -215,12 +223,14 @@ def calibrate(model: Model, bags: list, truth: np.ndarray) -> None:
     """Choose the margin by F1 over all areas, then for each area the share of sentences.
 
     Of all that do as well as the best, but for a standard error, the least margin and the share nearest a quarter."""
-    tables, y = [model.scores(*b) for b in bags], truth > 0.5
-    scores = np.concatenate([t.max(axis=1) for t in tables]) if tables else np.zeros(0)
+    y, sizes = truth > 0.5, np.array([len(b[1]) for b in bags])
+    offsets = np.cumsum([0, *(len(b[0]) for b in bags)])[:-1]
+    every = model.scores(np.concatenate([b[0] for b in bags]), np.concatenate([b[1] + o for b, o in zip(bags, offsets, strict=True)]))
+    firsts, scores = np.cumsum(sizes) - sizes, every.max(axis=1)
     grid = np.linspace(0.05, 0.45, 41)
 
     def shares(margin):
-        return np.array([(t > margin).mean(axis=0) for t in tables])
+        return np.add.reduceat((every > margin).astype(np.float64), firsts, axis=0) / sizes[:, None]
 
     def f1(hit, truth):
         return 2 * (hit & truth).sum(axis=0) / np.maximum(1, hit.sum(axis=0) + truth.sum(axis=0))
