@@ -10,6 +10,7 @@ from lectern.functions.matching import matches
 from lectern.operators import bibliography as bib
 from lectern.operators import comparison, corpus, coverage, entities, integrity, summary, timeline
 from lectern.plans.common import CHUNKS, PAGES, PAPERS, chunks, pages, papers, records, views
+from lectern.plans.recognised import EVENTS, REFERENCES
 from lectern.plans.registry import query
 from lectern.sources.files import resolved_references
 from lectern.sources.tables import table
@@ -21,7 +22,7 @@ def _any(words):
     return "(" + " OR ".join(f"contains(low, '{w}')" for w in words) + ")"
 
 
-@query("q7_timeline")
+@query("q7_timeline", f"WITH {CHUNKS}, {EVENTS} SELECT 'T' || row_number() OVER (ORDER BY key, source_filename, page_number, chunk_id, event, document_id) AS evidence_id, date, date_precision, event_type, event, source_filename, document_id, page_number, chunk_id FROM events")
 def q7_timeline(spark, d):
     rows = timeline.timeline(chunks(spark, d))
     return rows.select("evidence_id", "date", "date_precision", "event_type", "event", "source_filename", "document_id", "page_number", "chunk_id")
@@ -48,7 +49,7 @@ def t6_relative_dates(spark, d):
     return _dates(spark, d, "relative", ".")
 
 
-@query("a12_timeline_summary")
+@query("a12_timeline_summary", f"WITH {CHUNKS}, {EVENTS} SELECT document_id, count(*) AS events, arg_min(date, {{'k': key, 'd': date}}) FILTER (date_precision <> 'relative') AS earliest, arg_max(date, {{'k': key, 'd': date}}) FILTER (date_precision <> 'relative') AS latest FROM events GROUP BY document_id")
 def a12_timeline_summary(spark, d):
     return timeline.timeline_summary(timeline.events(chunks(spark, d)))
 
@@ -69,17 +70,17 @@ def t8_event_types(spark, d):
     return chunks(spark, d).groupBy(t.event_type(F.col("text")).alias("event_type")).agg(F.count(F.lit(1)).alias("chunks"))
 
 
-@query("q8_entities")
+@query("q8_entities", f'WITH {CHUNKS}, {REFERENCES} SELECT category, entity, canonical, "references", documents FROM merged')
 def q8_entities(spark, d):
     return entities.merged(entities.references(chunks(spark, d)))
 
 
-@query("w5_facts")
+@query("w5_facts", f"WITH {CHUNKS}, {REFERENCES}, named2 AS (SELECT refs.* EXCLUDE (entity), merged.entity AS entity FROM refs JOIN merged USING (category, canonical)) SELECT 'F' || row_number() OVER (ORDER BY list_position({entities.CATEGORIES}, category), lower(entity), canonical, source_filename, page_number, chunk_id, a, context, document_id) AS evidence_id, category, entity, canonical, source_filename, page_number, chunk_id, context, document_id FROM named2")
 def w5_facts(spark, d):
     return entities.facts(entities.references(chunks(spark, d)))
 
 
-@query("a8_entity_counts")
+@query("a8_entity_counts", f"WITH {CHUNKS}, {REFERENCES} SELECT category, count(*) AS entities, CAST(list_position({entities.CATEGORIES}, category) AS BIGINT) AS position FROM merged GROUP BY category")
 def a8_entity_counts(spark, d):
     return entities.counts(entities.merged(entities.references(chunks(spark, d))))
 
