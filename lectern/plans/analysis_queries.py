@@ -10,7 +10,8 @@ from lectern.functions.matching import matches
 from lectern.operators import bibliography as bib
 from lectern.operators import comparison, corpus, coverage, entities, integrity, summary, timeline
 from lectern.plans.common import CHUNKS, PAGES, PAPERS, chunks, pages, papers, records, views
-from lectern.plans.recognised import EVENTS, REFERENCES
+from lectern.plans.corpus_queries import DOCUMENT_ROWS
+from lectern.plans.recognised import CITATIONS, EVENTS, REFERENCES
 from lectern.plans.registry import query
 from lectern.sources.files import resolved_references
 from lectern.sources.tables import table
@@ -114,7 +115,9 @@ def q8_rules(spark, d):
     return entities.merged(entities.references(chunks(spark, d))).where("category = 'Rules/regulations'").select("canonical", "documents")
 
 
-@query("a10_documents_with_facts")
+@query("a10_documents_with_facts", f"""{DOCUMENT_ROWS}, {EVENTS}, {REFERENCES},
+    es AS (SELECT document_id, count(DISTINCT (category, canonical)) AS entities FROM refs GROUP BY document_id), vs AS (SELECT document_id, count(*) AS events FROM events GROUP BY document_id)
+    SELECT rows_.document_id, filename, publisher, status, pages, chunks, native_pages, ocr_pages, CAST(round_even(share, 1) AS DOUBLE) AS coverage, warning, coalesce(es.entities, 0) AS entities, coalesce(vs.events, 0) AS events FROM rows_ LEFT JOIN es ON es.document_id = rows_.document_id LEFT JOIN vs ON vs.document_id = rows_.document_id""")
 def a10_documents_with_facts(spark, d):
     rows = chunks(spark, d)
     return corpus.document_rows(corpus.distinct_documents(records(spark, d)), pages(spark, d), rows, entities.references(rows), timeline.events(rows))
@@ -165,9 +168,14 @@ def stated_references(spark, d):
     return rows.select("paper_id", F.concat(F.lit("R"), F.col("label").cast("string"), "n").alias("reference_id"), F.col("label").cast("bigint").alias("label"), F.lit(None).cast("string").alias("surname"), F.lit(None).cast("string").alias("year"), F.lit(None).cast("string").alias("doi"))
 
 
-@query("j7_citation_status")
+STATED = """l AS (SELECT paper_id, unnest(range(1, 21)) AS label FROM pp), refs AS (SELECT paper_id, label, 'R' || label AS reference_id FROM l UNION ALL SELECT paper_id, label, 'R' || label || 'b' FROM l WHERE label % 5 = 0)"""
+MAPPED = f"""{STATED}, mapped AS (SELECT c.paper_id, style, marker, a, n, list_sort(list(reference_id) FILTER (reference_id IS NOT NULL)) AS ids FROM (SELECT DISTINCT * FROM cites) c LEFT JOIN refs ON refs.paper_id = c.paper_id AND style = 'numeric' AND CAST(refs.label AS VARCHAR) = target GROUP BY c.paper_id, style, marker, target, year, a, n)"""
+
+
+@query("j7_citation_status", f"WITH {PAPERS}, {CITATIONS}, {MAPPED} SELECT paper_id, style, marker, CAST(a AS INTEGER) AS start, CAST(a + n AS INTEGER) AS end_, coalesce(array_to_string(ids, ','), '') AS reference_ids, CASE coalesce(len(ids), 0) WHEN 0 THEN '{integrity.MISSING}' WHEN 1 THEN '{integrity.MATCHED}' ELSE '{integrity.AMBIGUOUS}' END AS status FROM mapped")
 def j7_citation_status(spark, d):
-    return integrity.matched_citations(integrity.markers(papers(spark, d)), stated_references(spark, d))
+    found = integrity.matched_citations(integrity.markers(papers(spark, d)), stated_references(spark, d))
+    return found.select("paper_id", "style", "marker", "start", F.col("end").alias("end_"), F.array_join("reference_ids", ",").alias("reference_ids"), "status")
 
 
 @query("j7_numeric_status", f"""
@@ -194,10 +202,13 @@ def w6_reference_use(spark, d):
     return used.select("paper_id", "reference_id", "cited", "ambiguous_citation")
 
 
-@query("j11_citation_pages")
+@query("j11_citation_pages", f"""
+    WITH {PAPERS}, {CITATIONS}, s AS (SELECT DISTINCT paper_id, unnest(page_spans) AS s FROM papers)
+    SELECT c.paper_id, style, marker, CAST(a AS INTEGER) AS start, coalesce(array_to_string(list_sort(list(DISTINCT s.page_number) FILTER (s.page_number IS NOT NULL)), ','), '') AS pages FROM cites c LEFT JOIN s ON s.paper_id = c.paper_id AND a < s.span_end AND a + n > s.span_start GROUP BY c.paper_id, style, marker, a, n, target, year""")
 def j11_citation_pages(spark, d):
     rows = papers(spark, d)
-    return integrity.page_of(integrity.markers(rows), rows)
+    found = integrity.page_of(integrity.markers(rows), rows)
+    return found.select("paper_id", "style", "marker", "start", F.array_join(F.transform("pages", lambda x: x.cast("string")), ",").alias("pages"))
 
 
 @query("j11_middle_pages", """
@@ -376,14 +387,19 @@ def j9_near_exact(spark, d):
     return integrity.near_exact(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-@query("j12_attribution")
+@query("j12_attribution", f"""
+    WITH {PAPERS}, {CITATIONS}, {MAPPED}, m AS (SELECT DISTINCT paper_id, a, n FROM cites WHERE style = 'author-year'),
+    q AS (SELECT DISTINCT m.* FROM m JOIN quotes o ON o.paper_id = m.paper_id AND o.a <= m.a AND m.a + m.n <= o.a + o.n),
+    k AS (SELECT DISTINCT m.* FROM m JOIN mapped c ON c.paper_id = m.paper_id AND len(c.ids) = 1 AND c.a <= m.a + m.n + 180 AND c.a + c.n >= m.a - 80 JOIN texts t ON t.paper_id = m.paper_id
+      WHERE list_has_any(c.ids, ['R' || i FOR i IN range(1, 21)]) AND NOT contains(t.text[least(c.a + c.n, m.a + m.n) + 1:greatest(c.a, m.a)], chr(10) || chr(10)))
+    SELECT m.paper_id, CAST(m.a AS INTEGER) AS start, CAST(m.a + m.n AS INTEGER) AS end_, q.a IS NOT NULL AS quoted, k.a IS NOT NULL AS cited FROM m LEFT JOIN q ON q.paper_id = m.paper_id AND q.a = m.a AND q.n = m.n LEFT JOIN k ON k.paper_id = m.paper_id AND k.a = m.a AND k.n = m.n""")
 def j12_attribution(spark, d):
-    """Every sentence with a number in a paper held against its quotations and uniquely matched citations."""
+    """Every author-year citation of a paper held against its quotations and uniquely matched citations."""
     rows = papers(spark, d)
     cited = integrity.matched_citations(integrity.markers(rows), stated_references(spark, d))
-    found = integrity.markers(rows).where("style = 'author-year'").select("paper_id", "start", "end", F.xxhash64("paper_id", "start", "end").alias("match_id"), F.array(*[F.lit(f"R{n}") for n in range(1, 21)]).alias("source_ids"))
+    found = integrity.markers(rows).where("style = 'author-year'").select("paper_id", "start", "end", F.xxhash64("paper_id", "start", "end").alias("match_id"), F.array(*[F.lit(f"R{n}") for n in range(1, 21)]).alias("source_ids")).distinct()
     quoted = rows.select("paper_id", F.explode(matches("quotes", F.col("body"))).alias("q")).select("paper_id", "q.*")
-    return integrity.attribution(found, quoted, cited, rows).select("paper_id", "start", "end", "quoted", "cited", "attribution")
+    return integrity.attribution(found, quoted, cited, rows).select("paper_id", "start", F.col("end").alias("end_"), "quoted", "cited")
 
 
 @query("a20_observations", f"""

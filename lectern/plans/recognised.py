@@ -13,20 +13,20 @@ def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
-def found(number: int, category: str, pattern) -> str:
-    """Rows (document_id, chunk_id, pattern, category, a, b) of all matches: 0-based, half-open.
+def found(number: int, category: str, pattern, source: str = "c", keys: str = "document_id, chunk_id") -> str:
+    """Rows (keys, pattern, category, a, n) of all matches in `text` of `source`: the first character, from 0, and how many.
 
     Without positions in SQL, a match begins where the pieces between the matches before it, and these, end. A long
     s is an s where case is ignored; it takes one character as well.
     """
     flags = "(?i)" if pattern.flags & m.re.I else ""
     ignoring = f"CASE WHEN '{flags}' <> '' THEN replace(text, 'ſ', 's') ELSE text END"
-    rule = _quoted(flags + pattern.pattern.replace(BEHIND, ""))
+    rule = _quoted(flags + pattern.pattern.replace(BEHIND, "").replace(r"[\w", r"[\p{L}\p{N}_"))
     # looking behind a match is done once it is found; only what begins with a sign of money is so bound
     free = f" WHERE a = 0 OR n = 0 OR NOT regexp_matches(before, '[\\p{{L}}\\p{{N}}_]') OR regexp_matches(first, '[0-9]')" if BEHIND in pattern.pattern else ""
-    rows = f"""SELECT document_id, chunk_id, {number} AS pattern, '{category}' AS category, ms[i][1:1] AS first, right(segs[i], 1) AS before, CAST(coalesce(list_sum([length(x) FOR x IN segs[1:i]]), 0) + coalesce(list_sum([length(x) FOR x IN ms[1:i - 1]]), 0) AS BIGINT) AS a, CAST(length(ms[i]) AS BIGINT) AS n
-      FROM (SELECT document_id, chunk_id, segs, ms, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT document_id, chunk_id, regexp_split_to_array({ignoring}, {rule}) AS segs, regexp_extract_all({ignoring}, {rule}) AS ms FROM c WHERE text IS NOT NULL) WHERE len(ms) > 0)"""
-    return f"(SELECT document_id, chunk_id, pattern, category, a, n FROM ({rows}){free})"
+    rows = f"""SELECT {keys}, {number} AS pattern, '{category}' AS category, ms[i][1:1] AS first, right(segs[i], 1) AS before, CAST(coalesce(list_sum([length(x) FOR x IN segs[1:i]]), 0) + coalesce(list_sum([length(x) FOR x IN ms[1:i - 1]]), 0) AS BIGINT) AS a, CAST(length(ms[i]) AS BIGINT) AS n
+      FROM (SELECT {keys}, segs, ms, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT {keys}, regexp_split_to_array({ignoring}, {rule}) AS segs, regexp_extract_all({ignoring}, {rule}) AS ms FROM {source} WHERE text IS NOT NULL) WHERE len(ms) > 0)"""
+    return f"(SELECT {keys}, pattern, category, a, n FROM ({rows}){free})"
 
 
 def around(limit: int) -> str:
@@ -72,4 +72,19 @@ def _references() -> str:
     merged AS (SELECT category, canonical, arg_min(entity, {{'d': document_id, 'p': page_number, 'o': chunk_ord, 'k': pattern, 'a': a, 'e': entity}}) AS entity, count(*) AS "references", count(DISTINCT document_id) AS documents FROM refs GROUP BY ALL)"""
 
 
-EVENTS, REFERENCES = _events(), _references()
+def _citations() -> str:
+    """`cites` (paper_id, style, marker, target, year, a, n) and `quotes` (paper_id, a, n) of `pp` (paper_id, body)."""
+    rows = {k: found(0, k, p, "texts", "paper_id") for k, p in (("numeric", m.NUMERIC), ("author-year", m.AUTHOR_YEAR), ("DOI", m.DOI), ("quote", m.QUOTE))}
+    name = _quoted(m.AUTHOR_YEAR.pattern.replace(r"[\w", r"[\p{L}\p{N}_"))
+    return f"""texts AS (SELECT paper_id, body AS text FROM pp WHERE body IS NOT NULL),
+    hits AS (SELECT h.*, text[a + 1:a + n] AS hit, text[1:a] AS ahead FROM ({" UNION ALL ".join(f"SELECT * FROM {rows[k]}" for k in ("numeric", "author-year", "DOI"))}) h JOIN texts USING (paper_id)),
+    parts AS (SELECT paper_id, a, n, unnest(regexp_split_to_array(hit[2:-2], '[,;]')) AS part FROM hits WHERE category = 'numeric'),
+    ends AS (SELECT paper_id, a, n, [CAST(trim(x) AS BIGINT) FOR x IN regexp_split_to_array(trim(part), '[–\\-]')] AS e FROM parts),
+    labels AS (SELECT DISTINCT paper_id, a, n, unnest(CASE WHEN len(e) = 2 THEN CASE WHEN e[2] >= e[1] AND e[2] - e[1] <= 100 THEN range(e[1], e[2] + 1) ELSE [] END ELSE [e[1]] END) AS label FROM ends),
+    cites AS (SELECT paper_id, 'numeric' AS style, '[' || label || ']' AS marker, CAST(label AS VARCHAR) AS target, '' AS year, a, n FROM labels
+      UNION ALL SELECT paper_id, category, hit, lower(regexp_extract(hit, {name}, 1)), regexp_extract(hit, {name}, 2), a, n FROM hits WHERE category = 'author-year' AND (regexp_extract(ahead, '(?s)^.*([()])', 1) = '(' OR contains(hit, ',') OR contains(hit, '('))
+      UNION ALL SELECT paper_id, category, hit, lower(rtrim(hit, '.,;:)]}}')), '', a, n FROM hits WHERE category = 'DOI'),
+    quotes AS (SELECT paper_id, a, n FROM {rows["quote"]})"""
+
+
+EVENTS, REFERENCES, CITATIONS = _events(), _references(), _citations()
