@@ -11,7 +11,7 @@ from lectern.operators import bibliography as bib
 from lectern.operators import comparison, corpus, coverage, entities, integrity, summary, timeline
 from lectern.plans.common import CHUNKS, PAGES, PAPERS, chunks, pages, papers, records, views
 from lectern.plans.corpus_queries import DOCUMENT_ROWS
-from lectern.plans.recognised import CITATIONS, EVENTS, REFERENCES
+from lectern.plans.recognised import CITATIONS, EVENTS, REFERENCES, WINDOWS
 from lectern.plans.registry import query
 from lectern.sources.files import resolved_references
 from lectern.sources.tables import table
@@ -334,7 +334,20 @@ def t3_words(spark, d):
     return papers(spark, d).where("body is not null").select("paper_id", F.size(matches("plain_words", F.col("body"))).cast("bigint").alias("words"))
 
 
-@query("q13_exact_runs")
+RUNS = """
+    a AS (SELECT doc_id, [lower(x) FOR x IN regexp_extract_all(text, '[\\p{L}\\p{N}_]+(?:[''’\\-][\\p{L}\\p{N}_]+)*')] AS w FROM documents), b AS (SELECT item_id, [lower(x) FOR x IN regexp_extract_all(text, '[\\p{L}\\p{N}_]+(?:[''’\\-][\\p{L}\\p{N}_]+)*')] AS w FROM eval_items),
+    ga AS (SELECT doc_id, unnest(range(0, len(w) - 7)) AS i, unnest([array_to_string(w[i:i + 7], chr(1)) FOR i IN range(1, len(w) - 6)]) AS g FROM a WHERE len(w) >= 8),
+    gb0 AS (SELECT item_id, unnest(range(0, len(w) - 7)) AS j, unnest([array_to_string(w[i:i + 7], chr(1)) FOR i IN range(1, len(w) - 6)]) AS g FROM b WHERE len(w) >= 8),
+    gb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id, g ORDER BY j) AS n FROM gb0) WHERE n <= 20),
+    met AS (SELECT doc_id, item_id, i, i - j AS d, i - row_number() OVER (PARTITION BY doc_id, item_id, i - j ORDER BY i) AS island FROM ga JOIN gb USING (g)),
+    runs AS (SELECT doc_id, item_id, d, min(i) AS a, max(i) + 8 AS b FROM met GROUP BY doc_id, item_id, d, island),
+    walk AS (SELECT DISTINCT doc_id, item_id, CAST(0 AS BIGINT) AS at_, CAST(NULL AS STRUCT(s BIGINT, b BIGINT, d BIGINT)) AS run FROM runs
+      UNION ALL SELECT doc_id, item_id, run.b, run FROM (SELECT w.doc_id, w.item_id, arg_min({'s': greatest(r.a, w.at_), 'b': r.b, 'd': r.d}, {'s': greatest(r.a, w.at_), 'b': -r.b, 'd': -r.d}) AS run
+        FROM walk w JOIN runs r ON r.doc_id = w.doc_id AND r.item_id = w.item_id AND r.b - 8 >= greatest(r.a, w.at_) GROUP BY w.doc_id, w.item_id)),
+    greedy AS (SELECT doc_id, item_id, run.s AS word_start, run.b AS word_end, run.s - run.d AS source_start, run.b - run.d AS source_end FROM walk WHERE run IS NOT NULL)"""
+
+
+@query("q13_exact_runs", f"WITH RECURSIVE {RUNS} SELECT * FROM greedy")
 def q13_exact_runs(spark, d):
     return integrity.exact_runs(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -347,7 +360,8 @@ def j8_seed_pairs(spark, d):
     return integrity.exact_runs(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
 
 
-@query("a16_overlap")
+@query("a16_overlap", f"""WITH RECURSIVE {RUNS}, covered AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(word_start, word_end)) AS i FROM greedy) GROUP BY doc_id)
+    SELECT a.doc_id, CAST(len(w) AS BIGINT) AS words, coalesce(n, 0) AS overlapping_words, CASE WHEN len(w) > 0 THEN 100.0::DOUBLE * coalesce(n, 0) / len(w) ELSE 0.0 END AS overlap_percentage FROM a LEFT JOIN covered USING (doc_id)""")
 def a16_overlap(spark, d):
     documents = table(spark, d, "documents")
     totals = documents.select("doc_id", F.size(matches("plain_words", F.col("text"))).cast("bigint").alias("words"))
@@ -475,17 +489,21 @@ def q4_extractive_summary(spark, d):
     return summary.extractive(summary.bounded(chunks(spark, d)), ["document_id"], ["chunk_ord"]).drop("score")
 
 
-@query("w18_token_windows")
+@query("w18_token_windows", f"WITH RECURSIVE {PAPERS}, {WINDOWS} SELECT paper_id, window_no, start, end_, tokens, CASE WHEN window_no >= 200 THEN 'beyond the passage limit' END AS skipped FROM wins")
 def w18_token_windows(spark, d):
-    return coverage.windows(papers(spark, d), "paper_id", "body", capacity=128)
+    return coverage.windows(papers(spark, d), "paper_id", "body", capacity=128).withColumnsRenamed({"window": "window_no", "end": "end_"})
 
 
-@query("a18_word_coverage")
+@query("a18_word_coverage", f"""
+    WITH RECURSIVE {PAPERS}, {WINDOWS}, j AS (SELECT w.paper_id, w.a, bool_or(window_no % 2 = 1) AS flagged FROM words w JOIN wins s ON s.paper_id = w.paper_id AND s.start <= w.a AND w.a + w.n <= s.end_ AND window_no < 200 GROUP BY ALL),
+    k AS (SELECT paper_id, count(*) AS judged, count(*) FILTER (flagged) AS flagged FROM j GROUP BY paper_id), t AS (SELECT paper_id, count(*) AS words FROM words GROUP BY paper_id)
+    SELECT paper_id, words, coalesce(judged, 0) AS judged, coalesce(flagged, 0) AS flagged, round(100.0::DOUBLE * flagged / judged, 6) AS flagged_percentage FROM t LEFT JOIN k USING (paper_id)""")
 def a18_word_coverage(spark, d):
     """Windows stand in as flagged where their number is odd: a detector is a pluggable input."""
     rows = papers(spark, d)
     spans = coverage.windows(rows, "paper_id", "body", capacity=128).where("skipped is null")
-    return coverage.word_coverage(rows, spans, "paper_id", "body", F.col("window") % 2 == 1)
+    covered = coverage.word_coverage(rows, spans, "paper_id", "body", F.col("window") % 2 == 1)
+    return covered.withColumn("flagged_percentage", F.round("flagged_percentage", 6))
 
 
 @query("a19_aligned_passages", """

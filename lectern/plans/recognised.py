@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 from lectern.functions import matching as m
 from lectern.functions import text as t
 
@@ -87,4 +89,18 @@ def _citations() -> str:
     quotes AS (SELECT paper_id, a, n FROM {rows["quote"]})"""
 
 
-EVENTS, REFERENCES, CITATIONS = _events(), _references(), _citations()
+def _windows(capacity: int) -> str:
+    """`words` (paper_id, a, n) and `wins` (paper_id, window_no, start, end_, tokens): windows of at most `capacity`
+    tokens of the papers `pp` that end between words."""
+    word, token = SimpleNamespace(pattern=r"[\p{L}\p{N}_]+(?:['’\-][\p{L}\p{N}_]+)*", flags=0), SimpleNamespace(pattern=r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\v\x{85}\x{a0}\x{2028}\x{2029}]", flags=0)
+    return f"""texts AS (SELECT paper_id, body AS text FROM pp WHERE body IS NOT NULL),
+    words AS (SELECT paper_id, a, n FROM {found(0, "word", word, "texts", "paper_id")}),
+    toks AS (SELECT paper_id, a, n, row_number() OVER (PARTITION BY paper_id ORDER BY a) - 1 AS i FROM {found(0, "token", token, "texts", "paper_id")}),
+    owned AS (SELECT t.*, w.a AS word FROM toks t LEFT JOIN words w ON w.paper_id = t.paper_id AND w.a <= t.a AND t.a < w.a + w.n),
+    firsts AS (SELECT *, CASE WHEN word IS NULL THEN i ELSE min(i) OVER (PARTITION BY paper_id, word) END AS first, count(*) OVER (PARTITION BY paper_id) AS total FROM owned),
+    steps AS (SELECT paper_id, 0 AS window_no, CAST(0 AS BIGINT) AS i, CASE WHEN total <= {capacity} THEN total ELSE (SELECT f.first FROM firsts f WHERE f.paper_id = x.paper_id AND f.i = {capacity}) END AS stop, total FROM firsts x WHERE i = 0
+      UNION ALL SELECT s.paper_id, s.window_no + 1, s.stop, CASE WHEN s.stop + {capacity} >= s.total THEN s.total ELSE f.first END, s.total FROM steps s LEFT JOIN firsts f ON f.paper_id = s.paper_id AND f.i = s.stop + {capacity} WHERE s.stop < s.total),
+    wins AS (SELECT s.paper_id, CAST(window_no AS INTEGER) AS window_no, CAST(b.a AS INTEGER) AS start, CAST(e.a + e.n AS INTEGER) AS end_, CAST(stop - s.i AS INTEGER) AS tokens FROM steps s JOIN toks b ON b.paper_id = s.paper_id AND b.i = s.i JOIN toks e ON e.paper_id = s.paper_id AND e.i = s.stop - 1)"""
+
+
+EVENTS, REFERENCES, CITATIONS, WINDOWS = _events(), _references(), _citations(), _windows(128)
