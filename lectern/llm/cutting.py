@@ -2,8 +2,8 @@
 
 Every position of a text gets the strength of the boundary there (paragraph, line, sentence, clause, space,
 none). A sparse table over (strength, position) answers "strongest cut in this range, the rightmost of equals"
-in two look-ups, so a text is cut in one pass whatever its length. The table is built over stretches of the
-text, each longer than a piece, so memory stays bounded for a text of any size.
+in two look-ups, so a text is cut in one pass whatever its length. Strengths and table are made over stretches of
+the text, each longer than a piece, so a text of any size needs no more than one stretch of them at a time.
 """
 
 from __future__ import annotations
@@ -42,6 +42,15 @@ def boundary_strengths(codes: np.ndarray) -> np.ndarray:
     return out
 
 
+def strengths_between(text: str, a: int, b: int) -> np.ndarray:
+    """`boundary_strengths(text)[a:b]`, reading from the last character before that is no blank."""
+    s = a
+    while s > 0 and text[s - 1] in " \t\r\n\u00a0":
+        s -= 1
+    s = max(0, min(s - 1, a - 2))
+    return boundary_strengths(code_points(text[s:b]))[a - s : b - s]
+
+
 class StrongestCut:
     """Sparse table of range maxima over strength * 2**40 + position."""
 
@@ -70,13 +79,12 @@ def cut_points(text: str, limit: int = 1000, overlap: int = 200) -> list[tuple[i
     n = len(text)
     if n <= limit:
         return [(0, n)] if n else []
-    strengths = boundary_strengths(code_points(text))
     out, start, find = [], 0, None
     while n - start > limit:
         a, b = start + max(overlap + 1, limit // 2), start + limit
         if find is None or b >= find.end:
             end = min(n + 1, a + max(STRETCH, 2 * limit))
-            find = StrongestCut(strengths[a:end], a, limit)
+            find = StrongestCut(strengths_between(text, a, end), a, limit)
         end = find(a, b)
         out.append((start, end))
         start = end - overlap

@@ -35,6 +35,16 @@ def test_the_strongest_cut_is_taken_rightmost_of_equals():
     assert [s[3], s[6], s[8], s[11], s[13], s[1]] == [cutting.CLAUSE, cutting.SENTENCE, cutting.LINE, cutting.PARAGRAPH, cutting.SPACE, cutting.NONE]
 
 
+def test_strengths_of_a_stretch_are_those_of_the_text():
+    rng = random.Random(6)
+    text = "".join(rng.choice("ab.,! \t\r\n\n") for _ in range(600)) + "\n" + " " * 90 + "\nend"
+    whole = cutting.boundary_strengths(code_points(text)).tolist()
+    for _ in range(300):
+        a = rng.randrange(0, len(text))
+        b = rng.randrange(a + 1, len(text) + 2)
+        assert cutting.strengths_between(text, a, b).tolist() == whole[a:b]
+
+
 def test_items_keep_their_keys(spark, rows):
     df = spark.createDataFrame([("a", "x" * 25), ("b", "short"), ("c", None), ("d", ""), ("a", "x" * 25)], "key string, text string").withColumn("_text", F.lit("clash"))
     got = cutting.cut_items(df, ["key"], "text", limit=20, overlap=4, with_text=True)

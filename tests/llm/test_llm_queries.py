@@ -41,5 +41,5 @@ def test_found_has_the_given_columns_and_distinct_rows(spark, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - set(FOUND)))
-def test_query_runs(spark, name):
-    assert QUERIES[name](spark, str(FOLDER)).count() >= 0
+def test_query_without_sql_gives_rows(spark, name):
+    assert QUERIES[name](spark, "/root/testdata/sf0.01").count() > 0  # five labels say nothing about subjects
