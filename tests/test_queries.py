@@ -39,8 +39,9 @@ def test_query_equals_sql(spark, duck, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.SQL)))
-def test_query_runs(spark, name):
-    assert catalogue.QUERIES[name](spark, str(FOLDER)).count() >= 0
+def test_query_without_sql_gives_rows(spark, name):
+    found = catalogue.QUERIES[name](spark, str(FOLDER))
+    assert found.count() > 0 or name == "j9_near_exact"  # no near copies among so few documents
 
 
 def test_sentences_of_all_chunks_equal_brute_force(spark, duck):
