@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.session import cut, once, stored
+from lectern.session import cut, stored
 
 CELL = 4000  # vectors per cell aimed at
 LINES, SHARE, GROWTH = 40, 0.55, 1.5
@@ -40,7 +40,8 @@ def usable(df: DataFrame, id_col: str, vector_col: str, dims: int) -> DataFrame:
     """(vec, v) of the distinct ids whose vector has `dims` finite values, not all zero."""
     v = F.col(vector_col).cast("array<float>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return once(df.where((F.size(v) == dims) & fine), [id_col]).select(F.col(id_col).cast("bigint").alias("vec"), v.alias("v")).where("vec is not null")
+    # The element-wise test is the dear part: it is made once, before the rows move.
+    return df.where((F.size(v) == dims) & fine).select(F.col(id_col).cast("bigint").alias("vec"), v.alias("v")).where("vec is not null").dropDuplicates(["vec"])
 
 
 def _rotations(tables: int, depth: int, dims: int, seed: int) -> np.ndarray:
@@ -252,11 +253,12 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, k: int = 5, dims: int =
     there are so many.
     """
     spark = df.sparkSession
-    vectors = usable(df, id_col, vector_col, dims)
-    by_value = Window.partitionBy("v").orderBy("vec")
-    classed = vectors.groupBy("v").agg(F.min("vec").alias("class"))
-    few = vectors.withColumn("_rank", F.row_number().over(by_value)).where(F.col("_rank") <= k + 1)
-    classes = stored(few.groupBy("v").agg(F.min("vec").alias("class"), F.array_sort(F.collect_list("vec")).alias("ids")).select("class", "ids", "v"))
+    vectors = stored(usable(df, id_col, vector_col, dims).withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(1), F.col("v"))}))
+    # Equal vectors are found by 128 bits of hash; of a class only its smallest ids and one vector go on.
+    names = vectors.select("vec", "h1", "h2")
+    few = names.withColumn("_rank", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("vec"))).where(F.col("_rank") <= k + 1)
+    classed = cut(few.groupBy("h1", "h2").agg(F.min("vec").alias("class"), F.array_sort(F.collect_list("vec")).alias("ids")))
+    classes = stored(vectors.select(F.col("vec").alias("class"), "v").join(classed.select("class", "ids").hint("merge"), "class").select("class", "ids", "v"))
     count, whole = classes.count(), WHOLE * cell
     depth, codes = 1, math.ceil(count * PROBES / cell)
     while codes > 2 * dims:
@@ -305,7 +307,7 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, k: int = 5, dims: int =
             if rows.num_rows:
                 held = spark.sparkContext.broadcast((rows.column("class").to_pylist(), _unit(rows.column("v").combine_chunks(), dims)))
                 merged = _best(merged.unionByName(classes.select("ids", "v").mapInArrow(_asked(held, dims, k + 1), ANSWERS)), k + 1)
-    members = vectors.join(classed.hint("merge"), "v").select("vec", "class")
+    members = names.join(classed.select("h1", "h2", "class").hint("merge"), ["h1", "h2"]).select("vec", "class")
     own = F.slice(F.filter("found", lambda x: x["id"] != F.col("vec")), 1, k)
     return members.join(merged.hint("merge"), "class").select(F.col("vec").alias(id_col), F.posexplode(own).alias("rank", "n")).select(id_col, F.col("n.id").alias("neighbour"), (F.col("rank") + 1).alias("rank"), (-F.col("n.far")).alias("similarity"))
 
