@@ -50,7 +50,7 @@ def split_windows(text: str, spans: list[tuple[int, int]], capacity: int) -> lis
     return out
 
 
-def windows(texts: DataFrame, id_col: str, text_col: str, capacity: int = 510, most: int = 200, tokenizer: str | None = None) -> DataFrame:
+def windows(texts: DataFrame, id_col: str, text_col: str, capacity: int = 510, most: int | None = 200, tokenizer: str | None = None) -> DataFrame:
     """(id, window, start, end, tokens, skipped): the windows of each text; beyond `most` they are skipped too."""
 
     @F.pandas_udf("array<struct<start: int, `end`: int, tokens: int, skipped: string>>")
@@ -59,7 +59,7 @@ def windows(texts: DataFrame, id_col: str, text_col: str, capacity: int = 510, m
 
     rows = texts.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, text_col).dropDuplicates([id_col])
     out = rows.select(id_col, F.posexplode(cut(F.col(text_col))).alias("window", "w")).select(id_col, "window", "w.*")
-    return out.withColumn("skipped", F.when(F.col("skipped") != "", F.col("skipped")).when(F.col("window") >= most, "beyond the passage limit"))
+    return out.withColumn("skipped", F.when(F.col("skipped") != "", F.col("skipped")).when(F.lit(False) if most is None else F.col("window") >= most, "beyond the passage limit"))
 
 
 def word_coverage(texts: DataFrame, spans: DataFrame, id_col: str, text_col: str, flagged: Column) -> DataFrame:

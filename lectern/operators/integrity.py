@@ -82,14 +82,17 @@ def word_grams(texts: DataFrame, id_col: str, text_col: str, width: int, most: i
     return rows.select(id_col, F.posexplode(word_hashes(F.col(text_col), width, most)).alias("position", "gram"))
 
 
-def exact_runs(submitted: DataFrame, sources: DataFrame, *, sid: str = "doc_id", stext: str = "text", rid: str = "item_id", rtext: str = "text", width: int = SEED_WORDS, most_seeds: int = 20) -> DataFrame:
+def exact_runs(submitted: DataFrame, sources: DataFrame, *, sid: str = "doc_id", stext: str = "text", rid: str = "item_id", rtext: str = "text", width: int = SEED_WORDS, most_seeds: int | None = 20) -> DataFrame:
     """Greedy leftmost-longest runs of equal words of each (submitted text, source).
 
     Seeds of `width` words meet by equi-join, at most `most_seeds` places of a seed within a source (the rule of
-    the analysis, not a guard). Seeds on one diagonal in a row are one maximal run; of the runs from a place the
+    the analysis, not a guard; None takes all). Seeds on one diagonal in a row are one maximal run; of the runs from a place the
     longest is taken and the search goes on after it, which is a walk over the few runs of one pair.
     """
-    seeds = word_grams(sources, rid, rtext, width).withColumn("_n", F.row_number().over(Window.partitionBy(rid, "gram").orderBy("position"))).where(F.col("_n") <= most_seeds).select(rid, "gram", F.col("position").alias("there"))
+    seeds = word_grams(sources, rid, rtext, width)
+    if most_seeds is not None:
+        seeds = seeds.withColumn("_n", F.row_number().over(Window.partitionBy(rid, "gram").orderBy("position"))).where(F.col("_n") <= most_seeds)
+    seeds = seeds.select(rid, "gram", F.col("position").alias("there"))
     met = word_grams(submitted, sid, stext, width).join(seeds, "gram").select(sid, rid, F.col("position").alias("here"), "there")
     diagonal = Window.partitionBy(sid, rid, F.col("here") - F.col("there")).orderBy("here")
     islands = met.withColumn("_i", F.col("here") - F.row_number().over(diagonal)).groupBy(sid, rid, (F.col("here") - F.col("there")).alias("_d"), "_i").agg(F.min("here").alias("a"), (F.max("here") + width).alias("b"))
@@ -139,32 +142,34 @@ def exact_runs(submitted: DataFrame, sources: DataFrame, *, sid: str = "doc_id",
     return ordered.mapInArrow(greedy, shape)
 
 
-def windows(texts: DataFrame, id_col: str, text_col: str, width: int = WINDOW_WORDS, least: int = LEAST_WINDOW, most: int = 1000) -> DataFrame:
-    """(id, window, words, word_start): tumbling windows of `width` words, the last one if long enough."""
+def windows(texts: DataFrame, id_col: str, text_col: str, width: int = WINDOW_WORDS, least: int = LEAST_WINDOW, most: int | None = 1000) -> DataFrame:
+    """(id, window, words, word_start): tumbling windows of `width` words, the last one if long
+    enough; the first `most`, or all."""
     rows = texts.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, text_col).dropDuplicates([id_col])
     listed = rows.select(id_col, matches("plain_words", F.col(text_col)).alias("w")).where(F.size("w") >= least)
-    cut = F.transform(F.sequence(F.lit(0), F.least(F.lit(most - 1), F.floor((F.size("w") - 1) / width).cast("int"))), lambda i: F.slice("w", i * width + 1, width))
+    last = F.floor((F.size("w") - 1) / width).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), last if most is None else F.least(F.lit(most - 1), last)), lambda i: F.slice("w", i * width + 1, width))
     return listed.select(id_col, F.posexplode(cut).alias("window", "words")).where(F.size("words") >= least).withColumn("word_start", F.col("window") * width)
 
 
-def near_exact(submitted: DataFrame, sources: DataFrame, *, sid: str = "doc_id", stext: str = "text", rid: str = "item_id", rtext: str = "text", seed: int = 4, candidates: int = 10, ratio: float = NEAR_RATIO) -> DataFrame:
+def near_exact(submitted: DataFrame, sources: DataFrame, *, sid: str = "doc_id", stext: str = "text", rid: str = "item_id", rtext: str = "text", seed: int = 4, candidates: int | None = 10, ratio: float = NEAR_RATIO, most: int | None = 1000) -> DataFrame:
     """Windows that nearly equal a source window: the best candidate with `ratio` <= similarity < 1.
 
     Two windows this similar share `seed` words in a row (at most an eighth of the words differ, so the equal
     blocks cannot all be shorter), or one less where at most 16 words are equal, so in windows of up to 21 words;
     this keeps the candidate join to such windows; of these the `candidates` with
-    most common words are compared, ties to the earlier window.
+    most common words are compared, ties to the earlier window; all with None, as `most` None takes all windows.
     """
 
     def seeded(df, key):
         grams, shorter = (array_hashes(F.col("words"), n) for n in (seed, seed - 1))
         return df.select(key, "window", F.explode(F.when(F.size("words") <= 21, F.concat(grams, shorter)).otherwise(grams)).alias("gram"))
 
-    mine, theirs = windows(submitted, sid, stext), windows(sources, rid, rtext)
+    mine, theirs = windows(submitted, sid, stext, most=most), windows(sources, rid, rtext, most=most)
     met = seeded(mine, sid).join(seeded(theirs, rid).withColumnRenamed("window", "source_window"), "gram").select(sid, "window", rid, "source_window").distinct()
     both = met.join(mine.withColumnRenamed("words", "a"), [sid, "window"]).join(theirs.select(rid, F.col("window").alias("source_window"), F.col("words").alias("b"), F.col("word_start").alias("source_start")), [rid, "source_window"])
     common = F.size(F.array_intersect("a", "b"))
-    ranked = both.withColumn("_n", F.row_number().over(Window.partitionBy(sid, "window", rid).orderBy(F.desc(common), "source_window"))).where(F.col("_n") <= candidates)
+    ranked = both.withColumn("_n", F.row_number().over(Window.partitionBy(sid, "window", rid).orderBy(F.desc(common), "source_window"))).where(F.lit(True) if candidates is None else F.col("_n") <= candidates)
 
     @F.pandas_udf("struct<similarity: double, equal_words: int, blocks: array<struct<a: int, b: int>>>")
     def compared(a: pd.Series, b: pd.Series) -> pd.DataFrame:
@@ -291,14 +296,14 @@ def edge_lines(pages: DataFrame, by: str = "document_id") -> DataFrame:
     return rows.select(by, "page_number", F.explode(edge).alias("line")).distinct().groupBy(by, "line").agg(F.count(F.lit(1)).alias("pages")).where((F.col("pages") >= 2) & (F.col("line") != "#"))
 
 
-def deduplicated_sources(sources: DataFrame, submitted_digest: str | None, order: list[str], most: int = 10) -> DataFrame:
+def deduplicated_sources(sources: DataFrame, submitted_digest: str | None, order: list[str], most: int | None = 10) -> DataFrame:
     """`status` of each source: the first `most` by position are checked, of equal digests the first, and
     never the submitted text itself. Sources that are not available use up their position."""
     place = F.row_number().over(Window.partitionBy("paper_id").orderBy(*order))
     rows = sources.withColumn("position", place)
     again = F.row_number().over(Window.partitionBy("paper_id", "digest").orderBy("position"))
     itself = F.lit(False) if submitted_digest is None else F.col("digest") == F.col(submitted_digest)
-    return rows.withColumn("_again", again).withColumn("status", F.when(F.col("digest").isNull(), "Unavailable").when(F.col("position") > most, "Not checked: limit").when((F.col("_again") > 1) | itself, "Not checked: duplicate").otherwise("Checked")).drop("_again")
+    return rows.withColumn("_again", again).withColumn("status", F.when(F.col("digest").isNull(), "Unavailable").when(F.lit(False) if most is None else F.col("position") > most, "Not checked: limit").when((F.col("_again") > 1) | itself, "Not checked: duplicate").otherwise("Checked")).drop("_again")
 
 
 def heading_lines(texts: DataFrame, by: str, text_col: str) -> DataFrame:

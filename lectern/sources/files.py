@@ -68,7 +68,7 @@ def full_texts(files: DataFrame, xml: str = "xml") -> DataFrame:
     return files.withColumn("status", F.when(declared, "refused: entity declarations").otherwise("retrieved")).withColumn("paragraphs", F.when(declared, F.array().cast("array<string>")).otherwise(F.filter(texts, lambda x: x != "")))
 
 
-def resolved_references(references: DataFrame, works: DataFrame, consent: bool = False, most: int = 25) -> DataFrame:
+def resolved_references(references: DataFrame, works: DataFrame, consent: bool = False, most: int | None = 25) -> DataFrame:
     """`status` and metadata of references by DOI in a supplied table of works.
 
     Without consent nothing is looked up; unparsed references never are; beyond the first `most` parsed ones of
@@ -80,7 +80,7 @@ def resolved_references(references: DataFrame, works: DataFrame, consent: bool =
     rows = references.withColumn("_place", place)
     known = works.select(F.lower("doi").alias("doi"), F.col("title").alias("work_title"), F.col("year").alias("work_year"), "open_access").dropDuplicates(["doi"])
     joined = rows.join(known, "doi", "left")
-    status = F.when(F.lit(not consent), "Not checked: no consent").when(~F.col("parsed"), "Not checked: unparsed").when(F.col("_place") > most, "Not checked: limit").when(F.coalesce("doi", F.lit("")) == "", "Unverified: no DOI").when(F.col("work_title").isNull(), "Not found").otherwise("Verified by DOI")
+    status = F.when(F.lit(not consent), "Not checked: no consent").when(~F.col("parsed"), "Not checked: unparsed").when(F.lit(False) if most is None else F.col("_place") > most, "Not checked: limit").when(F.coalesce("doi", F.lit("")) == "", "Unverified: no DOI").when(F.col("work_title").isNull(), "Not found").otherwise("Verified by DOI")
     return joined.withColumn("status", status).drop("_place")
 
 

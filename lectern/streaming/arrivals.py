@@ -36,17 +36,21 @@ def drained(stream: DataFrame, path: str, checkpoint: str, mode: str = "append")
     query.awaitTermination()
 
 
-def upserted(stream: DataFrame, path: str, keys: list[str], checkpoint: str) -> None:
-    """New keys only: each micro-batch is held against what is stored (J16) before it is appended."""
+def upserted(stream: DataFrame, path: str, keys: list[str], checkpoint: str, parts: int = 256) -> None:
+    """New keys only: each micro-batch is held against what is stored (J16) before it is appended.
+
+    The store is partitioned by a hash of the keys (`part`), and a batch reads the keys of its own parts only.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        once = batch.dropDuplicates(keys)
+        once = batch.dropDuplicates(keys).withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int"))
+        own = [r[0] for r in once.select("part").distinct().collect()]  # at most `parts` numbers
         try:
-            once = once.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
+            once = once.join(spark.read.parquet(path).where(F.col("part").isin(own)).select(*keys), keys, "left_anti")
         except Exception as error:  # noqa: BLE001 - nothing stored yet
             if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
                 raise
-        once.write.mode("append").parquet(path)
+        once.write.mode("append").partitionBy("part").parquet(path)
 
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
