@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.hashing import WORD, WordIds, mix, shingles
-from lectern.session import cut, stored
+from lectern.session import cut, spread, stored
 
 REGISTERS, BAND = 256, 4
 BASE, RATE, TOP = 1.001, 20.0, 2**16 - 2
@@ -199,7 +199,7 @@ class NearDuplicates:
     """
 
     def __init__(self, df: DataFrame, id_col: str, text_col: str, width: int = 5, threshold: float = 0.8, hot: int = HOT):
-        texts = df.select(F.col(id_col).cast("bigint").alias("record"), F.col(text_col).alias("text")).where(F.col("record").isNotNull() & F.col("text").isNotNull())
+        texts = spread(df, [id_col]).select(F.col(id_col).cast("bigint").alias("record"), F.col(text_col).alias("text")).where(F.col("record").isNotNull() & F.col("text").isNotNull())
         sketched = stored(texts.mapInArrow(_sketched(width), SKETCHED).withColumn("row", F.monotonically_increasing_id()))
         first = sketched.groupBy("h1", "h2").agg(F.min(F.struct("record", "row")).alias("first"))
         named = cut(first.select("h1", "h2", F.col("first.record").alias("class"), F.col("first.row").alias("row")))
@@ -208,8 +208,9 @@ class NearDuplicates:
         met = classes.select("class", F.posexplode("bands").alias("band", "value"))
         # Most band values have one class and most others two, which need no join.
         shared = cut(met.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("a"), F.max("class").alias("b")).where("n > 1"))
-        many, kinds = not shared.where(F.col("n") > hot).isEmpty(), shared.where(F.col("n") > 2).select("band", "value", "n")
-        asked = F.broadcast(kinds) if kinds.count() <= FEW else kinds.hint("merge")
+        kinds = shared.where(F.col("n") > 2).select("band", "value", "n")
+        many, wide = shared.agg(F.count_if(F.col("n") > hot), F.count_if(F.col("n") > 2)).first()
+        asked = F.broadcast(kinds) if wide <= FEW else kinds.hint("merge")
         several = met.join(asked, ["band", "value"])
         usual = several.where(F.col("n") <= hot).select("class", "band", "value")
         other = usual.select(F.col("class").alias("b"), "band", "value")
@@ -225,8 +226,8 @@ class NearDuplicates:
             keys = ("band", "value", "x", "y")
             near = near.unionByName(placed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_blocks(threshold), PAIRS).distinct()).distinct()
         near = cut(near)
-        ids = cut(near.select(F.explode(F.array("a", "b")).alias("record")).distinct())
-        asked = F.broadcast(ids) if ids.count() <= FEW else ids.hint("merge")
+        ids = near.select(F.explode(F.array("a", "b")).alias("record")).distinct()
+        asked = F.broadcast(ids) if near.count() * 2 <= FEW else ids.hint("merge")
         sets = stored(texts.join(asked, "record", "left_semi").mapInArrow(_elements(width), "class bigint, elements array<bigint>").dropDuplicates(["class"]))
         one, two = sets.withColumnsRenamed({"class": "a", "elements": "ea"}), sets.withColumnsRenamed({"class": "b", "elements": "eb"})
         both = near.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "ea", "eb")
