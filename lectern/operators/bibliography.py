@@ -1,7 +1,8 @@
 """Q11: papers from pages: running margins dropped, bibliography set apart from the body, entries parsed.
 
 Lines are rows, and what decides about a line are windows over the lines around it in one paper; no text is walked
-by a Python function. Input is (paper_id, page_number, text), one row a page; pages without text have no lines.
+by a Python function. Input is (paper_id, page_number, text), one row a page; pages without text have no lines. Where
+pages may lack a number, `page_index` gives their order; else the number does.
 """
 
 from __future__ import annotations
@@ -17,22 +18,23 @@ LOOK_BACK, LOOK_AHEAD, RUN, RUN_ENTRIES = 12, 15, 64, 5
 
 
 def pages_of(papers: DataFrame) -> DataFrame:
-    """(paper_id, page_number, text) of papers with `body` and `page_spans`; a paper without spans is one page."""
+    """(paper_id, page_index, page_number, text) of papers with `body` and `page_spans`; a paper without spans is one page."""
     spans = F.when(F.size("page_spans") > 0, F.expr("transform(page_spans, s -> struct(s.page_number as page_number, substring(body, s.span_start + 1, s.span_end - s.span_start) as text))"))
     single = F.array(F.struct(F.lit(1).alias("page_number"), F.col("body").alias("text")))
-    return papers.where(F.col("body").isNotNull()).select("paper_id", F.explode(F.coalesce(spans, single)).alias("p")).select("paper_id", F.coalesce("p.page_number", F.lit(0)).alias("page_number"), "p.text")
+    return papers.where(F.col("body").isNotNull()).select("paper_id", F.posexplode(F.coalesce(spans, single)).alias("page_index", "p")).select("paper_id", "page_index", "p.page_number", "p.text")
 
 
 def lines_of(pages: DataFrame) -> DataFrame:
-    """(paper_id, page_number, line_no, line) with the flags of `line_flags`; line_no from 0 in its page."""
-    cut = pages.where(F.coalesce("text", F.lit("")) != "").select("paper_id", "page_number", F.posexplode(F.split(F.regexp_replace("text", r"\n\z", ""), r"\r?\n", -1)).alias("line_no", "line"))
+    """(paper_id, page_index, page_number, line_no, line) with the flags of `line_flags`; line_no from 0 in its page."""
+    placed = pages if "page_index" in pages.columns else pages.withColumn("page_index", F.col("page_number"))
+    cut = placed.where(F.coalesce("text", F.lit("")) != "").select("paper_id", "page_index", "page_number", F.posexplode(F.split(F.regexp_replace("text", r"\n\z", ""), r"\r?\n", -1)).alias("line_no", "line"))
     return cut.withColumns(b.line_flags(F.col("line")))
 
 
 def with_margins(lines: DataFrame) -> DataFrame:
     """`margin` for lines to leave out: the page's number alone, and lines at the edge of a page (first or
     last two of four or more) that stand so, digits apart, on two pages; headings and entries are spared."""
-    page = Window.partitionBy("paper_id", "page_number")
+    page = Window.partitionBy("paper_id", "page_index")
     solid = b.stripped(F.col("line")) != ""
     count = F.sum(solid.cast("int"))
     rows = lines.withColumn("_from_top", count.over(page.orderBy("line_no"))).withColumn("_solid", count.over(page))
@@ -40,7 +42,7 @@ def with_margins(lines: DataFrame) -> DataFrame:
     key = F.lower(F.regexp_replace(b.stripped(F.col("line")), r"\d+", "#"))
     rows = rows.withColumn("_key", F.when(at_edge & ~(F.col("heading") | F.col("numbered") | F.col("author")) & (key != "#"), key))
     # The pages of one key of one paper, and most lines have no key.
-    often = rows.where(F.col("_key").isNotNull()).groupBy("paper_id", "_key").agg(F.count_distinct("page_number").alias("_pages")).where(F.col("_pages") >= LEAST_PAGES).select("paper_id", "_key", F.lit(True).alias("_often"))
+    often = rows.where(F.col("_key").isNotNull()).groupBy("paper_id", "_key").agg(F.count_distinct("page_index").alias("_pages")).where(F.col("_pages") >= LEAST_PAGES).select("paper_id", "_key", F.lit(True).alias("_often"))
     number = b.stripped(F.col("line")) == F.col("page_number").cast("string")
     return rows.join(often, ["paper_id", "_key"], "left").withColumn("margin", F.coalesce(number, F.lit(False)) | F.coalesce("_often", F.lit(False))).drop("_key", "_often", "_from_top", "_solid")
 
@@ -53,7 +55,7 @@ def with_sections(lines: DataFrame) -> DataFrame:
     table of contents (12 lines) does not. Without one it opens at a well-formed entry of the latter half with five
     such in 64 lines. A body heading or a caption closes it.
     """
-    order = Window.partitionBy("paper_id").orderBy("page_number", "line_no")
+    order = Window.partitionBy("paper_id").orderBy("page_index", "line_no")
     rows = lines.where(~F.col("margin")).withColumn("n", F.row_number().over(order) - 1)
     paper, by_n = Window.partitionBy("paper_id"), Window.partitionBy("paper_id").orderBy("n")
 
@@ -100,7 +102,7 @@ def entries(lines: DataFrame) -> DataFrame:
     label = F.when(F.col("_first") & F.col("numbered"), F.coalesce(F.nullif(F.regexp_extract("_text", b.NUMBER, 1), F.lit("")), F.regexp_extract("_text", b.NUMBER, 2)).cast("bigint"))
     parts = F.array_sort(F.collect_list(F.struct("n", "text", "page_number")))
     whole = kept.withColumn("_label", label).groupBy("paper_id", "entry_no").agg(F.max("_label").alias("label"), parts.alias("l"))
-    return whole.select("paper_id", "entry_no", "label", F.array_join("l.text", " ").alias("raw"), F.array_distinct("l.page_number").alias("pages"))
+    return whole.select("paper_id", "entry_no", "label", F.array_join("l.text", " ").alias("raw"), F.array_compact(F.array_distinct("l.page_number")).alias("pages"))
 
 
 def references(found: DataFrame) -> DataFrame:
@@ -114,11 +116,11 @@ def references(found: DataFrame) -> DataFrame:
 
 def bodies(lines: DataFrame) -> DataFrame:
     """(paper_id, body, page_spans): the text without margins and bibliography, and the stretch of every page in it."""
-    own = lines.where("part = 'body'").groupBy("paper_id", "page_number").agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("l"))
-    text = own.select("paper_id", "page_number", F.concat(F.array_join("l.line", "\n"), F.lit("\n")).alias("text"))
-    end = F.sum(F.length("text")).over(Window.partitionBy("paper_id").orderBy("page_number"))
+    own = lines.where("part = 'body'").groupBy("paper_id", "page_index").agg(F.first("page_number").alias("page_number"), F.array_sort(F.collect_list(F.struct("n", "line"))).alias("l"))
+    text = own.select("paper_id", "page_index", "page_number", F.concat(F.array_join("l.line", "\n"), F.lit("\n")).alias("text"))
+    end = F.sum(F.length("text")).over(Window.partitionBy("paper_id").orderBy("page_index"))
     placed = text.withColumn("span_end", end).withColumn("span_start", F.col("span_end") - F.length("text"))
-    joined = placed.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("page_number", "text", "span_start", "span_end"))).alias("p"))
+    joined = placed.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("page_index", "page_number", "text", "span_start", "span_end"))).alias("p"))
     spans = F.transform("p", lambda x: F.struct(x["span_start"].cast("int").alias("span_start"), x["span_end"].cast("int").alias("span_end"), x["page_number"].alias("page_number")))
     return joined.select("paper_id", F.array_join("p.text", "").alias("body"), spans.alias("page_spans"))
 

@@ -228,22 +228,23 @@ def paper_pages(spark, d):
     The test tables have no bibliographies, so every paper gets some, laid out in four ways: year in brackets and
     over two lines, initials first and quoted, year standing alone, and one that cannot be read.
     """
-    shown = bib.pages_of(papers(spark, d)).withColumn("text", F.concat(F.lit("Collected papers of the year\nHere begins page "), "page_number", F.lit(" of it\n"), "text", F.lit("\nHere ends page "), "page_number", F.lit(" of it\n"), "page_number"))
+    at = (F.col("page_index") + 1).cast("string")
+    shown = bib.pages_of(papers(spark, d)).withColumn("text", F.concat(F.lit("Collected papers of the year\nHere begins page "), at, F.lit(" of it\n"), "text", F.lit("\nHere ends page "), at, F.lit(" of it\n"), at)).withColumn("page_number", at.cast("int"))
     ids = papers(spark, d).select("paper_id", F.explode(F.sequence(F.lit(1), F.lit(4) + F.pmod("paper_id", F.lit(3)).cast("int"))).alias("k"))
     name = F.element_at(F.array(*map(F.lit, SURNAMES)), (F.pmod(F.col("paper_id") + F.col("k"), F.lit(len(SURNAMES))) + 1).cast("int"))
-    year, number = (F.lit(1990) + F.pmod(F.col("paper_id") * 7 + F.col("k"), F.lit(30))).cast("string"), F.concat("paper_id", F.lit(" part "), "k")
+    year, number = (F.lit(1990) + F.pmod(F.col("paper_id") * 7 + F.col("k"), F.lit(30))).cast("string"), F.concat(F.lit("no"), "paper_id", F.lit(" part "), "k")
     laid = F.when(F.col("k") % 4 == 1, F.concat(F.lit("["), "k", F.lit("] "), name, F.lit(", J. ("), year, F.lit("). Study number\n"), number, F.lit(". Journal 12. doi:10.5555/p"), "paper_id", F.lit("."), "k"))
     laid = laid.when(F.col("k") % 4 == 2, F.concat(F.lit("["), "k", F.lit("] A. M. "), name, F.lit(", “Quoted study "), number, F.lit("”, Reports 61, 117 ("), year, F.lit(").")))
     laid = laid.when(F.col("k") % 4 == 3, F.concat(name, F.lit(" J "), year, F.lit(" A standing study "), number, F.lit(", Phys. Rev. 10, 12.")))
     laid = laid.otherwise(F.concat(F.lit("["), "k", F.lit("] an entry that names nobody, number "), "k"))
     entries = ids.select("paper_id", F.struct("k", laid.alias("text")).alias("e")).groupBy("paper_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda x: x["text"]), "\n").alias("all"))
-    last = entries.select("paper_id", F.lit(999).alias("page_number"), F.concat(F.lit("Collected papers of the year\nHere begins page 999 of it\nOne more line of text.\nReferences\n"), "all", F.lit("\nHere ends page 999 of it\n999")).alias("text"))
+    last = entries.select("paper_id", F.lit(999).alias("page_index"), F.lit(999).alias("page_number"), F.concat(F.lit("Collected papers of the year\nHere begins page 999 of it\nOne more line of text.\nReferences\n"), "all", F.lit("\nHere ends page 999 of it\n999")).alias("text"))
     return shown.unionByName(last)
 
 
 SURNAMES = ["Smith", "Jones", "Becker", "Doe", "Roe", "Steane", "Lee", "Kim"]
 ENTRIES = f"""{PAPERS}, k AS (SELECT paper_id, unnest(range(1, 5 + CAST(paper_id % 3 AS INTEGER))) AS k FROM pp),
-    e AS (SELECT *, {SURNAMES}[CAST((paper_id + k) % 8 + 1 AS INTEGER)] AS name, CAST(1990 + (paper_id * 7 + k) % 30 AS VARCHAR) AS y, paper_id || ' part ' || k AS num FROM k),
+    e AS (SELECT *, {SURNAMES}[CAST((paper_id + k) % 8 + 1 AS INTEGER)] AS name, CAST(1990 + (paper_id * 7 + k) % 30 AS VARCHAR) AS y, 'no' || paper_id || ' part ' || k AS num FROM k),
     entries AS (SELECT paper_id, 'R' || k AS reference_id, CASE WHEN k % 4 <> 3 THEN CAST(k AS BIGINT) END AS label, k % 4 <> 0 AS parsed,
       CASE k % 4 WHEN 1 THEN name || ', J.' WHEN 2 THEN 'A. M. ' || name WHEN 3 THEN name || ' J' ELSE '' END AS authors, CASE WHEN k % 4 = 0 THEN '' ELSE y END AS year,
       CASE k % 4 WHEN 1 THEN 'Study number ' || num WHEN 2 THEN 'Quoted study ' || num WHEN 3 THEN 'A standing study ' || num ELSE '' END AS title,

@@ -87,9 +87,12 @@ def few_splits(df: DataFrame) -> bool:
     return df.select(df.columns[:1])._jdf.queryExecution().toRdd().getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
 
 
-def spread(df: DataFrame, keys: list[str]) -> DataFrame:
-    """A table of fewer splits than cores spread over them by its keys; any larger one stays as it lies."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys) if few_splits(df) else df
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer splits than cores spread over them in turns; any larger one stays as it lies.
+
+    Not by a key: a partitioning the planner may build on must come from its own exchanges.
+    """
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if few_splits(df) else df
 
 
 def once(df: DataFrame, keys: list[str], most: int = 1_000_000) -> DataFrame:
@@ -108,13 +111,13 @@ def once(df: DataFrame, keys: list[str], most: int = 1_000_000) -> DataFrame:
     surplus = cut(located.join(repeated, ["h", "g"]).where(F.col("at") != F.col("first")).select("at._file", "at._row"))
     many = surplus.count()
     if not many:
-        return spread(fine, keys)
+        return spread(fine)
     if many > most:
         return fine.dropDuplicates(keys)
     gone = F.broadcast(surplus.withColumnsRenamed({"_file": "_gone_file", "_row": "_gone_row"}))
     cores = df.sparkSession.sparkContext.defaultParallelism
     rest = fine.join(gone, (F.xxhash64(F.col("_metadata.file_path")) == F.col("_gone_file")) & (F.col("_metadata.row_index") == F.col("_gone_row")), "left_anti")
-    return rest.repartition(cores, *keys) if few_splits(df) else rest
+    return rest.repartition(cores) if few_splits(df) else rest
 
 
 def scratch_dir(prefix: str) -> str:
