@@ -172,7 +172,7 @@ def leaks(corpus: DataFrame, items: DataFrame, *, doc: str = "doc_id", text: str
     """
     if not 0 < seed <= run:
         raise ValueError("seed must be at most run")
-    texts = spread(corpus, [doc]).select(F.col(doc).cast("bigint").alias("doc"), F.col(text).alias("text")).where(F.col("doc").isNotNull() & F.col("text").isNotNull())
+    texts = spread(corpus).select(F.col(doc).cast("bigint").alias("doc"), F.col(text).alias("text")).where(F.col("doc").isNotNull() & F.col("text").isNotNull())
     asked = items.select(F.col(item).cast("bigint").alias("item"), F.col(item_text).alias("text")).where(F.col("item").isNotNull() & F.col("text").isNotNull()).distinct()
     worded = cut(asked.mapInArrow(_item_words(seed), "item bigint, words array<bigint>, grams array<bigint>").where(F.size("grams") > 0))
     grams = worded.select("item", F.size("grams").alias("of"), F.posexplode("grams").alias("position", "gram"))

@@ -199,7 +199,7 @@ class NearDuplicates:
     """
 
     def __init__(self, df: DataFrame, id_col: str, text_col: str, width: int = 5, threshold: float = 0.8, hot: int = HOT):
-        texts = spread(df, [id_col]).select(F.col(id_col).cast("bigint").alias("record"), F.col(text_col).alias("text")).where(F.col("record").isNotNull() & F.col("text").isNotNull())
+        texts = spread(df).select(F.col(id_col).cast("bigint").alias("record"), F.col(text_col).alias("text")).where(F.col("record").isNotNull() & F.col("text").isNotNull())
         sketched = stored(texts.mapInArrow(_sketched(width), SKETCHED).withColumn("row", F.monotonically_increasing_id()))
         first = sketched.groupBy("h1", "h2").agg(F.min(F.struct("record", "row")).alias("first"))
         named = cut(first.select("h1", "h2", F.col("first.record").alias("class"), F.col("first.row").alias("row")))

@@ -139,7 +139,7 @@ def fill_containers(df: DataFrame, id_col: str, text_col: str, capacity: int = 2
     texts and texts without tokens are in no container. Repeated rows and null ids are items of their own; an
     empty table gives no containers. Container numbers are unique, not dense. Ids must be integers.
     """
-    texts = spread(df, [id_col]).select(F.col(id_col).cast("bigint").alias("item"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    texts = spread(df).select(F.col(id_col).cast("bigint").alias("item"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     # Stored, as the range partitioning samples its input before it sorts it: texts are read once.
     sized = stored(texts.mapInArrow(_sized(tokenizer), "item bigint, tokens bigint, curve bigint").where("tokens > 0"))
     line = sized.repartitionByRange("curve", "item").sortWithinPartitions("curve", "item", "tokens").select("item", "tokens")

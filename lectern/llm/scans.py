@@ -427,7 +427,7 @@ class Scans:
     def __init__(self, pages: DataFrame, records: DataFrame, *, doc: str = "document_id", page: str = "page_number", text: str = "page_text", filename: str = "source_filename", most_lines: int = 200_000, most_documents: int = 200_000):
         self.spark = pages.sparkSession
         self.names = (doc, page, text)
-        self.rows = spread(pages, [doc, page]).where(F.col(doc).isNotNull() & F.col(text).isNotNull()).select(F.col(doc).alias("doc"), F.col(page).cast("int").alias("page"), F.col(filename).alias("filename"), F.col(text).alias("text"))
+        self.rows = spread(pages).where(F.col(doc).isNotNull() & F.col(text).isNotNull()).select(F.col(doc).alias("doc"), F.col(page).cast("int").alias("page"), F.col(filename).alias("filename"), F.col(text).alias("text"))
         frequent = boilerplate.frequent_lines(pages, records, doc=doc, page=page, text=text)
         held: dict[str, set[int]] = {}
         pairs = [tuple(r) for r in frequent.select("source", "line_hash").distinct().limit(most_lines + 1).collect()]

@@ -177,7 +177,7 @@ def shared_spans(df: DataFrame, id_col: str, text_col: str, length: int = 200, s
     if not 0 < seed < length:
         raise ValueError("seed must lie between 1 and length - 1")
     record = F.col(id_col).cast("bigint")
-    texts = spread(df, [id_col]).select(record.alias("k1"), F.lit(0).cast("bigint").alias("k2"), record.alias("low"), record.alias("high"), F.col(text_col).alias("text")).where(F.col("k1").isNotNull() & (F.length("text") >= length))
+    texts = spread(df).select(record.alias("k1"), F.lit(0).cast("bigint").alias("k2"), record.alias("low"), record.alias("high"), F.col(text_col).alias("text")).where(F.col("k1").isNotNull() & (F.length("text") >= length))
     spans = _shared(texts, length, seed, bucket_windows).select(F.col("k1").alias("record"), F.col("a").alias("s"), (F.col("b") + length - 1).alias("e"))
     return merge_intervals(spans.distinct(), "record", "s", "e").select(F.col("record").alias(id_col), F.col("s").alias("span_start").cast("int"), F.col("e").alias("span_end").cast("int"))
 

@@ -291,6 +291,6 @@ def subjects(documents: DataFrame, model: Model, *, doc: str = "doc_id", text: s
     Null ids and texts, and texts without words, have no subject; a document may have several. A row sent twice
     gives its rows twice. The model's size is bounded by the hash space, so it goes to every task.
     """
-    texts = spread(documents, [doc]).select(F.col(doc).cast("bigint").alias("doc"), F.col(text).alias("text")).where(F.col("doc").isNotNull() & F.col("text").isNotNull())
+    texts = spread(documents).select(F.col(doc).cast("bigint").alias("doc"), F.col(text).alias("text")).where(F.col("doc").isNotNull() & F.col("text").isNotNull())
     held = documents.sparkSession.sparkContext.broadcast(model)
     return texts.mapInArrow(_scored(held), "doc bigint, subject string, share double").withColumnRenamed("doc", doc)
